@@ -148,12 +148,14 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in schema.fields]
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches):
         work = make()
         for batch in batches:
-            found = work(batch.column(len(keep)).to_pylist())
+            found = work(batch.column(at).to_pylist())
             made = [pa.array(x, kind, from_pandas=False) for x, kind in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    read = [*keep] if text_col in keep else [*keep, F.col(text_col).alias("__text")]
+    return df.select(*read).mapInArrow(run, schema)
