@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language, line_dedup, media, ngram_join, packing, pii, suffix_dedup, url_filter
+from tessera.llm import decontamination, language, line_dedup, media, ngram_join, packing, paragraph_dedup, pii, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraph_dedup.remove_repeated_paragraphs(docs).select("doc_id", "n_paragraphs", "n_repeated", "n_removed", "removed", "kept_text")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.leaks_by_document(docs, _table(spark, sf_dir, "benchmark"))
