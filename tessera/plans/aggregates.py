@@ -39,11 +39,11 @@ def a4_duplicate_group_report(documents: DataFrame) -> DataFrame:
     return op.group_report(rows, ["title", "lang"], "source", "source", "t").withColumn("variants", F.array_join("variants", ","))
 
 
-@query("""with i as (select c_nationkey as nation, 1 as ordinal, 'customer' as source from customer where c_custkey % 11 = 0 union all select s_nationkey, 2, 'supplier' from supplier where s_suppkey % 3 = 0 union all select n_nationkey, 3, 'nation' from nation where n_nationkey % 2 = 0)
+@query("""with i as (select c_nationkey as nation, 1 as ordinal, 'customer' as source from customer where c_acctbal > 9700 union all select s_nationkey, 2, 'supplier' from supplier where s_acctbal > 8000 union all select n_nationkey, 3, 'nation' from nation where n_regionkey < 3)
           select nation, case when count(distinct source) = 3 then 'customer+supplier+nation' when bool_or(ordinal = 1) and bool_or(ordinal = 2) then 'customer+supplier' when bool_or(ordinal = 1) then 'customer+nation' else 'supplier+nation' end as scope, count(*) as n from i group by 1 having count(distinct source) >= 2""", "customer supplier nation")
 def a5_cross_input_groups(customer: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
     one = lambda d, c, n, s: d.select(F.col(c).alias("nation"), F.lit(n).alias("ordinal"), F.lit(s).alias("source"))
-    rows = one(customer.where("c_custkey % 11 = 0"), "c_nationkey", 1, "customer").union(one(supplier.where("s_suppkey % 3 = 0"), "s_nationkey", 2, "supplier")).union(one(nation.where("n_nationkey % 2 = 0"), "n_nationkey", 3, "nation"))
+    rows = one(customer.where("c_acctbal > 9700"), "c_nationkey", 1, "customer").union(one(supplier.where("s_acctbal > 8000"), "s_nationkey", 2, "supplier")).union(one(nation.where("n_regionkey < 3"), "n_nationkey", 3, "nation"))
     return op.cross_input_groups(rows, "nation", "source", "ordinal")
 
 
@@ -157,7 +157,7 @@ def a24_agreeing_sources(lineitem: DataFrame) -> DataFrame:
     return op.agreeing_sources(lineitem, "l_partkey", "l_quantity", "l_suppkey")
 
 
-@query("select l as library, count(distinct p_brand) as files, array_to_string(list_sort(list(distinct p_brand)), ',') as paths from part, (select unnest(['math', 'os']) as l) where p_partkey % 5 = 0 group by 1", "part")
+@query("select l as library, count(distinct 'f' || (p_partkey // 40)) as files, array_to_string(list_sort(list(distinct 'f' || (p_partkey // 40))), ',') as paths from part, (select unnest(['math', 'os']) as l) group by 1", "part")
 def a25_library_import_inventory(part: DataFrame) -> DataFrame:
     from tessera.functions.tables import source_symbols
     from tessera.plans.joins import _sources

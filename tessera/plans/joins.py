@@ -30,16 +30,16 @@ def j3_two_way_anti_on_normalized_pair(customer: DataFrame, supplier: DataFrame)
     return op.two_way_anti(a, b, ["name", "nation"]).select("side", F.concat_ws(" - ", "name", "nation").alias("entry"))
 
 
-@query("""with a as (select distinct c_nationkey as k from customer where c_custkey < 40), b as (select distinct s_nationkey as k from supplier where s_suppkey < 20)
+@query("""with a as (select distinct c_nationkey as k from customer where c_acctbal > 9700), b as (select distinct s_nationkey as k from supplier where s_acctbal > 8000)
           select coalesce(a.k, b.k) as nation, case when a.k is null then 'right' when b.k is null then 'left' else 'common' end as place from a full join b on a.k = b.k""", "customer supplier")
 def j4_three_way_set_compare(customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    a, b = customer.where("c_custkey < 40").select(F.col("c_nationkey").alias("nation")), supplier.where("s_suppkey < 20").select(F.col("s_nationkey").alias("nation"))
+    a, b = customer.where("c_acctbal > 9700").select(F.col("c_nationkey").alias("nation")), supplier.where("s_acctbal > 8000").select(F.col("s_nationkey").alias("nation"))
     return op.three_way_compare(a, b, "nation")
 
 
-@query("select c_custkey, c_nationkey from customer where c_nationkey not in (select s_nationkey from supplier where s_suppkey < 20)", "customer supplier")
+@query("select c_custkey, c_nationkey from customer where c_nationkey not in (select s_nationkey from supplier where s_acctbal > 8000)", "customer supplier")
 def j5_one_way_diff(customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    return op.one_way_diff(customer, supplier.where("s_suppkey < 20").withColumnRenamed("s_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", "c_nationkey")
+    return op.one_way_diff(customer, supplier.where("s_acctbal > 8000").withColumnRenamed("s_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", "c_nationkey")
 
 
 @query("select distinct p.page_id, d.d as name from (select page_id, ' ' || regexp_replace(lower(html), '[^a-z]+', ' ', 'g') || ' ' as t from pages) p, (select distinct 'the ' || lower(left(lang, 2)) as d from documents union select 'of the' union select 'the that' union select 'in the') d where contains(p.t, ' ' || d.d || ' ')", "pages documents")
@@ -74,19 +74,19 @@ def j9_tiered_match_join(part: DataFrame) -> DataFrame:
     return op.tiered_match(part, candidates, "p_partkey", [(exact, exact), (folded, folded), (stem, stem)], "hit")
 
 
-@query("""with a as (select p_partkey, p_brand as dir, split_part(p_name, ' ', 1) as stem from part where p_partkey % 10 = 0), b as (select p_partkey as side_key, p_brand as dir, p_name as side from part where p_partkey % 10 = 1)
+@query("""with a as (select p_partkey, p_brand || '/' || p_size as dir, split_part(p_name, ' ', 1) as stem from part where p_type = 'ECONOMY'), b as (select p_partkey as side_key, p_brand || '/' || p_size as dir, p_name as side from part where p_type <> 'ECONOMY')
           select p_partkey, side_key from a join b using (dir) where lower(side) = lower(stem) or (starts_with(lower(side), lower(stem)) and substr(side, length(stem) + 1, 1) in ('.', ' ', '-', '_'))""", "part")
 def j10_prefix_join(part: DataFrame) -> DataFrame:
-    a = part.where("p_partkey % 10 = 0").select("p_partkey", F.col("p_brand").alias("dir"), F.substring_index("p_name", " ", 1).alias("stem"))
-    b = part.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("side_key"), F.col("p_brand").alias("dir"), F.col("p_name").alias("side"))
+    a = part.where("p_type = 'ECONOMY'").select("p_partkey", F.concat_ws("/", "p_brand", "p_size").alias("dir"), F.substring_index("p_name", " ", 1).alias("stem"))
+    b = part.where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("side_key"), F.concat_ws("/", "p_brand", "p_size").alias("dir"), F.col("p_name").alias("side"))
     return op.prefix_join(a, b, "dir", "stem", "side", strict=True).select("p_partkey", "side_key")
 
 
-@query("""with m as (select p_brand as dir, split_part(p_name, ' ', 2) as movie, p_size as e from part where p_partkey % 20 = 0), s as (select p_brand as dir, p_name as subtitle, p_size as e, p_partkey as pos from part where p_partkey % 20 = 1)
+@query("""with m as (select p_brand as dir, split_part(p_name, ' ', 2) as movie, p_size as e from part where p_type = 'ECONOMY'), s as (select p_brand as dir, p_name as subtitle, p_size as e, p_partkey as pos from part where p_type <> 'ECONOMY')
           select m.dir, movie, arg_min(subtitle, pos) as subtitle from m join s on m.dir = s.dir and (m.e = s.e or contains(subtitle, movie)) group by all""", "part")
 def j11_name_or_episode_join(part: DataFrame) -> DataFrame:
-    m = part.where("p_partkey % 20 = 0").select(F.col("p_brand").alias("dir"), F.get(F.split("p_name", " "), 1).alias("stem"), F.col("p_size").alias("episode"))
-    s = part.where("p_partkey % 20 = 1").select(F.col("p_brand").alias("dir"), F.col("p_name").alias("stem"), F.col("p_size").alias("episode"), F.col("p_partkey").alias("pos"))
+    m = part.where("p_type = 'ECONOMY'").select(F.col("p_brand").alias("dir"), F.get(F.split("p_name", " "), 1).alias("stem"), F.col("p_size").alias("episode"))
+    s = part.where("p_type <> 'ECONOMY'").select(F.col("p_brand").alias("dir"), F.col("p_name").alias("stem"), F.col("p_size").alias("episode"), F.col("p_partkey").alias("pos"))
     return op.name_or_episode(m, s, "dir")
 
 
@@ -119,17 +119,19 @@ def j15_interval_assignment(events: DataFrame) -> DataFrame:
 
 
 def _sources(part: DataFrame) -> DataFrame:
-    """One Python source per brand: a function per name, each calling the next part's name of the brand."""
+    """One Python source per forty parts: a function per part, named by its size and name, that calls the next part's."""
     from pyspark.sql import Window as W
 
-    name = F.replace("p_name", F.lit(" "), F.lit("_"))
-    nxt = F.lead(name).over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    rows = part.where("p_partkey % 5 = 0").select("p_brand", "p_partkey", F.concat(F.lit("def "), name, F.lit("():\n    import os\n    return "), F.coalesce(nxt, F.lit("None")), F.when(nxt.isNotNull(), "()").otherwise("")).alias("code"))
+    file = F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 40))
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), "p_size")
+    nxt = F.lead(name).over(W.partitionBy(file).orderBy("p_partkey"))
+    body = F.concat(F.lit("def "), name, F.lit("():\n    import os\n    return "), F.coalesce(nxt, F.lit("None")), F.when(nxt.isNotNull(), "()").otherwise(""))
+    rows = part.select(file.alias("path"), "p_partkey", body.alias("code"))
     code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))), lambda x: x["code"]), "\n\n")
-    return rows.groupBy(F.col("p_brand").alias("path")).agg(F.concat(F.lit("import math\nimport os.path\n\n"), code).alias("source"))
+    return rows.groupBy("path").agg(F.concat(F.lit("import math\nimport os.path\n\n"), code).alias("source"))
 
 
-_CODE = "with r as (select p_brand as file, replace(p_name, ' ', '_') as name, p_partkey, lead(replace(p_name, ' ', '_')) over (partition by p_brand order by p_partkey) as callee from part where p_partkey % 5 = 0)"
+_CODE = "with p as (select 'f' || (p_partkey // 40) as file, replace(p_name, ' ', '_') || p_size as name, p_partkey from part), r as (select *, lead(name) over (partition by file order by p_partkey) as callee from p)"
 
 
 @query(_CODE + " select file, name from r where name not in (select callee from r where callee is not null)", "part")

@@ -1 +1,69 @@
-"""Queries."""
+"""Queries of the model jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.text import l2_normalized
+from tessera.operators import models as op
+from tessera.operators.ordering import top_similar
+from tessera.plans.registry import query
+
+
+def _rows(embeddings: DataFrame) -> tuple[DataFrame, int, int]:
+    shape = embeddings.agg(F.max(F.size("embedding")).alias("d"), F.max("label").alias("c")).first()
+    rows = op.feature_rows(embeddings.withColumnRenamed("label", "y"), "embedding", "y").withColumn("test", F.col("vec_id") % 4 == 0)
+    return rows, shape.d, shape.c + 1
+
+
+def _one(name: str):
+    def run(embeddings: DataFrame) -> DataFrame:
+        rows, d, c = _rows(embeddings)
+        return op.accuracies(op.compared(rows, [name], "test", d, c))
+
+    return run
+
+
+@query(None, "documents")
+def m1_word2vec_titles(documents: DataFrame) -> DataFrame:
+    vectors = op.title_vectors(documents.select("doc_id", F.split("text", "\n")[0].alias("title")), "title")
+    unit = vectors.select("doc_id", l2_normalized(F.col("vector")).alias("vector"))
+    return top_similar(unit, "doc_id", "vector", unit.where("doc_id % 20 = 0"), 3)
+
+
+@query(None, "embeddings")
+def m2_grid_search_decision_tree(embeddings: DataFrame) -> DataFrame:
+    return _one("decision_tree")(embeddings)
+
+
+@query(None, "embeddings")
+def m3_grid_search_random_forest(embeddings: DataFrame) -> DataFrame:
+    return _one("random_forest")(embeddings)
+
+
+@query(None, "embeddings")
+def m4_grid_search_mlp(embeddings: DataFrame) -> DataFrame:
+    return _one("mlp")(embeddings)
+
+
+@query(None, "embeddings")
+def m5_grid_search_svm(embeddings: DataFrame) -> DataFrame:
+    return _one("svm")(embeddings)
+
+
+@query(None, "embeddings")
+def m6_grid_search_naive_bayes(embeddings: DataFrame) -> DataFrame:
+    return _one("naive_bayes")(embeddings)
+
+
+@query("""with p as (select a.vec_id, b.vec_id as t, b.label, round(list_sum([pow(x[1]::double - x[2]::double, 2) for x in list_zip(a.embedding, b.embedding)]), 6) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+          r as (select *, row_number() over (partition by vec_id order by d, t) as r from p), v as (select vec_id, label, count(*) as n, min(r) as r from r where r <= 5 group by 1, 2) select vec_id, arg_max(label, (n, -r)) as predicted from v group by 1""", "embeddings")
+def m7_knn_classifier(embeddings: DataFrame) -> DataFrame:
+    return op.nearest_labels(embeddings, embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", "label", 5)
+
+
+@query(None, "embeddings")
+def m8_compare_models(embeddings: DataFrame) -> DataFrame:
+    rows, d, c = _rows(embeddings)
+    return op.compared(rows, ["decision_tree", "random_forest", "naive_bayes"], "test", d, c)
