@@ -156,3 +156,9 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_unicode_folding(spark):
+    from tessera.functions.folding import folded_title
+
+    assert one(spark, folded_title, "Ünï_Straße №4 — ﬁn") == "uni strasse no4 fin" and one(spark, folded_title, None) is None
