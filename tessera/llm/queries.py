@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language, line_dedup, media, ngram_join, packing, paragraph_dedup, pii, suffix_dedup, url_filter
+from tessera.llm import decontamination, language, line_dedup, media, ngram_join, packing, paragraph_dedup, pii, sql, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.sql()}
+    return {"op1_line_dedup": line_dedup.sql(), "op3_url_filters": sql.URL_FILTER, "op8_ngram_jaccard": sql.NGRAM_JOIN}
