@@ -59,17 +59,19 @@ def _ratio(a: str, b: str) -> float:
 
 def fuzzy_pairs(rows: DataFrame, block: str, source: str, title: str, least: float = 0.9) -> DataFrame:
     """(block, title_a, source_a, title_b, source_b, ratio) of different sources' titles in a block whose
-    matcher ratio reaches ``least``. Titles are made distinct first; lengths bound the ratio before it is computed."""
+    matcher ratio reaches ``least``. The ratio is computed once for each two different titles of a block, where their lengths allow it."""
     @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     one = rows.select(block, source, title).where(F.col(title).isNotNull()).distinct()
+    titles = one.select(block, title).distinct()
+    short, long = F.least(F.length("title_a"), F.length("title_b")), F.length("title_a") + F.length("title_b")
+    near = titles.withColumnRenamed(title, "title_a").join(titles.withColumnRenamed(title, "title_b"), block).where(2 * short >= least * long)
+    near = near.select("title_a", "title_b").distinct().withColumn("ratio", ratio("title_a", "title_b")).where(F.col("ratio") >= least)
     a = one.select(block, F.col(source).alias("source_a"), F.col(title).alias("title_a"))
     b = one.select(block, F.col(source).alias("source_b"), F.col(title).alias("title_b"))
-    short, long = F.least(F.length("title_a"), F.length("title_b")), F.length("title_a") + F.length("title_b")
-    pairs = a.join(b, block).where((F.col("source_a") < F.col("source_b")) & (2 * short >= least * long))
-    return pairs.withColumn("ratio", ratio("title_a", "title_b")).where(F.col("ratio") >= least)
+    return a.join(near, "title_a").join(b, [block, "title_b"]).where(F.col("source_a") < F.col("source_b")).select(block, "source_a", "title_a", "source_b", "title_b", "ratio")
 
 
 def assemble_groups(pairs: DataFrame, block: str) -> DataFrame:
