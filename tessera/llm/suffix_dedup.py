@@ -15,6 +15,8 @@ before the shuffle, so that no bucket grows with the input.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,9 +230,24 @@ def _sorted_blocks(stretches: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         def solve(rows):
-            buckets = np.unique([r[0] for r in rows], return_inverse=True)[1]
-            found = repeats_in_block([r[6] for r in rows], np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), buckets)
-            out = [(r[1], r[2], *span) for r, hit in zip(rows, found, strict=True) if hit.any() for span in _spans(np.arange(r[3], r[3] + r[5]), hit)]
+            # Equal stretches of a bucket are repeats as they stand; one of them stands for all in the sort,
+            # and a bucket of a single distinct stretch needs none.
+            distinct: dict[tuple, list[int]] = {}
+            for i, r in enumerate(rows):
+                distinct.setdefault((r[0], r[4], r[6]), []).append(i)
+            several = Counter(bucket for bucket, _, _ in distinct)
+            hits = {members[0]: np.ones(rows[members[0]][5], bool) for members in distinct.values() if len(members) > 1}
+            some = [members[0] for (bucket, _, _), members in distinct.items() if several[bucket] > 1]
+            if some:
+                buckets = np.unique([rows[i][0] for i in some], return_inverse=True)[1]
+                found = repeats_in_block([rows[i][6] for i in some], np.array([rows[i][4] for i in some]), np.array([rows[i][5] for i in some]), buckets)
+                for i, hit in zip(some, found, strict=True):
+                    hits[i] = hits[i] | hit if i in hits else hit
+            out = []
+            for members in distinct.values():
+                if (hit := hits.get(members[0])) is not None and hit.any():
+                    for r in map(rows.__getitem__, members):
+                        out += [(r[1], r[2], *span) for span in _spans(np.arange(r[3], r[3] + r[5]), hit)]
             columns = zip(*out, strict=True) if out else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "start", "end"])
 
