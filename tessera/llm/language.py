@@ -20,7 +20,7 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 #: Bound of the fitting sample, per language; a fifth of it serves the temperature.
-MAX_PER_LANGUAGE = 1500
+MAX_PER_LANGUAGE = 800
 EPOCHS = 3
 #: Rate, smoothing and the elastic net's L1 and L2 weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -113,7 +113,7 @@ class Ftrl:
         return -shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
     def step(self, index: np.ndarray, x: np.ndarray, label: int) -> None:
-        rows, x = np.append(index, len(self.z) - 1), np.append(x, 1.0)
+        rows, x = np.append(index.astype(np.int64), len(self.z) - 1), np.append(x, 1.0)
         w = self.weights(rows)
         p = softmax(x @ w)
         p[label] -= 1
@@ -174,10 +174,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_per_language / sizes[k]))])
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = rows.where(chance < F.element_at(share, F.col("label"))).withColumn("order", F.xxhash64(F.lit(7), "text"))
-    counted = map_texts(chosen, "text", ["label", "order"], [T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))], _count_maker)
-    sample = counted.where("index is not null").orderBy("order").limit(2 * max_per_language * len(languages)).toPandas()
+    counted = map_texts(chosen, "text", ["label", "order"], [T.StructField("index", T.BinaryType()), T.StructField("counts", T.BinaryType())], _count_maker)
+    sample = counted.where("index is not null").orderBy("order").limit(2 * max_per_language * len(languages)).collect()
     known = {k: i for i, k in enumerate(languages)}
-    examples = [(np.asarray(i), tf_idf(np.asarray(i), np.asarray(c), idf), known[k]) for i, c, k in zip(sample["index"], sample["counts"], sample["label"], strict=True)]
+    examples = []
+    while sample:  # rows go as they are turned into features
+        row = sample.pop()
+        index = np.frombuffer(row["index"], np.uint16)
+        examples.append((index, tf_idf(index, np.frombuffer(row["counts"], np.uint32), idf).astype(np.float32), known[row["label"]]))
+    examples.reverse()
     held = max(1, len(examples) // 5) if len(examples) > 4 else 0
     model = Ftrl(BUCKETS, len(languages))
     for _ in range(EPOCHS):
@@ -197,7 +202,7 @@ def _count_maker():
 
     def work(texts):
         found = [grams.counts(t) for t in texts]
-        return [[None if f is None else f[0] for f in found], [None if f is None else f[1] for f in found]]
+        return [[None if f is None else f[i].astype(kind).tobytes() for f in found] for i, kind in enumerate((np.uint16, np.uint32))]
 
     return work
 
