@@ -81,13 +81,10 @@ def _near() -> Column:
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (different <= MAX_DIFFERENT)
 
 
-def _verified(pairs: DataFrame, occurrences: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity reaches the threshold."""
-    pairs = written(pairs, "paragraph-pairs")
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    places = occurrences.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("doc", "text_key", "pos")).alias("at"))
-    places = places.select("set", F.col("at.doc").alias("doc"), F.col("at.text_key").alias("text_key"), F.col("at.pos").alias("pos"))
-    by_text = places.groupBy("text_key").agg(F.collect_set(F.struct("set", "pos")).alias("places"))
+def _token_sets(wanted: DataFrame, occurrences: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, tokens) of the wanted sets, read again from one text each."""
+    places = occurrences.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("text_key", "pos")).alias("at"))
+    by_text = places.groupBy(F.col("at.text_key").alias("text_key")).agg(F.collect_set(F.struct("set", F.col("at.pos").alias("pos"))).alias("places"))
     lines = docs.select(F.xxhash64("text").alias("text_key"), "text").join(by_text, "text_key")
     split = F.split("text", "\n")
     lines = lines.select(F.explode(F.transform("places", lambda p: F.struct(p["set"].alias("set"), F.get(split, p["pos"]).alias("line")))).alias("p")).select("p.set", "p.line")
@@ -95,29 +92,27 @@ def _verified(pairs: DataFrame, occurrences: DataFrame, docs: DataFrame) -> Data
     def make():
         def work(texts):
             found = [paragraph_set(t) if t is not None else None for t in texts]
-            return [[None if t is None else name_of(t) for t in found], [None if t is None else t.tobytes() for t in found]]
+            return [[None if t is None else name_of(t) for t in found], [None if t is None else t.view(np.int64) for t in found]]
 
         return work
 
-    fields = [T.StructField("own", T.LongType()), T.StructField("tokens", T.BinaryType())]
+    fields = [T.StructField("own", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
     found = map_texts(lines, "line", ["set"], fields, make).where("set = own").drop("own").dropDuplicates(["set"])
-    found = written(found, "paragraph-sets")
-    both = pairs
-    for side in "ab":
-        both = both.join(found.select(F.col("set").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    return written(found, "paragraph-sets")
+
 
-    def compare(batches):
-        import pyarrow as pa
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose Jaccard similarity reaches the threshold."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("set").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return pairs.where(common * (100 + PERCENT) >= (F.size("tokens_a") + F.size("tokens_b")) * PERCENT).select("a", "b")
 
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long")
+def _lone_tokens(sets: DataFrame) -> DataFrame:
+    """(set, lone): how many of a set's tokens none of the other sets has."""
+    each = sets.select("set", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.min("set").alias("set"))
+    return each.where("n = 1").groupBy("set").agg(F.count("*").alias("lone"))
 
 
 def _side(rows: DataFrame, side: str, key: str, *more: str) -> DataFrame:
@@ -142,13 +137,21 @@ def paragraph_links(occurrences: DataFrame, sets: DataFrame, docs: DataFrame) ->
     pivots = long.join(degrees, "set").groupBy("key").agg(F.max(F.struct("degree", "set")).alias("p"))
     pivots = written(pivots.select("key", F.col("p.set").alias("pivot")), "band-pivots")
     stars = pivots.join(long, "key").where("pivot <> set").select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b")).distinct()
-    links = written(_verified(allowed(pairs.union(stars).distinct()), occurrences, docs), "paragraph-links")
+    first = written(allowed(pairs.union(stars).distinct()), "paragraph-pairs")
+    ends = first.select(F.col("a").alias("set")).union(first.select("b")).distinct()
+    links = written(_compared(first, _token_sets(ends, occurrences, docs)), "paragraph-links")
     groups = components(links).select(F.col("node").alias("set"), "root")
     placed = long.join(groups, "set", "left").withColumn("group", F.coalesce("root", "set")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    placed = written(placed.join(mixed, "key", "left_semi").join(attributes, "set"), "long-bands")
-    late = _side(placed, "a", "set", "key").join(_side(placed, "b", "set", "key"), "key").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & _near())
-    return written(links.union(_verified(late.select("a", "b").distinct(), occurrences, docs)), "paragraph-links")
+    placed = written(placed.join(mixed, "key", "left_semi"), "long-bands")
+    # What no other of these sets has, no pair of them can share: it bounds each one's common part.
+    sets = _token_sets(placed.select("set").distinct(), occurrences, docs)
+    bounds = attributes.join(_lone_tokens(sets), "set", "left").select("set", "n", "s1", "s2", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
+    placed = written(placed.join(bounds, "set"), "late-bands")
+    reach = F.least("most_a", "most_b") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+    late = _side(placed, "a", "set", "key").join(_side(placed, "b", "set", "key"), "key").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & reach & _near())
+    late = written(late.select("a", "b").distinct(), "late-pairs")
+    return written(links.union(_compared(late, sets)), "paragraph-links")
 
 
 def remove_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
