@@ -5,6 +5,9 @@ A paragraph is a line of at least ``MIN_WORDS`` words; its set is its 5-word shi
 whose sizes and one-bit sketches allow it are compared exactly. In a band of many paragraphs only pairs with
 the one that meets most others are compared at first; after components are formed, pairs of different
 components are compared as well, so no colliding pair is passed over.
+
+Passages that stand verbatim in several places inside longer lines or over several short ones are found apart
+from that, over the words of whole texts (``passages``).
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import passages
 from tessera.llm.shared import ascii_words, components, map_texts, shingle_hashes, word_hashes, written
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 80, 10
@@ -35,8 +39,11 @@ def recall(similarity: float) -> float:
 
 def paragraph_set(line: str) -> np.ndarray | None:
     """Sorted distinct shingles of a line; None of one with too few words."""
-    words = ascii_words(line)
-    return np.unique(shingle_hashes(word_hashes(words), SHINGLE)) if len(words) >= MIN_WORDS else None
+    return _set_of(word_hashes(ascii_words(line)))
+
+
+def _set_of(words: np.ndarray) -> np.ndarray | None:
+    return np.unique(shingle_hashes(words, SHINGLE)) if len(words) >= MIN_WORDS else None
 
 
 def name_of(tokens: np.ndarray) -> int:
@@ -55,24 +62,33 @@ def signature(tokens: np.ndarray) -> tuple[np.ndarray, int, int]:
 PARAGRAPHS = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("set", T.LongType()), T.StructField("n", T.IntegerType()),
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
+    T.StructField("word", T.IntegerType()), T.StructField("words", T.IntegerType()),
 ]))
 
 
-def _paragraph_maker():
+def _paragraph_maker(verbatim: bool):
     seen: set[int] = set()
+    hasher = passages.Hasher()
 
-    def read(text: str | None) -> list[dict]:
-        out = []
+    def read(text: str | None) -> tuple[list[dict], list[dict]]:
+        out, before, at = [], [], 0
         for pos, line in enumerate(text.split("\n") if text else []):
-            if (tokens := paragraph_set(line)) is not None:
-                row = {"pos": pos, "set": name_of(tokens), "n": len(tokens), "bands": None, "s1": None, "s2": None}
+            words = word_hashes(ascii_words(line))
+            before.append(words)
+            at += len(words)
+            if (tokens := _set_of(words)) is not None:
+                row = {"pos": pos, "set": name_of(tokens), "n": len(tokens), "bands": None, "s1": None, "s2": None, "word": at - len(words), "words": len(words)}
                 if row["set"] not in seen:
                     seen.add(row["set"])
                     row["bands"], row["s1"], row["s2"] = signature(tokens)
                 out.append(row)
-        return out
+        return out, passages.stretches(np.concatenate(before), hasher) if verbatim and at else []
+
+    def work(texts):
+        found = [read(t) for t in texts]
+        return [[f[i] for f in found] for i in range(1 + verbatim)]
 
-    return lambda texts: [[read(t) for t in texts]]
+    return work
 
 
 def _near() -> Column:
@@ -154,37 +170,65 @@ def paragraph_links(occurrences: DataFrame, sets: DataFrame, docs: DataFrame) ->
     return written(links.union(_compared(late, sets)), "paragraph-links")
 
 
-def remove_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_paragraphs, n_repeated, n_removed, removed and kept_text.
+def _passages(read: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, text_key, hit): passages' places in the texts; a place that shares words with a line that left is lost."""
+    left = hits.where("item is not null").groupBy(F.col("doc").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("word", "words")).alias("ranges"))
+    each = read.join(left, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+    each = each.select("doc", "text_key", "ranges", F.explode("stretches").alias("s"))
+    lost = F.exists("ranges", lambda r: (r["word"] < F.col("s.start") + F.col("s.n") + (passages.PASSAGE - 1)) & (r["word"] + r["words"] > F.col("s.start")))
+    each = each.select("doc", "text_key", F.coalesce(lost.cast("int"), F.lit(0)).alias("lost"), "s.*")
+    return passages.passage_hits(each, docs).select("doc", "text_key", F.struct("start", "n", "gone").alias("hit"))
+
+
+def remove_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verbatim: bool = False) -> DataFrame:
+    """``docs`` with n_paragraphs, n_repeated, n_removed, removed and kept_text; if ``verbatim``, n_passages and cut too.
 
     Of each component of near-equal paragraphs the one of smallest id, then smallest line, stays; the others
     leave their texts. ``removed`` names them: (line, first_doc, first_line). Null, empty and blank texts have
     no paragraphs; repeated rows with equal id and text get equal results; a null id comes before all others.
     Columns named like the added ones are replaced.
+
+    With ``verbatim``, passages of ``passages.PASSAGE`` words or more that stand in another place too leave as well,
+    inside lines and over several of them: ``n_passages`` counts a text's passages, first places included; ``cut``
+    has the runs of words (word, words) that leave. A passage's first place is the first of those that no line
+    left; a copy that overlaps it stays.
     """
+    fields = [T.StructField("paragraphs", PARAGRAPHS), T.StructField("stretches", passages.STRETCHES)]
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    read = written(map_texts(rows, "text", ["doc", "text_key"], [T.StructField("paragraphs", PARAGRAPHS)], _paragraph_maker), "paragraphs")
+    read = written(map_texts(rows, "text", ["doc", "text_key"], fields[: 1 + verbatim], lambda: _paragraph_maker(verbatim)), "paragraphs")
     each = read.select("doc", "text_key", F.explode("paragraphs").alias("p")).select("doc", "text_key", "p.*")
-    occurrences = each.select("doc", "text_key", "pos", "set")
+    occurrences = each.select("doc", "text_key", "pos", "set", "word", "words")
     links = paragraph_links(occurrences, each.where("bands is not null").select("set", "n", "bands", "s1", "s2"), rows.select("text"))
     groups = components(links).select(F.col("node").alias("set"), "root")
     placed = occurrences.join(groups, "set", "left").withColumn("root", F.coalesce("root", "set"))
     firsts = written(placed.groupBy("root").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "first-paragraphs")
-    hits = placed.join(firsts, "root")
     gone = ~F.struct("doc", "pos").eqNullSafe(F.col("first"))
     item = F.struct(F.col("pos").cast("long").alias("line"), F.col("first.doc").alias("first_doc"), F.col("first.pos").cast("long").alias("first_line"))
+    hits = placed.join(firsts, "root").select("doc", "text_key", "pos", "word", "words", F.when(gone, item).alias("item"))
+    if verbatim:
+        hits = written(hits, "paragraph-hits")
+        hits = hits.unionByName(_passages(read, hits, rows.select("text")), allowMissingColumns=True)
     by_text = hits.groupBy(F.col("doc").alias("_hit_doc"), F.col("text_key").alias("_hit_text")).agg(
-        F.collect_set(F.when(gone, item)).alias("_gone"), F.count_distinct("pos").alias("_repeated")
+        F.collect_set("item").alias("_gone"), F.count_distinct("pos").alias("_repeated"), *[F.collect_set("hit").alias("_hits")] * verbatim
     )
+    if verbatim:
+        by_text = written(by_text.withColumn("_cut", F.udf(passages.merged, passages.CUT)("_hits")).drop("_hits"), "repeated-by-text")
     counts = F.size(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.size(F.filter(F.split(x, r"[ \t\r\x0b\x0c]+"), lambda w: w != "")) >= MIN_WORDS))
     split = F.split(F.col(text_col), "\n")
     lines = F.transform("_gone", lambda r: r["line"].cast("int"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), lines)
     joined = docs.join(by_text, F.col(id_col).eqNullSafe(F.col("_hit_doc")) & (F.xxhash64(text_col) == F.col("_hit_text")), "left")
+    kept_text = F.when(F.coalesce(F.size("_gone"), F.lit(0)) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    more = {}
+    if verbatim:
+        inside = F.coalesce(F.size("_cut.spans"), F.lit(0)) > 0
+        args = [F.when(inside, x) for x in (F.col(text_col), lines, F.col("_cut.spans"))]
+        kept_text = F.when(inside, F.udf(passages.cut, "string")(*args)).otherwise(kept_text)
+        more = {"n_passages": F.coalesce("_cut.n_passages", F.lit(0).cast("long")), "cut": F.coalesce("_cut.spans", F.array())}
     return joined.withColumns({
         "n_paragraphs": F.when(F.col(text_col).isNull(), 0).otherwise(counts).cast("long"),
         "n_repeated": F.coalesce("_repeated", F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
         "removed": F.coalesce(F.array_sort("_gone"), F.array()),
-        "kept_text": F.when(F.coalesce(F.size("_gone"), F.lit(0)) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")),
-    }).drop("_hit_doc", "_hit_text", "_gone", "_repeated")
+        "kept_text": kept_text,
+    } | more).drop("_hit_doc", "_hit_text", "_gone", "_repeated", "_cut")

@@ -92,6 +92,54 @@ def test_paragraphs_of_odd_rows(odd_documents, no_documents):
     assert paragraph_dedup.remove_repeated_paragraphs(no_documents).count() == 0
 
 
+def _repeated_runs(rows, size):
+    """{id: words of a text that some other window-sized place of any text holds too}."""
+    places = defaultdict(set)
+    texts = {i: paragraph_dedup.ascii_words(t) for i, t in rows}
+    for i, w in texts.items():
+        for s in range(len(w) - size + 1):
+            places[tuple(w[s : s + size])].add((i, s))
+    out = {i: set() for i in texts}
+    for at in places.values():
+        for i, s in at if len(at) > 1 else ():
+            out[i] |= set(range(s, s + size))
+    return out
+
+
+def test_passages_inside_lines_and_over_short_lines(spark):
+    rng = random.Random(3)
+    words = lambda n: [("%06x" % rng.randrange(16**6)) for _ in range(n)]
+    inside, short = words(60), words(64)
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8))
+    rows = [(i, " ".join([*words(70 + i), *inside, *words(70)])) for i in (1, 2, 3)]
+    rows += [(4, wrap(words(40) + short + words(16))), (5, wrap(words(24) + short)), (6, " ".join(words(20) + short + words(9)))]
+    rows += [(7, " ".join(words(300))), (8, "  " + " ".join(words(30) + inside[:49]) + "\n\nend")]
+    got = {r.doc_id: r for r in paragraph_dedup.remove_repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), verbatim=True).collect()}
+    assert {i: r.n_passages for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0, 8: 0}
+    want = _repeated_runs(rows, 50)
+    for i, text in rows:
+        first = i in (1, 4)
+        own = [w for k, w in enumerate(text.split()) if first or k not in want[i]]
+        assert got[i].kept_text.split() == own and sum(c.words for c in got[i].cut) == (0 if first else len(want[i]))
+    assert got[8].kept_text == rows[7][1]
+
+
+def test_passages_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {i for i, w in _repeated_runs(rows, 50).items() if w}
+    got = queries.op4_substring_dedup(spark, sf).collect()
+    assert len(want) > 3 and {r.doc_id for r in got if r.n_passages} == want
+
+
+def test_passages_of_odd_rows(odd_documents, no_documents):
+    got = {r.doc_id: r for r in paragraph_dedup.remove_repeated_paragraphs(odd_documents, verbatim=True).collect()}
+    # The long text repeats its three words: the copies that overlap the first window stay with it.
+    assert got[4].n_passages == 1 and got[4].kept_text.split() == ("wörd of many " * 4000).split()[: 52]
+    assert got[1].kept_text is None and got[2].kept_text == "" and got[3].kept_text == "  \n\n " and got[5].n_passages == 0
+    assert paragraph_dedup.remove_repeated_paragraphs(no_documents, verbatim=True).count() == 0
+
+
 def test_bands_reach_the_recall():
     assert paragraph_dedup.recall(0.8) > 0.999
     rng = np.random.default_rng(0)
