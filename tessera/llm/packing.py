@@ -52,12 +52,11 @@ class Ids:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        if _ADJACENT.search(text):
+        if "\0" in text or _ADJACENT.search(text):
             first, *rest = _SAFE.split(text)
             return [first, *[" " + w for w in rest]]
         # A mark after a letter and before white space becomes a word of its own, set off by NUL.
-        if "\0" not in text:
-            text = _MARK.sub("\0\\1", text)
+        text = _MARK.sub("\0\\1", text)
         out: list[str] = []
         for i, line in enumerate(text.split("\n")):
             out += ["\n"] if i else []

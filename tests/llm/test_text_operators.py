@@ -256,6 +256,14 @@ def _check_packing(rows, docs, length=1024):
     return len(seqs), sum(r.length for r in rows)
 
 
+@given(st.text(alphabet="ab.,\0 \n\té", max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_ids_of_texts_with_nul(text):
+    ids = packing.Ids(packing.tokenizer_path())
+    for t in (text, "a\0b c"):
+        assert ids([t])[0].tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_holds_every_id_once(spark, documents):
     used, total = _check_packing(queries.op10_best_fit_packing(spark, DATA).collect(), documents.collect())
     assert used <= math.ceil(total / 1024) + 2
