@@ -1,9 +1,9 @@
 """Benchmark items inside documents, edited ones too: CGK embedding, bit-sampling LSH, exact edit distance.
 
 An item and a passage match when the edit distance of their word sequences is at most ``SHARE`` of the
-item's words. A random walk embeds a word sequence so that few edits give few differing symbols; samples of
-an embedding's symbols are its keys, in as many repetitions as the target recall needs, and windows as long
-as an item that share a key with it are compared exactly.
+item's words; one of fewer than five words must stand unchanged. A random walk embeds a word sequence so that few
+edits give few differing symbols; samples of an embedding's symbols are its keys, in as many repetitions as the target
+recall needs at the item's length, and windows as long as an item that share a key with it are compared exactly.
 
 Windows that cannot match are left out before they are embedded, without loss: of an item cut into one
 piece more than the edits it may have, some piece stands unchanged in every match.
@@ -13,27 +13,49 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import map_texts, mix64, word_hashes
+from tessera.llm.shared import free_names, map_blocks, mix64, string_hashes, text_blocks, words_of
 
-#: Edits that a match may have, as a share of the item's words; items of fewer words are not searched.
-SHARE, MIN_WORDS = 0.2, 5
+#: Edits that a match may have, as a share of the item's words.
+SHARE = 0.2
 #: Symbols in a key; the recall that the repetitions are set for, at the largest distance.
 SAMPLED, RECALL = 3, 0.98
 #: Words of the items that are broadcast at once; a longer benchmark takes several passes.
-BLOCK_WORDS = 1 << 21
-#: ASCII punctuation and control characters part words.
-_PARTS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+BLOCK_WORDS = 1 << 20
+#: ASCII punctuation and control characters part words, and scripts without spaces give one of each character.
+PARTS = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) for c in range(256)])
+ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])"
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-case words without ASCII punctuation."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_PARTS).split() if text else []
+def plain(column):
+    """An Arrow column of texts in lower case, characters of scripts without spaces set apart."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.utf8_lower(pc.fill_null(column.cast(pa.string()), ""))
+    data = column.buffers()[2]
+    if data is not None and (np.frombuffer(data, np.uint8) >= 0xE0).any():
+        column = pc.replace_substring_regex(column, ALONE, r" \1 ")
+    return column
+
+
+def text_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words without ASCII punctuation of ``plain`` texts, and each text's first one."""
+    start, end, first = words_of(raw, bounds, PARTS)
+    return string_hashes(raw, start, end), first
+
+
+def words(text: str | None) -> np.ndarray:
+    """Hashes of one text's words."""
+    import pyarrow as pa
+
+    return np.concatenate([text_words(raw, bounds)[0] for _, _, raw, bounds in text_blocks(plain(pa.array([text], pa.string())))])
 
 
 def grams(hashes: np.ndarray, q: int) -> np.ndarray:
@@ -43,13 +65,23 @@ def grams(hashes: np.ndarray, q: int) -> np.ndarray:
     return mix64(out, 100 + q)
 
 
-def embed(rows: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of each row's first ``lengths`` symbols into 3 x width symbols: the walk copies the
-    symbol it stands on and moves on by a random bit of the step and that symbol; 0 after the end."""
+def steps(length: int) -> int:
+    """Steps of a walk over ``length`` symbols that hardly ever lead past its end: it moves on at half of them."""
+    return max(length, int(2 * length - 3 * np.sqrt(2 * length)))
+
+
+def walks(length: int) -> int:
+    """Walks that the repetitions take turns in: more of short ones, which have few places to sample."""
+    return max(8, min(64, 320 // length))
+
+
+def embed(rows: np.ndarray, seed: int) -> np.ndarray:
+    """CGK embedding of each row: the walk copies the symbol it stands on and moves on by a random bit of the step and
+    that symbol; 0 after the end."""
     width = rows.shape[1]
-    padded = np.concatenate([np.where(np.arange(width) < lengths[:, None], rows, 0), np.zeros((len(rows), 1), np.uint64)], 1)
-    at, out, index = np.zeros(len(rows), np.int64), np.empty((len(rows), 3 * width), np.uint64), np.arange(len(rows))
-    for step in range(3 * width):
+    padded = np.concatenate([rows, np.zeros((len(rows), 1), np.uint64)], 1)
+    at, out, index = np.zeros(len(rows), np.int64), np.empty((len(rows), steps(width)), np.uint64), np.arange(len(rows))
+    for step in range(steps(width)):
         symbol = padded[index, at]
         out[:, step] = symbol
         at = np.minimum(at + (mix64(symbol, seed * 1_000_003 + step) & np.uint64(1)).astype(np.int64), width)
@@ -58,34 +90,58 @@ def embed(rows: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
 
 def sampled_keys(embedded: np.ndarray, length: int, repetition: int, sampled: int = SAMPLED) -> np.ndarray:
     """One key per row, of ``sampled`` symbols at places drawn for the length and repetition."""
-    places = np.random.default_rng((length, repetition)).integers(0, 3 * length, sampled)
+    places = np.random.default_rng((length, repetition)).choice(steps(length), min(sampled, steps(length)), replace=False)
     key = np.full(len(embedded), length, np.uint64)
     for p in places:
         key = mix64(key ^ embedded[:, p], repetition)
     return key
 
 
-def repetitions(share: float = SHARE, recall: float = RECALL, sampled: int = SAMPLED, length: int = 40) -> int:
-    """Repetitions that reach ``recall``, measured on random sequences with the largest allowed distance."""
+def edited(word: list[int], edits: int, rng: np.random.Generator) -> list[int]:
+    """``word`` after random edits: a symbol replaced, left out or doubled by a new one."""
+    word = list(word)
+    for _ in range(edits):
+        at, kind, new = int(rng.integers(len(word))), int(rng.integers(3)), int(rng.integers(1, 2**63))
+        word[at : at + 1] = [[new], [], [word[at], new]][kind] if len(word) > 1 else word
+    return word
+
+
+@lru_cache(maxsize=256)
+def _repetitions(length: int, share: float, recall: float, sampled: int) -> int:
     rng = np.random.default_rng(7)
-    edits = int(share * length)
-    a = rng.integers(1, 2**63, (300, length)).astype(np.uint64)
-    b = np.zeros_like(a)
-    for row, out in zip(a, b, strict=True):
-        word = row.tolist()
-        for _ in range(edits):
-            at, kind = rng.integers(len(word)), rng.integers(3)
-            word[at : at + 1] = [[int(rng.integers(1, 2**63))], [], [word[at], int(rng.integers(1, 2**63))]][kind] if len(word) > 1 else word
-        word = (word + [0] * length)[:length]
-        out[:] = word
-    full = np.full(len(a), length)
-    same = np.mean([(embed(a, full, s) == embed(b, full, s)).mean(1) for s in range(4)], 0)
-    for n in range(1, 4096):
-        if (1 - (1 - same**sampled) ** n).mean() >= recall:
-            return n
+    edits, trials = int(share * length), 400
+    q = length // (edits + 1)
+    items, windows, of = [], [], []
+    for i in range(trials):
+        item = rng.integers(1, 2**63, length).astype(np.uint64)
+        text = np.array([*rng.integers(1, 2**63, 2 * length).tolist(), *edited(item.tolist(), edits, rng), *rng.integers(1, 2**63, 2 * length).tolist()], np.uint64)
+        place = {g: p for p, g in enumerate(grams(text, q).tolist())}
+        starts = {place[g] - o * q for o, g in enumerate(grams(item, q)[: (edits + 1) * q : q].tolist()) if g in place}
+        items.append(item)
+        windows += [text[s : s + length] for s in starts]
+        of += [i] * len(starts)
+    turn = walks(length)
+    embedded = [(embed(np.array(items), walk), embed(np.array(windows), walk)) for walk in range(turn)]
+    hit = np.zeros(trials, bool)
+    for r in range(4096):
+        a, b = (sampled_keys(x, length, r, sampled) for x in embedded[r % turn])
+        hit[np.array(of)[a[of] == b]] = True
+        if hit.mean() >= recall:
+            return r + 1
     raise ValueError("no number of repetitions reaches the recall")
 
 
+def repetitions(length: int, share: float = SHARE, recall: float = RECALL, sampled: int = SAMPLED) -> int:
+    """Repetitions that reach ``recall`` for items of ``length`` words, measured on random sequences with the largest
+    allowed distance, at the next of a row of lengths that grow by a fifth; windows lie where an unchanged piece puts them."""
+    if int(share * length) == 0:
+        return 1
+    classes = [5]
+    while classes[-1] < length:
+        classes.append(-(-classes[-1] * 6 // 5))
+    return _repetitions(classes[-1], share, recall, sampled)
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of ``text`` nearest to ``item``; the first such end, then the longest."""
     m = len(text)
@@ -112,13 +168,12 @@ class Items:
     ids: list
     words: list[np.ndarray]
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length: bit table, hashes, offsets, item sizes
-    keys: dict[int, dict[int, list[int]]]  # by size and repetition: key -> items
-    repetitions: int
+    keys: dict[int, tuple[int, np.ndarray, np.ndarray]]  # by size: repetitions, sorted keys of all of them, their items
     share: float
 
     @classmethod
-    def of(cls, rows: list[tuple], share: float, times: int) -> Items:
-        kept = [(i, w) for i, w in ((i, word_hashes(words(t))) for i, t in rows) if len(w) >= MIN_WORDS]
+    def of(cls, rows: list[tuple], share: float, recall: float) -> Items:
+        kept = [(i, w) for i, w in ((i, words(t)) for i, t in rows) if len(w)]
         found: dict[int, set] = defaultdict(set)
         by_size: dict[int, list[int]] = defaultdict(list)
         for j, (_, w) in enumerate(kept):
@@ -134,54 +189,62 @@ class Items:
             g = np.array([e[0] for e in rows_], np.uint64)
             table[g >> np.uint64(44)] = True
             pieces[q] = table, g, np.array([e[1] for e in rows_]), np.array([e[2] for e in rows_])
-        keys: dict = defaultdict(lambda: defaultdict(list))
+        keys = {}
         for size, members in by_size.items():
-            rows_ = np.array([kept[j][1] for j in members])
-            for r in range(times):
-                for j, key in zip(members, sampled_keys(embed(rows_, np.full(len(rows_), size), r % 8), size, r).tolist(), strict=True):
-                    keys[size, r][key].append(j)
-        return cls([i for i, _ in kept], [w for _, w in kept], pieces, {k: dict(v) for k, v in keys.items()}, times, share)
-
-    def windows(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(start, size) of item-sized windows that hold an item's piece at its place."""
-        out = set()
+            times = repetitions(size, share, recall)
+            embedded = [embed(np.array([kept[j][1] for j in members]), walk) for walk in range(min(walks(size), times))]
+            all_keys = np.concatenate([sampled_keys(embedded[r % walks(size)], size, r) for r in range(times)])
+            order = np.argsort(all_keys, kind="stable")
+            keys[size] = times, all_keys[order], np.tile(members, times)[order]
+        return cls([i for i, _ in kept], [w for _, w in kept], pieces, keys, share)
+
+    def windows(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct rows (size, text, start) of item-sized windows that hold an item's piece at its place."""
+        out = [np.zeros((0, 3), np.int64)]
         for q, (table, known, offsets, sizes) in self.pieces.items():
             g = grams(hashes, q)
             at = table[g >> np.uint64(44)].nonzero()[0]
-            if len(at):
-                low, high = np.searchsorted(known, g[at], "left"), np.searchsorted(known, g[at], "right")
-                for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                    out.update(zip((p - offsets[a:b]).tolist(), sizes[a:b].tolist(), strict=True))
-        return out
-
-    def search(self, documents: list[np.ndarray]) -> list[list[tuple]]:
-        """Per document (item id, start, end, distance), in words; an item's matches never overlap."""
-        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for d, hashes in enumerate(documents):
-            for start, size in self.windows(hashes):
-                by_size[size].append((d, start))
-        candidates: set[tuple[int, int, int]] = set()
-        for size, places in by_size.items():
-            for at in range(0, len(places), 4096):
-                part = places[at : at + 4096]
-                rows = np.zeros((len(part), size), np.uint64)
-                for row, (d, start) in zip(rows, part, strict=True):
-                    piece = documents[d][max(0, start) : max(0, start + size)]
-                    row[max(0, -start) : max(0, -start) + len(piece)] = piece
-                embedded = [embed(rows, np.full(len(rows), size), walk) for walk in range(min(8, self.repetitions))]
-                for r in range(self.repetitions):
-                    known = self.keys[size, r]
-                    for (d, start), key in zip(part, sampled_keys(embedded[r % 8], size, r).tolist(), strict=True):
-                        for j in known.get(key, ()):
-                            candidates.add((d, j, start))
-        found: list[list[tuple]] = [[] for _ in documents]
-        for d, j, start in sorted(candidates):
+            text = np.searchsorted(first, at, "right") - 1
+            at, text = at[inside := at + q <= first[text + 1]], text[inside]
+            low, high = np.searchsorted(known, g[at], "left"), np.searchsorted(known, g[at], "right")
+            n = high - low
+            entry = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+            text = np.repeat(text, n)
+            out.append(np.stack([sizes[entry], text, np.repeat(at, n) - first[text] - offsets[entry]], 1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct rows (text, item, start) of windows that share a key with the item."""
+        out = [np.zeros((0, 3), np.int64)]
+        windows = self.windows(hashes, first)
+        for at in range(0, len(windows), 4096):
+            part = windows[at : at + 4096]
+            for size in np.unique(part[:, 0]).tolist():
+                text, start = part[part[:, 0] == size, 1:].T
+                place = (first[text] + start)[:, None] + np.arange(size)
+                within = (place >= first[text][:, None]) & (place < first[text + 1][:, None])
+                rows = np.where(within, hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(0))
+                times, known, items = self.keys[size]
+                embedded = [embed(rows, walk) for walk in range(min(walks(size), times))]
+                for r in range(times):
+                    key = sampled_keys(embedded[r % walks(size)], size, r)
+                    low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+                    n = high - low
+                    if n.any():
+                        entry = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+                        out.append(np.stack([np.repeat(text, n), items[entry], np.repeat(start, n)], 1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def search(self, hashes: np.ndarray, first: np.ndarray) -> list[list[tuple]]:
+        """Per text (item id, start, end, distance), in words; an item's matches never overlap."""
+        found: list[list[tuple]] = [[] for _ in range(len(first) - 1)]
+        for d, j, start in self.candidates(hashes, first).tolist():
             item = self.words[j]
             most = int(self.share * len(item))
             low, high = max(0, start - 2 * most), start + len(item) + 2 * most
             if any(i == j and s - most <= start < e for i, s, e, _ in found[d][-8:]):
                 continue
-            distance, a, b = best_match(item, documents[d][low:high])
+            distance, a, b = best_match(item, hashes[first[d] : first[d + 1]][low:high])
             if distance <= most and not any(i == j and s < low + b and low + a < e for i, s, e, _ in found[d]):
                 found[d].append((j, low + a, low + b, distance))
         return [[(self.ids[j], s, e, k) for j, s, e, k in sorted(f)] for f in found]
@@ -193,34 +256,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
 
     The benchmark is worked on in blocks of about ``BLOCK_WORDS`` words, each broadcast in turn against all
     documents. Null texts and ids of items are left out, equal items are each found; null and empty documents
-    have no leaks; a column called leaks is replaced.
+    have no leaks; a column called leaks is replaced, others pass.
     """
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    times = repetitions(share, recall)
     kind = T.ArrayType(T.StructType([
         T.StructField("item", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("distance", T.LongType()),
     ]))
     keep = [c for c in keep if c != "leaks"]
-    out = docs
-    for block in range(blocks):
+    out = docs.select(*keep, *[text_col] * (text_col not in keep))
+    names = free_names(out.columns, *[f"leaks_{i}" for i in range(blocks)]) if blocks > 1 else ["leaks"]
+    for block, name in enumerate(names):
         rows = [(r.id, r.text) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(Items.of(rows, share, times))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(rows, share, recall))
 
         def make(shared=shared):
-            def work(texts):
-                found = shared.value.search([word_hashes(words(t)) for t in texts])
-                return [[[dict(zip(("item", "start", "end", "distance"), m, strict=True)) for m in f] for f in found]]
+            def work(raw, bounds):
+                found = shared.value.search(*text_words(raw, bounds))
+                return None, [[[dict(zip(("item", "start", "end", "distance"), m, strict=True)) for m in f] for f in found]]
 
             return work
 
-        name = "leaks" if blocks == 1 else f"leaks_{block}"
-        read = keep if block == 0 else [*keep, *[f"leaks_{i}" for i in range(block)]]
-        read = read if text_col in read or block == blocks - 1 else [*read, text_col]
-        out = map_texts(out, text_col, read, [T.StructField(name, kind)], make)
+        last = block == blocks - 1
+        out = map_blocks(out, text_col, [c for c in out.columns if c != text_col or c in keep or not last], [T.StructField(name, kind)], make, plain)
     if blocks > 1:
-        out = out.select(*keep, F.concat(*[f"leaks_{i}" for i in range(blocks)]).alias("leaks"))
+        out = out.select(*keep, F.concat(*names).alias("leaks"))
     return out
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,33 +44,33 @@ class NGrams:
     def __init__(self) -> None:
         self.letters = _letters()
 
-    def buckets(self, text: str) -> np.ndarray | None:
-        """None where the text has no letter."""
-        code = self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if not code.any():
-            return None
-        code = np.concatenate([[0], code, [0]]).astype(np.uint32)
-        code = code[np.append(True, (code[1:] != 0) | (code[:-1] != 0))]
-        found, key = [], np.zeros(len(code), np.uint32)
-        for n in range(1, max(SIZES) + 1):
-            key = (key[: len(code) - n + 1] * np.uint32(0x01000193)) ^ code[n - 1 :]
-            key = key[: len(code) - n + 1]
-            if n in SIZES and len(key):
-                found.append((((key + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)).astype(np.int64))
-        return np.concatenate(found)
+    def codes(self, text: str) -> np.ndarray:
+        """Per character its letter's code, or 0."""
+        return self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """(buckets, counts) of the whole text, worked on run by run."""
+        """(buckets, counts) of the whole text, None where it has no letter.
+
+        Worked on run by run; the last codes of a run go before the next one's, whose n-grams are those that end in it.
+        """
         if not text:
             return None
         total = np.zeros(BUCKETS, np.int64)
-        letters = False
-        overlap = max(SIZES) - 1
+        letters, known = False, np.zeros(0, np.uint32)
         for at in range(0, len(text), RUN_CHARS):
-            found = self.buckets(text[max(0, at - overlap if at else 0) : at + RUN_CHARS])
-            if found is not None:
-                total += np.bincount(found, minlength=BUCKETS)
-                letters = True
+            code = self.codes(text[at : at + RUN_CHARS])
+            letters = letters or bool(code.any())
+            ends = [np.zeros(int(at == 0), np.uint32), code, np.zeros(int(at + RUN_CHARS >= len(text)), np.uint32)]
+            code = np.concatenate([known, *ends])
+            one = np.append(True, (code[1:] != 0) | (code[:-1] != 0))  # a row of spaces is one
+            code = code[one]
+            key = np.zeros(len(code), np.uint32)
+            for n in range(1, max(SIZES) + 1):
+                key = (key[: len(code) - n + 1] * np.uint32(0x01000193))[: max(0, len(code) - n + 1)] ^ code[n - 1 :]
+                new = key[max(0, len(known) - n + 1) :]
+                if n in SIZES and len(new):
+                    total += np.bincount(((new + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15), minlength=BUCKETS)
+            known = code[-(max(SIZES) - 1) :]
         if not letters:
             return None
         index = total.nonzero()[0]
@@ -161,8 +161,9 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_per_language: int = MAX_PER_LANGUAGE) -> Model:
     """A model of the languages in ``labelled``, whose rows without label, text or letters teach nothing.
 
-    The fitting sample holds about ``max_per_language`` texts of each language, chosen by a hash of the text,
-    so copies of a text count once there at most in share. Without any labelled text the model has no language.
+    The fitting sample holds up to ``max_per_language`` different texts of each language, chosen by a hash of the
+    text: copies count once. Of equally labelled texts the hash decides, whatever their place in the table. Without
+    any labelled text the model has no language.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -171,11 +172,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     idf = np.log((1 + n) / (1 + df)) + 1
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_per_language / sizes[k]))])
+    # Twice what is wanted, on average, of all texts; copies come in together or not at all and are one text then.
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * max_per_language / sizes[k]))])
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = rows.where(chance < F.element_at(share, F.col("label"))).withColumn("order", F.xxhash64(F.lit(7), "text"))
     counted = map_texts(chosen, "text", ["label", "order"], [T.StructField("index", T.BinaryType()), T.StructField("counts", T.BinaryType())], _count_maker)
-    sample = counted.where("index is not null").orderBy("order").limit(2 * max_per_language * len(languages)).collect()
+    different = counted.where("index is not null").groupBy("label", "order").agg(F.min(F.struct("index", "counts")).alias("f")).select("label", "order", "f.*")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("order"))
+    sample = different.withColumn("place", place).where(F.col("place") <= max_per_language).orderBy("order", "label").collect()
     known = {k: i for i, k in enumerate(languages)}
     examples = []
     while sample:  # rows go as they are turned into features

@@ -29,7 +29,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return paragraph_dedup.remove_repeated_paragraphs(docs, verbatim=True).select("doc_id", "n_paragraphs", "n_repeated", "n_removed", "removed", "n_passages", "cut", "kept_text")
+    return paragraph_dedup.remove_repeated_paragraphs(docs, verbatim=True).select("doc_id", "n_paragraphs", "n_repeated", "n_near", "n_removed", "removed", "cut", "kept_text")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

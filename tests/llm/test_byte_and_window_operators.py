@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import decontamination, queries, suffix_dedup
-from tessera.llm.shared import word_hashes
+
 
 from .conftest import DATA
 
@@ -107,9 +107,9 @@ def test_leaks_equal_brute_force(spark):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet").collect(), spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
     want = {}
     for i in items:
-        w = word_hashes(decontamination.words(i.text))
+        w = decontamination.words(i.text)
         for d in docs:
-            distance = decontamination.best_match(w, word_hashes(decontamination.words(d.text)))[0]
+            distance = decontamination.best_match(w, decontamination.words(d.text))[0]
             if distance <= int(0.2 * len(w)):
                 want[d.doc_id, i.item_id] = distance
     got = {(r.doc_id, r.item_id): r.distance for r in queries.op5_decontamination(spark, DATA).collect()}
@@ -135,11 +135,54 @@ def test_edited_passages_reach_the_recall(spark):
     assert got <= planted and len(got) >= 0.97 * len(planted)
 
 
+@pytest.mark.parametrize("length", [1, 4, 5, 10, 40, 100, 400, 1000])
+def test_keys_reach_the_recall_and_part_unrelated_windows(length):
+    rng = np.random.default_rng(length)
+    vocabulary = ["w%x" % i for i in range(20_000)]
+    share = 1 / (np.arange(20_000) + 3.7)  # as often as words of a language
+    draw = lambda n: [vocabulary[i] for i in rng.choice(20_000, n, p=share / share.sum())]
+    texts = [" ".join(draw(length)) for _ in range(20)]
+    items = decontamination.Items.of(list(enumerate(texts)), 0.2, decontamination.RECALL)
+    hit = 0
+    for i in range(100):
+        part = decontamination.edited(decontamination.words(texts[i % 20]).tolist(), int(0.2 * length), rng)
+        before, after = (decontamination.words(" ".join(draw(length + 20))) for _ in range(2))
+        hashes = np.concatenate([before, np.array(part, np.uint64), after])
+        hit += i % 20 in items.candidates(hashes, np.array([0, len(hashes)]))[:, 1]
+    assert hit >= 95
+    if length >= 5:
+        times, known, of = items.keys[length]
+        rows = np.array([decontamination.words(" ".join(draw(length))) for _ in range(200)])
+        walks = [decontamination.embed(rows, walk) for walk in range(decontamination.walks(length))]
+        met = np.zeros((200, 20), bool)
+        for r in range(times):
+            keys = decontamination.sampled_keys(walks[r % len(walks)], length, r)
+            for row, key in enumerate(keys):
+                met[row, of[np.searchsorted(known, key, "left") : np.searchsorted(known, key, "right")]] = True
+        assert met.mean() < 0.1
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([(1, "three word item"), (2, "\u65e5\u672c\u8a9e\u306e\u9577\u3044\u554f\u984c\u6587"), (3, "Alone")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "a Three, word ITEM here"), (2, "three other word item"), (3, "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u9577\u304f\u554f\u984c\u6587\u3067\u3059"), (4, "alone"), (5, "lonely"),
+    ], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks_by_document(docs, bench).collect()} == {(1, 1), (3, 2), (4, 3)}
+
+
+def test_columns_called_as_those_of_the_passes_stay(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 4)
+    docs = spark.createDataFrame([(1, "one two three four five", "x", "y")], "doc_id long, text string, leaks_0 string, leaks_1 string")
+    bench = spark.createDataFrame([(i, "one two three four five" + " more" * i) for i in range(3)], "item_id long, text string")
+    (row,) = decontamination.find_leaks(docs, bench, docs.columns).collect()
+    assert (row.leaks_0, row.leaks_1) == ("x", "y") and {m.item for m in row.leaks} == {"0", "1"}
+
+
 def test_decontamination_of_odd_rows(spark, odd_documents, no_documents, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four FIVE"), (2, None), (None, "a b c d e f"), (3, ""), (4, "short one"), (1, "one two three four FIVE")], "item_id long, text string")
     left = decontamination.decontaminate(odd_documents, bench)
     assert left.columns == odd_documents.columns
-    assert Counter(r.doc_id for r in left.collect()) == Counter({1: 1, 2: 1, 3: 1, 4: 1, None: 1, 7: 1})
+    assert Counter(r.doc_id for r in left.collect()) == Counter({1: 1, 2: 1, 3: 1, 4: 1, None: 1, 7: 1})  # null, blank and other texts
     assert decontamination.decontaminate(no_documents, bench).count() == 0
     assert decontamination.decontaminate(odd_documents, bench.limit(0)).count() == odd_documents.count()
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 4)
