@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import hash128, written
+from tessera.llm.shared import free_names, hash128, written
 
 #: A line on this many sites is boilerplate.
 MIN_SITES = 10
@@ -71,17 +71,19 @@ def remove_boilerplate(
     hits = lines.drop("_site").join(found, ["_h1", "_h2"])
     if keep_first:
         hits = hits.where(~F.struct("_doc", "_pos").eqNullSafe(F.col("first")))
-    gone = hits.groupBy(F.col("_doc").alias("_hit_doc"), F.col("_text").alias("_hit_text")).agg(F.collect_set("_pos").alias("_gone"))
+    docs = docs.drop(*[c for c in ("n_lines", "n_removed", "kept_text") if c not in (id_col, text_col)])
+    doc, key, gone = free_names([*docs.columns, "n_lines", "n_removed", "kept_text"], "doc", "key", "gone")
+    left = hits.groupBy(F.col("_doc").alias(doc), F.col("_text").alias(key)).agg(F.collect_set("_pos").alias(gone))
     split = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_hit_doc")) & (F.xxhash64(text_col) == F.col("_hit_text")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    joined = docs.join(left, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(key)), "left")
     return joined.withColumns({
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        "kept_text": F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
+        "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(
             F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
         ),
-    }).drop("_hit_doc", "_hit_text", "_gone")
+    }).drop(doc, key, gone)
 
 
 def sql(min_sites: int = MIN_SITES) -> str:

@@ -27,7 +27,7 @@ from tessera.llm.shared import scratch, small_batches
 
 FORMAT = "media_archive"
 WIDTH = 64
-ARCHIVE_BYTES = 256 << 20
+ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 RETRIES = 3
@@ -124,7 +124,9 @@ class ArchiveWriter(DataSourceArrowWriter):
                     name = f"{uuid.uuid4().hex}.zip"
                     out = store.open_output_stream(f"{folder}/{name}")
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                archive.writestr(zipfile.ZipInfo(f"{seen:08d}-{'' if key is None else key}.png"), encode_png(content or b""))
+                member = zipfile.ZipInfo(f"{seen:08d}.png")
+                member.comment = b"" if key is None else b"=" + key.encode("utf-8", "surrogatepass")  # the key, as it is
+                archive.writestr(member, encode_png(content or b""))
                 seen += 1
                 if out.tell() >= ARCHIVE_BYTES:
                     archive.close()
@@ -186,7 +188,7 @@ class ArchiveReader(DataSourceReader):
         return data
 
     def _row(self, store, path: str, info: zipfile.ZipInfo) -> tuple:
-        key = info.filename.partition("-")[2].removesuffix(".png") or None
+        key = info.comment[1:].decode("utf-8", "surrogatepass") if info.comment else None
         for left in range(self.retries, -1, -1):
             try:
                 data = self._member(store, path, info)

@@ -17,20 +17,21 @@ import zlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import ascii_words, components, map_texts, mix64, shingle_hashes, small_batches, word_hashes, written
+from tessera.llm.shared import ascii_words, components, give_back, group_shingles, lower_words, map_blocks, mix64, ragged, set_keys, shingle_hashes, small_batches, text_blocks, word_hashes, written
 
 #: Counters of the frequency sketch and of one of its blocks: a fixed size, whatever the input.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
-#: Sketches that one task adds up.
-FAN_IN = 64
+#: Sketches that one task adds up, and how often: the driver adds one per block and 64^3 tasks.
+FAN_IN, LEVELS = 64, 3
 ORDERS = 3
 #: Longest posting list whose pairs are all compared at once.
 SHORT_LIST = 32
+#: Sets of a long list that are compared in one go with as many others.
+LIST_BLOCK = 512
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -48,14 +49,14 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
         total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            hashed = [shingles(t, k) for t in batch.column(0).to_pylist()]
-            if hashed:
-                np.add.at(total, np.concatenate(hashed) >> np.uint64(64 - 22), np.uint32(1))
+            for _, _, raw, bounds in text_blocks(batch.column(0)):
+                np.add.at(total, group_shingles(*lower_words(raw, bounds), k)[0] >> np.uint64(64 - 22), np.uint32(1))
         task = TaskContext.get().partitionId()
         for at in range(0, COUNTERS, BLOCK):
             part = total[at : at + BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_pylist([{"block": at // BLOCK, "task": task, "counts": zlib.compress(part.astype("<i8").tobytes(), 1)}], schema=schema)
+        give_back()
 
     import pyarrow as pa
 
@@ -69,10 +70,11 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     kind = "block int, task int, counts binary"
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, kind)
-    parts = parts.groupBy("block", (F.col("task") / FAN_IN).cast("int")).applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind)
+    for level in range(1, LEVELS + 1):
+        parts = parts.groupBy("block", (F.col("task") / FAN_IN**level).cast("int")).applyInPandas(add, kind)
     total = np.zeros(COUNTERS, np.int64)
-    for row in parts.collect():  # at most COUNTERS / BLOCK rows
-        total[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(row.counts), "<i8")
+    for row in parts.toLocalIterator():  # COUNTERS / BLOCK rows for each FAN_IN^LEVELS tasks
+        total[row.block * BLOCK : (row.block + 1) * BLOCK] += np.frombuffer(zlib.decompress(row.counts), "<i8")
     mean = max(total.mean(), 1.0)
     over = (total - mean) / (6 * np.sqrt(mean))
     return np.where(over < 1, 0, np.floor(np.log2(np.maximum(over, 1))) + 1).astype(np.uint8)
@@ -104,7 +106,7 @@ def _bound(a: str, b: str, shared: Column, percent: int) -> Column:
 
 
 class Join:
-    """One self-join: its tables and steps. ``found`` has a row per document, ``links`` the pairs of distinct sets."""
+    """One self-join: its tables and steps. ``found`` has a row per document, ``links`` the pairs of distinct sets, each named by 128 bits."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> None:
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
@@ -120,31 +122,35 @@ class Join:
     def _sets(self) -> DataFrame:
         """(id, n, set, prefix) of every document; the prefix once per set and task."""
         k, percent, shared = self.k, self.percent, self.classes
-        fields = [T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+        fields = [T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
 
         def make():
-            seen: set[int] = set()
-
-            def work(texts):
-                sizes, names, prefixes = [], [], []
-                for text in texts:
-                    tokens = shingles(text, k)
-                    sizes.append(len(tokens))
-                    name = int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "big", signed=True) if len(tokens) else None
-                    names.append(name)
-                    prefixes.append(None if name is None or name in seen else prefix(tokens, shared.value, 0, percent).view(np.int64))
-                    seen.add(name)
-                return [sizes, names, prefixes]
+            import pyarrow as pa
+
+            seen: set[bytes] = set()
+
+            def work(raw, bounds):
+                tokens, of = group_shingles(*lower_words(raw, bounds), k)
+                names = set_keys(tokens, of)
+                found, size, again = [], [0], []
+                for name, a, b in zip(names.to_pylist(), of[:-1].tolist(), of[1:].tolist(), strict=True):
+                    again.append(name is None or name in seen)
+                    if not again[-1]:
+                        seen.add(name)
+                        found.append(prefix(tokens[a:b], shared.value, 0, percent).view(np.int64))
+                    size.append(0 if again[-1] else len(found[-1]))
+                prefixes = ragged(np.concatenate(found) if found else np.zeros(0, np.int64), np.cumsum(size), pa.int64(), np.array(again))
+                return None, [np.diff(of), names, prefixes]
 
             return work
 
-        return map_texts(self.docs, "text", ["id"], fields, make)
+        return map_blocks(self.docs, "text", ["id"], fields, make)
 
     def _shared(self) -> DataFrame:
         """Postings (token, set, n, pos) of tokens in the prefix of several sets, with the list's length and pivot."""
         postings = self.sets.where("prefix is not null").select("set", "n", F.posexplode("prefix").alias("pos", "token"))
         lists = (
-            postings.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("length"))
+            postings.groupBy("token").agg(F.min(F.xxhash64("set")).alias("low"), F.max(F.xxhash64("set")).alias("high"), F.count("*").alias("length"))
             .where("low <> high").select("token", "length")
         )
         return postings.join(lists, "token").select("token", "set", "n", "pos", (F.col("length") > SHORT_LIST).alias("long")).distinct()
@@ -180,11 +186,17 @@ class Join:
 
     def _late_pairs(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs of long lists in different components that their positions allow."""
-        long = shared.where("long").join(groups.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("group", F.coalesce("root", "set"))
-        mixed = long.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-        long = written(long.join(mixed, "token", "left_semi"), "long-lists")
-        a, b = self._side(long, "a", F.col("group").alias("group_a")), self._side(long, "b", F.col("group").alias("group_b"))
-        pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & self._near() & self._reachable())
+        groups = groups.select(F.col("node").alias("set"), "root")
+        long = shared.where("long").join(groups, "set", "left").select("token", "set", "n", "pos", F.coalesce("root", "set").alias("group"))
+        long = written(long, "long-lists")
+        name = F.xxhash64("group")
+        mixed = long.groupBy("token").agg(F.min(name).alias("low"), F.max(name).alias("high"), F.count("*").alias("k")).where("low <> high")
+        long = long.join(mixed.select("token", F.ceil(F.col("k") / LIST_BLOCK).cast("int").alias("blocks")), "token")
+        long = written(long.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")), "long-lists")
+        # Every block of a list meets every other one, and itself, in a group of its own.
+        a = self._side(long, "a", F.col("group").alias("group_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        b = self._side(long, "b", F.col("group").alias("group_b"), "block")
+        pairs = a.join(b, ["token", "block"]).where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & self._near() & self._reachable())
         return pairs.select("a", "b", "n_a", "n_b").distinct()
 
     @staticmethod
@@ -208,16 +220,22 @@ class Join:
         orders = [T.StructField(f"order{i}", T.ArrayType(T.IntegerType())) for i in range(1, ORDERS)]
 
         def make():
-            def work(texts):
-                names, tokens = [], [shingles(t, k) for t in texts]
-                for t in tokens:
-                    names.append(int.from_bytes(xxhash.xxh3_64_digest(t.tobytes()), "big", signed=True) if len(t) else None)
-                prefixes = [[(prefix(t, shared.value, i, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(t) else None for t in tokens] for i in range(1, ORDERS)]
-                return [names, [t.tobytes() for t in tokens], *prefixes]
+            import pyarrow as pa
+
+            def work(raw, bounds):
+                tokens, of = group_shingles(*lower_words(raw, bounds), k)
+                each = np.split(tokens, of[1:-1])
+                found = []
+                for i in range(1, ORDERS):
+                    parts = [(prefix(t, shared.value, i, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(t) else np.zeros(0, np.int32) for t in each]
+                    found.append(ragged(np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts])), pa.int32()))
+                whole = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer((of * 8).astype(np.int32)), pa.py_buffer(tokens)])
+                return None, [set_keys(tokens, of), whole, *found]
 
             return work
 
-        found = map_texts(texts.withColumn("wanted", F.col("set")), "text", ["wanted"], [T.StructField("set", T.LongType()), T.StructField("tokens", T.BinaryType()), *orders], make)
+        fields = [T.StructField("set", T.BinaryType()), T.StructField("tokens", T.BinaryType()), *orders]
+        found = map_blocks(texts.withColumn("wanted", F.col("set")), "text", ["wanted"], fields, make)
         found = written(found.where("set = wanted").drop("wanted").dropDuplicates(["set"]), "candidate-sets")
         names = [f.name for f in orders]
         light = pairs
@@ -241,7 +259,7 @@ class Join:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return left.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long")
+        return left.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a binary, b binary")
 
     @staticmethod
     def _repeats(order: str) -> Column:
@@ -253,13 +271,9 @@ class Join:
         k = self.k
 
         def make():
-            def work(texts):
-                tokens = [shingles(t, k) for t in texts]
-                return [[int.from_bytes(xxhash.xxh3_64_digest(t.tobytes()), "big", signed=True) if len(t) else None for t in tokens], texts]
-
-            return work
+            return lambda raw, bounds: (None, [set_keys(*group_shingles(*lower_words(raw, bounds), k))])
 
-        found = map_texts(self.docs.where("id is null"), "text", [], [T.StructField("set", T.LongType()), T.StructField("text", T.StringType())], make)
+        found = map_blocks(self.docs.where("id is null"), "text", ["text"], [T.StructField("set", T.BinaryType())], make)
         return found.join(sets, "set", "left_semi").select("set", "text")
 
     def groups(self) -> DataFrame:

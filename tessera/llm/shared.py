@@ -104,7 +104,7 @@ _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _LONG = 256
 
 
-def text_blocks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, bounds of each text in them) of an Arrow column of strings or binaries;
     nulls are empty."""
     import pyarrow as pa
@@ -116,7 +116,7 @@ def text_blocks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + BLOCK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (size or BLOCK_BYTES), "right")) - 1)
         yield a, b, raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
         a = b
 
@@ -207,6 +207,20 @@ def set_names(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix64(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64), 78), np.uint64(0)).view(np.int64)
 
 
+def set_keys(tokens: np.ndarray, bounds: np.ndarray):
+    """A name of 128 bits, as 16 bytes, of each set of tokens; null of an empty one. An Arrow array."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = np.diff(bounds)
+    halves = np.empty((len(size), 2), np.uint64)
+    for i in (0, 1):
+        total = np.append(np.uint64(0), np.cumsum(mix64(tokens, 81 + i)))
+        halves[:, i] = mix64(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64), 83 + i)
+    names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(size), [None, pa.py_buffer(halves)]).cast(pa.binary())
+    return pc.if_else(pa.array(size > 0), names, pa.scalar(None, pa.binary()))
+
+
 def ragged(values: np.ndarray, bounds: np.ndarray, kind, null: np.ndarray | None = None):
     """An Arrow array of lists; null where the flags say so."""
     import pyarrow as pa

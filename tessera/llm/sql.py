@@ -12,9 +12,14 @@ c as (select url, 'https://' || host || regexp_replace(path, '/+$', '') || case
 h as (select url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as canonical,
   regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1) as refresh from pages where url is not null),
 l as (select url, unnest([canonical, refresh]) as link from h),
-e as (select url as a, target as b from c union select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then replace(link, '&amp;', '&')
-    when link like '//%' then regexp_extract(url, '^[^:]*:') || replace(link, '&amp;', '&')
-    when link like '/%' then regexp_extract(url, '^[^:]*://[^/?#]*') || replace(link, '&amp;', '&') end from l where link <> ''),
+k as (select s.url, s.host, s.path, replace(link, '&amp;', '&') as link from l join s on s.url = l.url where s.ok),
+q as (select *, regexp_extract(link, '^[^?#]*') as own, regexp_extract(link, '^[^?#]*(.*)$', 1) as tail, regexp_extract(url, '^[^:]*:') as scheme from k),
+d as (select *, string_split(substr(case when link like '/%' then own else regexp_extract(case path when '' then '/' else path end, '^.*/') || own end, 2), '/') as parts from q),
+w as (select *, list_reduce(list_prepend('', parts), lambda done, x: case x when '..' then regexp_replace(done, '/[^/]*$', '') when '.' then done else done || '/' || x end)
+    || case when parts[-1] in ('.', '..') then '/' else '' end as walked from d),
+e as (select url as a, target as b from c union select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+    when regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:|#|$)') then null when link like '//%' then scheme || link
+    when link like '?%' then scheme || '//' || host || path || link else scheme || '//' || host || walked || tail end from w),
 both_ways as (select a, b from e where b is not null and a <> b union select b, a from e where b is not null and a <> b),
 reach as (select a as node, a as other from both_ways union select r.node, w.b from reach r join both_ways w on w.a = r.other),
 groups as (select node, min(other) as root from reach group by 1),

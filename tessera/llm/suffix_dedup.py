@@ -18,10 +18,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import map_texts, mix64, small_batches, written
+from tessera.llm.shared import free_names, give_back, map_texts, mix64, small_batches, text_blocks, written
 
 LENGTH, GRAM = 200, 96
 WINDOW = LENGTH - GRAM + 1
@@ -30,8 +31,10 @@ PERIOD, COVER = 32, (0, 1, 2, 4, 8, 13, 18, 24)
 #: Places of an anchor from which its strings go one by one; bytes of a block.
 HOT, BLOCK_BYTES = 1000, 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Bytes hashed at once: bounds the memory that a long text takes.
-PART = 1 << 20
+#: Bytes hashed at once: bounds the memory that a long text takes, and what short ones take together.
+PART, SHORT_TEXTS = 1 << 20, 1 << 18
+#: Strings of hot anchors that a task keeps, to combine equal ones before the shuffle.
+HOT_KEPT = 100_000
 
 
 def _powers(n: int, odd: np.uint64) -> np.ndarray:
@@ -85,6 +88,30 @@ def anchors(data: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
+def text_anchors(raw: np.ndarray, bounds: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
+    """(text, start, end, place, hash) of the anchors of several texts, places counted from each one's begin."""
+    if len(raw) > PART:
+        each = [anchors(raw[a:b], hasher) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return np.repeat(np.arange(len(each)), [len(x[0]) for x in each]), *(np.concatenate(c) for c in zip(*each, strict=True))
+    text = np.repeat(np.arange(len(bounds) - 1), np.maximum(np.diff(bounds) - LENGTH + 1, 0))
+    n = np.bincount(text, minlength=len(bounds) - 1)
+    starts = np.arange(len(text)) + np.repeat(bounds[:-1] - (np.cumsum(n) - n), n)
+    if not len(starts):
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    h = hasher(raw, GRAM)
+    low = _slide(h, WINDOW, np.minimum)
+    pad = np.zeros(WINDOW - 1, np.uint64)
+    places = (h == _slide(np.concatenate([pad, low, pad]), WINDOW, np.maximum)).nonzero()[0]
+    low = low[starts]
+    nearest = np.searchsorted(places, starts)
+    while len(off := (h[places[nearest]] != low).nonzero()[0]):
+        nearest[off] += 1
+    new = np.append(True, (nearest[1:] != nearest[:-1]) | (text[1:] != text[:-1])).nonzero()[0]
+    last = np.append(new[1:], len(starts)) - 1
+    of, place = text[new], places[nearest[new]]
+    return of, starts[new] - bounds[of], starts[last] + 1 - bounds[of], place - bounds[of], h[place]
+
+
 def repeats_in_block(stretches: list[bytes], places: np.ndarray, runs: np.ndarray, buckets: np.ndarray) -> list[np.ndarray]:
     """Per stretch, which of its first ``runs`` strings another place of its bucket has too."""
     sizes = np.array([len(s) for s in stretches])
@@ -164,14 +191,13 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
         hasher, seen = Hasher(), set()
         for batch in batches:
-            parts = []
-            for k1, k2, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (k1, k2) not in seen:
-                    seen.add((k1, k2))
-                    _, _, place, h = anchors(np.frombuffer(data, np.uint8), hasher)
-                    parts.append((h.view(np.int64), np.full(len(h), k1), place))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=["hash", "k1", "place"])
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
+            new = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            k1, data = batch.column(0).take(pa.array(new, pa.int64())).to_numpy(), batch.column(2).take(pa.array(new, pa.int64()))
+            for a, _, raw, bounds in text_blocks(data, SHORT_TEXTS):
+                of, _, _, place, h = text_anchors(raw, bounds, hasher)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1[a + of]), pa.array(place)], names=["hash", "k1", "place"])
+        give_back()
 
     k1, k2 = _text_key()
     long = docs.select(k1.alias("k1"), k2.alias("k2"), F.encode("text", "UTF-8").alias("data")).where(F.length("data") >= LENGTH)
@@ -182,43 +208,51 @@ def _stretches(marked: DataFrame) -> DataFrame:
     """Texts with their repeated anchors: (bucket, k1, k2, start, place, runs, bytes) to be sorted, and spans known already (runs 0)."""
     small_batches(marked.sparkSession)
 
+    step = 1 << 40
+
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         schema = pa.schema([("bucket", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("place", pa.int64()), ("runs", pa.int64()), ("bytes", pa.binary())])
         hasher, last = Hasher(), None
-        hot_seen: dict[tuple[int, int], tuple | None] = {}
+        hot_seen: dict[tuple[int, bytes], tuple | None] = {}
         for batch in batches:
-            rows = []
-            for k1, k2, data, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (k1, k2) == last:
-                    continue
-                last = (k1, k2)
-                array = np.frombuffer(data, np.uint8)
-                start, end, place, h = anchors(array, hasher)
-                known = {m["place"]: m["hot"] for m in marks}
-                strings = None
-                for s, e, p, g in zip(start.tolist(), end.tolist(), place.tolist(), h.view(np.int64).tolist(), strict=True):
-                    hot = known.get(p)
-                    if hot is None:
-                        continue
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
+            new = [i for i, key in enumerate(keys) if key != (keys[i - 1] if i else last)]  # they come sorted
+            last = keys[-1] if keys else last
+            data, marks = (batch.column(i).take(pa.array(new, pa.int64())) for i in (2, 3))
+            for a, b, raw, bounds in text_blocks(data, SHORT_TEXTS):
+                part = marks.slice(a, b - a)
+                known = np.repeat(np.arange(b - a), pc.list_value_length(part).to_numpy()) * step + part.flatten().field("place").to_numpy()
+                order = np.argsort(known)
+                known, hots = known[order], part.flatten().field("hot").to_numpy(zero_copy_only=False)[order]
+                of, start, end, place, h = text_anchors(raw, bounds, hasher)
+                at = np.minimum(np.searchsorted(known, of * step + place), max(0, len(known) - 1))
+                mine = (known[at] == of * step + place).nonzero()[0] if len(known) else at[:0]
+                text, rows = raw.tobytes(), []
+                columns = (of[mine], start[mine], end[mine], place[mine], h[mine].view(np.int64), hots[at[mine]], bounds[of[mine]])
+                for i, s, e, p, g, hot, begin in zip(*(c.tolist() for c in columns), strict=True):
+                    k1, k2 = keys[new[a + i]]
                     if not hot:
-                        rows.append((g, k1, k2, s, p - s, e - s, data[s : e - 1 + LENGTH]))
+                        rows.append((g, k1, k2, s, p - s, e - s, text[begin + s : begin + e - 1 + LENGTH]))
                         continue
-                    if strings is None:
-                        strings = hasher(array, LENGTH).view(np.int64)
-                    for i in range(s, e):
-                        key = (g, int(strings[i]))
+                    for w in range(s, e):
+                        string = text[begin + w : begin + w + LENGTH]
+                        key = (g, string)
                         if key not in hot_seen:
-                            hot_seen[key] = (k1, k2, i)
-                            rows.append((key[1], k1, k2, i, p - i, 1, data[i : i + LENGTH]))
+                            if len(hot_seen) >= HOT_KEPT:
+                                hot_seen.clear()
+                            hot_seen[key] = (k1, k2, w)
+                            rows.append((xxhash.xxh3_64_intdigest(string) - (1 << 63), k1, k2, w, p - w, 1, string))
                         else:  # another place of this task has it: both are repeats
-                            rows.append((0, k1, k2, i, 0, 0, b""))
+                            rows.append((0, k1, k2, w, 0, 0, b""))
                             if (other := hot_seen[key]) is not None:
                                 rows.append((0, *other, 0, 0, b""))
                                 hot_seen[key] = None
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        give_back()
 
     return marked.select("k1", "k2", "data", "marks").mapInArrow(run, "bucket long, k1 long, k2 long, start long, place long, runs long, bytes binary")
 
@@ -261,6 +295,7 @@ def _sorted_blocks(stretches: DataFrame) -> DataFrame:
                 size += len(row[6])
         if held:
             yield solve(held)
+        give_back()
 
     dealt = stretches.where("runs > 0").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "k1 long, k2 long, start long, end long")
@@ -288,11 +323,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     copies = keyed.where(F.octet_length("text") >= LENGTH).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
     whole = copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
     spans = _sorted_blocks(stretches).unionByName(known).unionByName(whole)
-    spans = written(spans.groupBy("k1").agg(F.collect_set(F.struct("k2", "start", "end")).alias("_found")), "repeated-spans")
     kept = [c for c in docs.columns if c != "spans"]
-    base = docs.select(*kept, F.xxhash64(text_col).alias("_k1"), F.xxhash64(F.lit(0x5EED), F.col(text_col)).alias("_k2"))
-    found = base.join(spans.withColumnRenamed("k1", "_k1"), "_k1", "left")
-    own = F.filter("_found", lambda s: (s["k2"] == F.col("_k2")) & F.col(text_col).isNotNull())
+    one, two, mine = free_names(kept, "k1", "k2", "found")
+    spans = spans.groupBy(F.col("k1").alias(one)).agg(F.collect_set(F.struct("k2", "start", "end")).alias(mine))
+    spans = written(spans, "repeated-spans")
+    base = docs.select(*kept, F.xxhash64(text_col).alias(one), F.xxhash64(F.lit(0x5EED), F.col(text_col)).alias(two))
+    found = base.join(spans, one, "left")
+    own = F.filter(mine, lambda s: (s["k2"] == F.col(two)) & F.col(text_col).isNotNull())
     end = lambda s: F.when(s["end"] < 0, F.octet_length(text_col).cast("long")).otherwise(s["end"])
     sorted_spans = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("start"), end(s).alias("end"))))
     return found.select(*kept, F.coalesce(sorted_spans, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
@@ -317,11 +354,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     """The ``keep`` columns, n_bytes, n_removed, n_spans and kept (binary: a cut may part a character)."""
     from pyspark.sql import types as T
 
+    keep = [c for c in keep if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     found = repeated_spans(docs, text_col)
+    (row,) = free_names([*keep, "n_bytes"], "row")
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = found.select(*keep, F.length(data).cast("long").alias("n_bytes"), F.struct(data.alias("data"), "spans").alias("_row"))
+    rows = found.select(*keep, F.length(data).cast("long").alias("n_bytes"), F.struct(data.alias("data"), "spans").alias(row))
     fields = [T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
-    return map_texts(rows, "_row", [*keep, "n_bytes"], fields, _cutter)
+    return map_texts(rows, row, [*keep, "n_bytes"], fields, _cutter)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

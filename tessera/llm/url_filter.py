@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import components, written
+from tessera.llm.shared import components, free_names, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that only tell where a visitor came from.
@@ -36,13 +36,29 @@ def canonical_url(url: Column) -> Column:
     return F.when(_rest(url).isNotNull(), F.concat(F.lit("https://"), url_host(url), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def _without_dots(path: Column) -> Column:
+    """The path, which begins with a slash, after its . and .. segments are followed."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    up = lambda done: F.regexp_replace(done, "/[^/]*$", "")
+    walked = F.aggregate(parts, F.lit(""), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x)))
+    return F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(walked, F.lit("/"))).otherwise(walked)
+
+
 def _absolute(link: Column, base: Column) -> Column:
+    """What a link on the page ``base`` names, as a browser takes it; null of an empty one, a place in the page, and other
+    schemes such as mailto."""
     link = F.trim(F.replace(link, F.lit("&amp;"), F.lit("&")))
     scheme = F.regexp_extract(base, "^[^:]*:", 0)
+    site = F.concat(scheme, F.lit("//"), url_host(base))
+    path, rest = F.regexp_extract(link, "^[^?#]*", 0), F.regexp_extract(link, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(F.concat(url_path(base), F.when(url_path(base) == "", "/").otherwise("")), "^.*/", 0)
     return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|$)") | _rest(base).isNull(), None)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("//"), url_host(base), link))
+        .when(link.startswith("/"), F.concat(site, _without_dots(path), rest))
+        .when(link.startswith("?"), F.concat(site, url_path(base), link))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest))
     )
 
 
@@ -96,12 +112,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
         judged.where("root is not null and action is not null")
         .groupBy("root").agg(F.bool_or(F.col("action") == "allow").alias("allows"))
     )
+    spread = written(spread, "judged-components")
+    kept = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c not in (url_col, html_col)])
+    (mine,) = free_names([*kept.columns, "host", "path", "rule", "verdict"], "url")
     verdicts = judged.join(spread, "root", "left").select(
-        F.col("url").alias("_url"), "rule",
+        F.col("url").alias(mine), "rule",
         F.coalesce("action", F.when(F.col("allows"), "allow").when(~F.col("allows"), "block"), F.lit("allow")).alias("verdict"),
     )
-    kept = pages.drop("host", "path", "rule", "verdict")
-    out = kept.join(verdicts, F.col(url_col) == F.col("_url"), "left").drop("_url")
+    out = kept.join(verdicts, F.col(url_col) == F.col(mine), "left").drop(mine)
     return out.withColumns({
         "host": url_host(F.col(url_col)), "path": url_path(F.col(url_col)), "verdict": F.coalesce("verdict", F.lit("allow")),
     })
