@@ -26,7 +26,8 @@ BANDS, ROWS = 10, 3
 #: Bits of the one-bit sketch. At similarity 0.8 a tenth of them differ, 12.8 of 128 with a deviation of 3.4:
 #: the limit is over five deviations above.
 SKETCH, MAX_DIFFERENT = 128, 32
-SHORT_LIST = 32
+#: Longest list of different sets in a band whose pairs are all compared at once.
+SHORT_LIST = 8
 #: Bands of the members of long lists, and their sketch: at similarity 0.8 102.4 of 1024 bits differ with a deviation
 #: of 9.6; the limit is over four deviations above.
 FINE_BANDS, FINE_ROWS = 30, 8
@@ -205,8 +206,10 @@ def _side(rows: DataFrame, side: str, key: str, *more: str) -> DataFrame:
 def paragraph_links(occurrences: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between different paragraph sets. ``sets``: (set, n, bands, s1, s2), a set perhaps several times."""
     postings = sets.select("set", F.explode("bands").alias("key"))
-    lists = postings.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("n")).where("low <> high")
-    shared = written(postings.join(lists.select("key", (F.col("n") > SHORT_LIST).alias("long")), "key").distinct(), "bands")
+    lists = postings.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("key")
+    met = written(postings.join(lists, "key", "left_semi").distinct(), "bands")
+    sizes = met.groupBy("key").agg((F.count("*") > SHORT_LIST).alias("long"))
+    shared = written(met.join(sizes, "key"), "bands")
     attributes = written(sets.join(shared.select("set").distinct(), "set", "left_semi").select("set", "n", "s1", "s2").dropDuplicates(["set"]), "sketches")
 
     def allowed(pairs: DataFrame) -> DataFrame:
