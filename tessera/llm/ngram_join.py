@@ -188,7 +188,6 @@ class Join:
         """Pairs of long lists in different components that their positions allow."""
         groups = groups.select(F.col("node").alias("set"), "root")
         long = shared.where("long").join(groups, "set", "left").select("token", "set", "n", "pos", F.coalesce("root", "set").alias("group"))
-        long = written(long, "long-lists")
         name = F.xxhash64("group")
         mixed = long.groupBy("token").agg(F.min(name).alias("low"), F.max(name).alias("high"), F.count("*").alias("k")).where("low <> high")
         long = long.join(mixed.select("token", F.ceil(F.col("k") / LIST_BLOCK).cast("int").alias("blocks")), "token")

@@ -144,17 +144,18 @@ def test_keys_reach_the_recall_and_part_unrelated_windows(length):
     texts = [" ".join(draw(length)) for _ in range(20)]
     items = decontamination.Items.of(list(enumerate(texts)), 0.2, decontamination.RECALL)
     hit = 0
-    for i in range(100):
+    trials = 100 if length < 400 else 40
+    for i in range(trials):
         part = decontamination.edited(decontamination.words(texts[i % 20]).tolist(), int(0.2 * length), rng)
         before, after = (decontamination.words(" ".join(draw(length + 20))) for _ in range(2))
         hashes = np.concatenate([before, np.array(part, np.uint64), after])
         hit += i % 20 in items.candidates(hashes, np.array([0, len(hashes)]))[:, 1]
-    assert hit >= 95
+    assert hit >= 0.95 * trials
     if length >= 5:
         times, known, of = items.keys[length]
-        rows = np.array([decontamination.words(" ".join(draw(length))) for _ in range(200)])
+        rows = np.array([decontamination.words(" ".join(draw(length))) for _ in range(50)])
         walks = [decontamination.embed(rows, walk) for walk in range(decontamination.walks(length))]
-        met = np.zeros((200, 20), bool)
+        met = np.zeros((50, 20), bool)
         for r in range(times):
             keys = decontamination.sampled_keys(walks[r % len(walks)], length, r)
             for row, key in enumerate(keys):

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import language, line_dedup, media, packing, pii, queries, url_filter
+from tessera.llm import decontamination, language, line_dedup, media, ngram_join, packing, paragraph_dedup, pii, queries, suffix_dedup, url_filter
 from tessera.llm.shared import text_blocks
 
 from .conftest import DATA
@@ -383,3 +383,74 @@ def test_sum_of_squares_takes_the_best_place(sizes):
         assert taken == min(options) and o == 20 - left.get(b, 20)
         left[b] = left.get(b, 20) - size
         assert left[b] >= 0
+
+
+# ---- names that clash, long texts, exact ids
+
+def test_columns_of_clashing_names_pass(spark, odd_documents):
+    names = ["_gone", "_hit_doc", "_hit_text", "doc", "key", "gone", "_url", "url_2", "_k1", "k1", "k2", "_found", "found", "row", "_row", "shard", "place"]
+    docs = odd_documents.withColumns({c: F.lit(c) for c in names})
+    for got in (line_dedup.remove_boilerplate(docs), suffix_dedup.repeated_spans(docs), pii.find_pii(docs)):
+        rows = got.collect()
+        assert len(rows) == docs.count() and all(r[c] == c for r in rows for c in names)
+    pages = docs.select(F.lit("http://a.net/x").alias("url"), F.lit("<p>").alias("html"), "doc_id", *names)
+    assert all(r[c] == c for r in url_filter.filter_urls(pages).collect() for c in names)
+    assert suffix_dedup.remove_repeats(docs, ["doc_id", *names]).count() == docs.count()
+    assert packing.pack(packing.pieces(docs, ["doc_id", "shard", "_row"]), ["doc_id", "shard", "_row"]).count() > 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join("w%x" % (i * 7919 % 65537) for i in range(900_000)) + "\n" + "x" * 100_000
+    assert len(long) > 5_000_000
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, "short and plain words here", "en", "b"), (3, long, "en", "c")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.n_lines for r in line_dedup.remove_boilerplate(docs).collect()} == {1: 2, 2: 1, 3: 2}
+    assert {r.doc_id: r.n_bytes for r in media.digests(media.media_columns(docs)).collect()}[1] == len(long)
+    assert {r.doc_id: r.component_id for r in ngram_join.similarity_groups(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.digests(docs).collect()} == {1: len(long), 2: 0, 3: len(long)}
+    assert {r.doc_id: r.n_repeated > 0 for r in paragraph_dedup.remove_repeated_paragraphs(docs, verbatim=True).collect()} == {1: True, 2: False, 3: True}
+    item = " ".join(long.split()[200_000:200_030])
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.leaks_by_document(docs, bench).collect()} == {1, 3}
+    assert pii.find_pii(docs).count() == 3 and language.identify(docs).count() == 3
+    _check_packing(packing.pack_documents(docs.limit(2)).collect(), docs.limit(2).collect())
+    pages = spark.createDataFrame([(1, "http://a.org/", "<p>" + long + "<link rel=canonical href=c>")], "page_id long, url string, html string")
+    assert url_filter.link_edges(pages).count() == 2
+
+
+def test_ids_of_media_come_back_as_they_are(spark):
+    ids = ["", "a\0b", "a/b.png", "\u00fc-\u65e5", None]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id string, text string")
+    assert {(r.doc_id, r.n_bytes) for r in media.digests(media.media_columns(docs)).collect()} == {(i, 6) for i in ids}
+
+
+def test_stored_images_are_png():
+    """Read chunk by chunk, apart from the module's own decoder."""
+    content = bytes(range(200))
+    data, at, pixels = media.encode_png(content), 8, b""
+    assert data.startswith(b"\x89PNG\r\n\x1a\n")
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+        assert int.from_bytes(data[at + 8 + size : at + 12 + size], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            assert (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), *body[8:]) == (64, 4, 8, 0, 0, 0, 0)
+        pixels += body if kind == b"IDAT" else b""
+        at += 12 + size
+    rows = zlib.decompress(pixels)
+    assert b"".join(rows[i * 65 + 1 : (i + 1) * 65] for i in range(4)) == content + bytes(56)
+
+
+@pytest.mark.parametrize(("link", "want"), [
+    ("c", "http://a.org/x/c"), ("../c?q#f", "http://a.org/c?q#f"), ("./", "http://a.org/x/"), ("..", "http://a.org/"), ("?q=1", "http://a.org/x/y?q=1"), ("#top", None),
+    ("/d/./e/../f", "http://a.org/d/f"), ("//b.net/z", "http://b.net/z"), ("https://c.com/a/../b", "https://c.com/a/../b"), ("mailto:a@b.org", None), ("../../../u/", "http://a.org/u/"), ("", None),
+])
+def test_links_are_resolved(spark, link, want):
+    pages = spark.createDataFrame([("http://A.org/x/y?z", f'<link rel="canonical" href="{link}">')], "url string, html string")
+    assert {r.b for r in url_filter.link_edges(pages).collect()} - {"https://a.org/x/y?z"} == ({want} if want else set())
+
+
+def test_a_block_reaches_aliases_by_relative_links(spark):
+    pages = spark.createDataFrame([
+        (1, "http://example.com/en/a", '<link rel="canonical" href="../de/a">'), (2, "http://example.com/en/b", '<link rel="canonical" href="c">'), (3, "http://example.com/en/c", ""),
+    ], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages).collect()} == {1: "block", 2: "allow", 3: "allow"}
