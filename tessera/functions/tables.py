@@ -40,7 +40,7 @@ def _symbols(path: str, source: str | None) -> Iterator[tuple]:
 
 
 def source_symbols(files: DataFrame) -> DataFrame:
-    """(file, kind, name, pos, container) of the Python sources in ``files`` (path, source): definitions, calls
+    """(file, kind, name, pos, container) of the source files in ``files`` (path, source): definitions, calls
     and imports, ``container`` being the function around; a source that does not parse gives one 'error' row."""
     def run(batches):
         for batch in batches:

@@ -7,7 +7,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tessera.operators.numbering import numbered
 
 
 def exclude_values(df: DataFrame, col: str, values: list) -> DataFrame:
@@ -16,8 +17,8 @@ def exclude_values(df: DataFrame, col: str, values: list) -> DataFrame:
 
 
 def below_renumbered(df: DataFrame, col: str, limit: float, order: str, number: str = "number") -> DataFrame:
-    """Rows below ``limit``, numbered in input order. The numbers need one ordered partition: meant for reports."""
-    return df.where(F.col(col).cast("double") < limit).withColumn(number, F.row_number().over(W.orderBy(order)))
+    """Rows below ``limit``, numbered in input order."""
+    return numbered(df.where(F.col(col).cast("double") < limit), [order], number)
 
 
 def glob_regex(pattern: str) -> str:

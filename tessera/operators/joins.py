@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tessera.operators.numbering import numbered
+
 
 def changed_only(rows: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys stand in ``changed``."""
@@ -18,7 +20,7 @@ def changed_only(rows: DataFrame, changed: DataFrame, keys: list[str]) -> DataFr
 
 def divergent(rows: DataFrame, original: DataFrame, key: str, order: str) -> DataFrame:
     """Rows whose key the original lacks (null keys too), numbered from the oldest, which the input has last."""
-    return rows.join(original.select(key), key, "left_anti").withColumn("number", F.row_number().over(W.orderBy(F.desc(order))).cast("long"))
+    return numbered(rows.join(original.select(key), key, "left_anti"), [F.desc(order)])
 
 
 def two_way_anti(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

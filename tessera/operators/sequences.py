@@ -38,9 +38,9 @@ def repeated_segments(series: DataFrame, pos: str, similarity: str, n: int, leas
     return trimmed.groupBy("offset", F.col("from").alias("first"), F.col("to").alias("last")).agg(F.round(F.avg(similarity) * 100, 2).alias("confidence"))
 
 
-def without_overlaps(records: DataFrame, key: str, most: int = 500, near: float = 1.5, share: float = 0.8) -> DataFrame:
+def without_overlaps(records: DataFrame, key: str, most: int | None = None, near: float = 1.5, share: float = 0.8) -> DataFrame:
     """Records (key, offset, first, last, confidence) of each key, longest and surest first, that neither begin
-    near nor overlap, in both occurrences, with a kept one."""
+    near nor overlap, in both occurrences, with a kept one; ``most`` of a key where it is given."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_d=rows["last"] - rows["first"]).sort_values(["_d", "confidence", "offset", "first"], ascending=[False, False, True, True])
         kept: list[tuple] = []
@@ -50,7 +50,7 @@ def without_overlaps(records: DataFrame, key: str, most: int = 500, near: float
             return length >= share * max(1e-9, min(a.last - a.first, b.last - b.first))
 
         for r in rows.itertuples():
-            if len(kept) >= most:
+            if most is not None and len(kept) >= most:
                 break
             if not any((abs(r.first - k.first) <= near and abs(r.first + r.offset - k.first - k.offset) <= near) or (overlap(r, k, 0, 0) and overlap(r, k, r.offset, k.offset)) for k in kept):
                 kept.append(r)
@@ -60,8 +60,8 @@ def without_overlaps(records: DataFrame, key: str, most: int = 500, near: float
 
 
 def sign_bits(vector: Column) -> Column:
-    """The signs of up to 63 numbers as one integer."""
-    return F.aggregate(F.slice(vector, 1, 63), F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x >= 0).cast("long")))
+    """The signs of up to 64 numbers as one integer."""
+    return F.aggregate(F.slice(vector, 1, 64), F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x >= 0).cast("long")))
 
 
 def hash_similarity(a: DataFrame, b: DataFrame, keys: list[str], close: int = 5, least: float = 0.75) -> DataFrame:

@@ -32,19 +32,20 @@ def a3_repeated_url_directories(pages: DataFrame) -> DataFrame:
     return op.repeated_directories(pages, "url")
 
 
-@query("""select lower(left(text, 4)) as title, lang, count(*) as occurrences, count(distinct source) as places, array_to_string(list_sort(list(distinct source)), ',') as variants,
+@query("""select lower(split_part(text, chr(10), 1)) as title, lang, count(*) as occurrences, count(distinct source) as places, array_to_string(list_sort(list(distinct source)), ',') as variants,
           arg_min(t, (length(t), lower(t), t)) as representative from (select *, split_part(text, ' ', 1) as t from documents) group by 1, 2""", "documents")
 def a4_duplicate_group_report(documents: DataFrame) -> DataFrame:
-    rows = documents.select(F.lower(F.left("text", F.lit(4))).alias("title"), "lang", "source", F.substring_index("text", " ", 1).alias("t"))
+    rows = documents.select(F.lower(F.substring_index("text", "\n", 1)).alias("title"), "lang", "source", F.substring_index("text", " ", 1).alias("t"))
     return op.group_report(rows, ["title", "lang"], "source", "source", "t").withColumn("variants", F.array_join("variants", ","))
 
 
-@query("""with i as (select c_nationkey as nation, 1 as ordinal, 'customer' as source from customer where c_acctbal > 9700 union all select s_nationkey, 2, 'supplier' from supplier where s_acctbal > 8000 union all select n_nationkey, 3, 'nation' from nation where n_regionkey < 3)
-          select nation, case when count(distinct source) = 3 then 'customer+supplier+nation' when bool_or(ordinal = 1) and bool_or(ordinal = 2) then 'customer+supplier' when bool_or(ordinal = 1) then 'customer+nation' else 'supplier+nation' end as scope, count(*) as n from i group by 1 having count(distinct source) >= 2""", "customer supplier nation")
-def a5_cross_input_groups(customer: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    one = lambda d, c, n, s: d.select(F.col(c).alias("nation"), F.lit(n).alias("ordinal"), F.lit(s).alias("source"))
-    rows = one(customer.where("c_acctbal > 9700"), "c_nationkey", 1, "customer").union(one(supplier.where("s_acctbal > 8000"), "s_nationkey", 2, "supplier")).union(one(nation.where("n_regionkey < 3"), "n_nationkey", 3, "nation"))
-    return op.cross_input_groups(rows, "nation", "source", "ordinal")
+@query("""with i as (select c_custkey as person, 1 as ordinal, 'customer' as source from customer union all select o_custkey, 2, 'order' from orders union all select user_id, 3, 'event' from events)
+          select person, case when count(distinct source) = 3 then 'customer+order+event' when bool_or(ordinal = 1) and bool_or(ordinal = 2) then 'customer+order'
+          when bool_or(ordinal = 1) then 'customer+event' else 'order+event' end as scope, count(*) as n from i group by 1 having count(distinct source) >= 2""", "customer orders events")
+def a5_cross_input_groups(customer: DataFrame, orders: DataFrame, events: DataFrame) -> DataFrame:
+    one = lambda d, c, n, s: d.select(F.col(c).alias("person"), F.lit(n).alias("ordinal"), F.lit(s).alias("source"))
+    rows = one(customer, "c_custkey", 1, "customer").union(one(orders, "o_custkey", 2, "order")).union(one(events, "user_id", 3, "event"))
+    return op.cross_input_groups(rows, "person", "source", "ordinal")
 
 
 @query("select p_name, count(*) as n, count(distinct (p_size, p_type)) as n_variants from part group by 1 having count(*) > 1 and count(distinct (p_size, p_type)) > 1", "part")

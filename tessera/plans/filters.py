@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import filters as op
+from tessera.operators.numbering import numbered
 from tessera.plans.registry import query
 
 
@@ -24,16 +25,14 @@ def f3_glob_track_ignore(pages: DataFrame) -> DataFrame:
     return pages.where(op.should_track(F.col("url"), ["*/EN/*", "*.html"], ["*utm_*"])).select("page_id", "url")
 
 
-@query("select doc_id from documents where contains(text, ' the ') and not contains(text, ' der ') and source like '%1'", "documents")
+@query("select doc_id from documents where contains(text, ' the ') and not contains(text, ' der ')", "documents")
 def f4_contains_and_not_contains(documents: DataFrame) -> DataFrame:
-    return documents.where(op.contains_but_not(F.col("text"), " the ", " der ") & F.col("source").endswith("1")).select("doc_id")
+    return documents.where(op.contains_but_not(F.col("text"), " the ", " der ")).select("doc_id")
 
 
 @query("select page_id, row_number() over (order by page_id) as number from pages where not contains(split_part(url, '/', -1), '.') and not regexp_matches(lower(url), '/(de|fr)/')", "pages")
 def f5_no_extension_filter(pages: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    return pages.where(op.without_extension(F.col("url"), "/(de|fr)/")).select("page_id", F.row_number().over(W.orderBy("page_id")).cast("long").alias("number"))
+    return numbered(pages.where(op.without_extension(F.col("url"), "/(de|fr)/")).select("page_id"), ["page_id"])
 
 
 @query(r"select doc_id, regexp_matches(text, '\(\d+\)') or contains(text, 'copy') as is_copy from documents", "documents")

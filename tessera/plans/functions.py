@@ -20,9 +20,9 @@ def x1_parse_brl_money(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", fx.brl_money(brl).cast("double").alias("price"))
 
 
-@query("select doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) as title from documents where lang <> 'de'", "documents")
+@query("select doc_id, trim(regexp_replace(strip_accents(replace(lower(text), 'ß', ' ')), '[^a-z0-9]+', ' ', 'g')) as title from documents", "documents")
 def x2_normalize_title(documents: DataFrame) -> DataFrame:
-    return documents.where("lang <> 'de'").select("doc_id", fx.normalized_title(F.col("text")).alias("title"))
+    return documents.select("doc_id", fx.normalized_title(F.col("text")).alias("title"))
 
 
 @query("select p_partkey, case when p_size % 2 = 0 then p_name else '12 ' || p_size end as name from part", "part")

@@ -55,14 +55,14 @@ def u1_union_inputs(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     return op.union_inputs({"customer": customer.select(F.col("c_name").alias("name")), "supplier": supplier.select(F.col("s_name").alias("name"))})
 
 
-@query("select c_nationkey as nation from customer where c_acctbal > 9700 intersect select s_nationkey from supplier where s_acctbal > 8000", "customer supplier")
-def u2_intersect_names(customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    return customer.where("c_acctbal > 9700").select(F.col("c_nationkey").alias("nation")).intersect(supplier.where("s_acctbal > 8000").select("s_nationkey"))
+@query("select c_custkey as person from customer intersect select user_id from events", "customer events")
+def u2_intersect_names(customer: DataFrame, events: DataFrame) -> DataFrame:
+    return customer.select(F.col("c_custkey").alias("person")).intersect(events.select("user_id"))
 
 
-@query("select c_nationkey as nation from customer where c_acctbal > 9700 except select s_nationkey from supplier where s_acctbal > 8000", "customer supplier")
-def u3_except_names(customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    return customer.where("c_acctbal > 9700").select(F.col("c_nationkey").alias("nation")).subtract(supplier.where("s_acctbal > 8000").select("s_nationkey"))
+@query("select c_custkey as person from customer except select o_custkey from orders", "customer orders")
+def u3_except_names(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    return customer.select(F.col("c_custkey").alias("person")).subtract(orders.select("o_custkey"))
 
 
 @query("select user_id, min(event_id) as first, arg_min(event_type, event_id) as event_type from events group by 1", "events")

@@ -53,9 +53,11 @@ def s5_read_xml_rows(part: DataFrame) -> DataFrame:
     return readers.read_xml_games(part.sparkSession, path)
 
 
-@query("select doc_id, pos - 1 as pos, line from (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents) where line <> ''", "documents")
+@query("select line, count(*) as n from (select trim(unnest(string_split(text, chr(10))), ' ') as line from documents) where line <> '' group by 1", "documents")
 def s6_read_text_files(documents: DataFrame) -> DataFrame:
-    return readers.nonblank_lines(documents.select("doc_id", "text"), "text")
+    path = scratch(documents.sparkSession, "texts")
+    documents.select("text").where("text is not null").write.text(path)
+    return readers.read_text_lines(documents.sparkSession, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("select source || '/' || doc_id || '.' || lang as path, source as dir, doc_id || '.' || lang as name, lang as ext, n_chars as size from documents where lang in ('en', 'de')", "documents")

@@ -51,7 +51,7 @@ def v5_dedupe_overlapping_records(embeddings: DataFrame) -> DataFrame:
     return op.without_overlaps(found.withColumn("file", F.floor(F.col("first") / 100)), "file")
 
 
-@query("""with a as (select label, vec_id, [cast(x >= 0 as int) for x in embedding[1:63]] as h from embeddings), d as (select a.label, list_sum([abs(a.h[i] - b.h[i]) for i in range(1, 64)]) as d from a join a b on b.vec_id = a.vec_id + 1)
+@query("""with a as (select label, vec_id, [cast(x >= 0 as int) for x in embedding[1:64]] as h from embeddings), d as (select a.label, list_sum([abs(a.h[i] - b.h[i]) for i in range(1, 65)]) as d from a join a b on b.vec_id = a.vec_id + 1)
           select label, round(avg(cast(d < 30 as int)), 4) as ratio, round(avg(cast(d < 30 as int)), 4) >= 0.4 as similar from d group by 1""", "embeddings")
 def v6_hash_sequence_similarity(embeddings: DataFrame) -> DataFrame:
     a = embeddings.select("label", F.col("vec_id").alias("pos"), op.sign_bits(F.col("embedding")).alias("hash"))
