@@ -36,9 +36,9 @@ def j4_three_way_set_compare(customer: DataFrame, events: DataFrame) -> DataFram
     return op.three_way_compare(customer.select(F.col("c_custkey").alias("person")), events.select(F.col("user_id").alias("person")), "person")
 
 
-@query("select c_custkey, c_nationkey from customer where c_custkey not in (select o_custkey from orders)", "customer orders")
-def j5_one_way_diff(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    return op.one_way_diff(customer, orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey", "c_nationkey")
+@query("select c_custkey, c_nationkey from customer where c_custkey not in (select user_id from events)", "customer events")
+def j5_one_way_diff(customer: DataFrame, events: DataFrame) -> DataFrame:
+    return op.one_way_diff(customer, events.withColumnRenamed("user_id", "c_custkey"), "c_custkey").select("c_custkey", "c_nationkey")
 
 
 @query("select distinct p.page_id, d.d as name from (select page_id, ' ' || regexp_replace(lower(html), '[^a-z]+', ' ', 'g') || ' ' as t from pages) p, (select distinct 'the ' || lower(left(lang, 2)) as d from documents union select 'of the' union select 'the that' union select 'in the') d where contains(p.t, ' ' || d.d || ' ')", "pages documents")

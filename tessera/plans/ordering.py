@@ -60,9 +60,9 @@ def u2_intersect_names(customer: DataFrame, events: DataFrame) -> DataFrame:
     return customer.select(F.col("c_custkey").alias("person")).intersect(events.select("user_id"))
 
 
-@query("select c_custkey as person from customer except select o_custkey from orders", "customer orders")
-def u3_except_names(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    return customer.select(F.col("c_custkey").alias("person")).subtract(orders.select("o_custkey"))
+@query("select c_custkey as person from customer except select user_id from events", "customer events")
+def u3_except_names(customer: DataFrame, events: DataFrame) -> DataFrame:
+    return customer.select(F.col("c_custkey").alias("person")).subtract(events.select("user_id"))
 
 
 @query("select user_id, min(event_id) as first, arg_min(event_type, event_id) as event_type from events group by 1", "events")
