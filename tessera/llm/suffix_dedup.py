@@ -31,6 +31,7 @@ PERIOD, COVER = 32, (0, 1, 2, 4, 8, 13, 18, 24)
 #: Places of an anchor from which its strings go one by one; bytes of a block.
 HOT, BLOCK_BYTES = 1000, 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BYTES = mix64(np.arange(256, dtype=np.uint64))
 #: Bytes hashed at once: bounds the memory that a long text takes, and what short ones take together.
 PART, SHORT_TEXTS = 1 << 20, 1 << 18
 #: Strings of hot anchors that a task keeps, to combine equal ones before the shuffle.
@@ -45,7 +46,7 @@ def _powers(n: int, odd: np.uint64) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of all strings of some size in a byte array, modulo 2^64, mixed."""
+    """Hashes of all strings of some size in an array of bytes or of hashes, modulo 2^64, mixed."""
 
     def __init__(self) -> None:
         self.up = _powers(1 << 16, _BASE)
@@ -56,8 +57,15 @@ class Hasher:
         while len(self.up) < n + 1:
             self.up, self.down = _powers(2 * len(self.up), _BASE), _powers(2 * len(self.down), self.down[1])
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(data.astype(np.uint64)) * self.up[:n], out=total[1:])
-        return mix64((total[size:] - total[: n - size + 1]) * self.down[: n - size + 1], size)
+        values = _BYTES[data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64))
+        values *= self.up[:n]
+        np.cumsum(values, out=total[1:])
+        out = total[size:] - total[: n - size + 1]
+        out *= self.down[: n - size + 1]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+        return out
 
 
 def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
