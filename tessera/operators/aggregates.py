@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -85,14 +89,26 @@ def similarity_interval(df: DataFrame, vector: str, dims: int) -> DataFrame:
     """(n_pairs, mean, low, high) of the cosines of all pairs of rows, and the 95 % interval, without making pairs.
 
     For unit vectors the pairs' sum is (|sum|^2 - n) / 2 and the sum of squares (|Gram|^2 - n) / 2, where
-    Gram = sum of outer products has a fixed number of entries. At most one row: zeros.
+    Gram = sum of outer products has a fixed number of entries, summed first within each task. Rows of another
+    length than ``dims``, with a null or all zero are left out. At most one row: zeros.
     """
-    unit = F.transform(vector, lambda x: x.cast("double") / F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    v = df.select(unit.alias("v")).where(F.expr("forall(v, x -> x is not null)"))
-    first = v.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    outer = v.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    gram = outer.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).agg(F.sum(F.col("g") * F.col("g")).alias("g2"))
-    both = v.agg(F.count("*").alias("n")).join(first).join(gram)  # three single rows
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row a task: its number of vectors, then their sum and their Gram matrix in one array."""
+        n, total = 0, np.zeros(dims + dims * dims)
+        for batch in batches:
+            if len(batch):
+                v = np.stack(batch["v"].to_numpy())
+                v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+                n += len(v)
+                total += np.concatenate([v.sum(axis=0), (v.T @ v).ravel()])
+        yield pd.DataFrame({"n": [n], "sums": [total.tolist()]})
+
+    v = df.select(F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dims)
+    v = v.where(F.forall("v", lambda x: x.isNotNull()) & F.exists("v", lambda x: x != 0))
+    entries = v.mapInPandas(sums, "n long, sums array<double>").select("n", F.posexplode("sums").alias("i", "x"))
+    summed = entries.groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    squares = lambda where: F.coalesce(F.sum(F.when(where, F.col("x") * F.col("x"))), F.lit(0.0))
+    both = summed.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), squares(F.col("i") < dims).alias("s2"), squares(F.col("i") >= dims).alias("g2"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = (F.col("s2") - F.col("n")) / 2 / pairs
     variance = ((F.col("g2") - F.col("n")) / 2 - pairs * mean * mean) / F.greatest(pairs - 1, F.lit(1.0))

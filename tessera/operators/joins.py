@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessera.operators.numbering import numbered
+from tessera.operators.numbering import numbered, placed_by_ranges
 
 
 def changed_only(rows: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,11 +120,18 @@ def prefix_join(files: DataFrame, sides: DataFrame, directory: str, stem: str, s
 
 def name_or_episode(movies: DataFrame, subtitles: DataFrame, directory: str) -> DataFrame:
     """(dir, movie, subtitle): of the subtitles whose stem holds the movie's or whose episode equals it, the first in order.
-    Both tables: (dir, stem, episode, pos)."""
+    Both tables: (dir, stem, episode, pos). Only the first subtitle of an episode or stem can be one's first. A stem
+    that holds the movie's holds its first four characters too: they are the join's key, not the directory alone.
+    Subtitles without a stem are left out."""
     m = movies.select(directory, F.col("stem").alias("movie"), F.col("episode").alias("_e"))
-    s = subtitles.select(directory, F.col("stem").alias("subtitle"), F.col("episode").alias("_se"), "pos")
-    by_episode = m.join(s, (m[directory] == s[directory]) & (F.col("_e") == F.col("_se"))).select(m[directory], "movie", "subtitle", "pos")
-    by_name = m.join(s, directory).where(F.contains("subtitle", "movie")).select(directory, "movie", "subtitle", "pos")
+    s = subtitles.where(F.col("stem").isNotNull()).select(directory, F.col("stem").alias("subtitle"), F.col("episode").alias("_e"), "pos")
+    firsts = s.groupBy(directory, "_e").agg(F.min_by("subtitle", "pos").alias("subtitle"), F.min("pos").alias("pos"))
+    by_episode = m.distinct().join(firsts, [directory, "_e"]).select(directory, "movie", "subtitle", "pos")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("subtitle") - n + 1)), lambda i: F.substring(F.col("subtitle"), i, n))))
+    stems = s.groupBy(directory, "subtitle").agg(F.min("pos").alias("pos")).select("*", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    names = m.select(directory, "movie", F.left("movie", F.lit(4)).alias("_piece")).distinct()
+    by_name = names.join(stems, [directory, "_piece"]).where(F.contains("subtitle", "movie")).select(directory, "movie", "subtitle", "pos")
     return by_episode.union(by_name).groupBy(directory, "movie").agg(F.min_by("subtitle", "pos").alias("subtitle"))
 
 
@@ -149,13 +156,38 @@ def reconcile(log: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def assign_intervals(rows: DataFrame, cuts: DataFrame, value: str, cut: str, name: str) -> DataFrame:
-    """Rows with the interval (previous cut, cut] they fall into (null past the last cut) and their number inside.
-    Rows and cuts are put in one order per bucket-free window over values: for few cuts (releases, tags)."""
-    ordered = cuts.select(cut, name).withColumn("_low", F.lag(cut).over(W.orderBy(cut)))
-    ranges = F.broadcast(ordered) if cuts.limit(10_001).count() <= 10_000 else ordered
-    low = F.col("_low").isNull() | (F.col(value) > F.col("_low"))
-    joined = rows.join(ranges, low & (F.col(value) <= F.col(cut)), "left")
-    return joined.withColumn("number", F.row_number().over(W.partitionBy(name).orderBy(value)).cast("long")).drop("_low")
+    """Rows with ``name`` of the interval (previous cut, cut] they fall into (null past the last cut) and their number
+    inside, in the order of values. Of equal cuts the first name counts; rows without a value get neither.
+
+    Rows and cuts are sorted together by ranges and written. Within a range the next cut and the rows since the last
+    one are found by windows; what spans ranges comes from a table of one row a range, which is broadcast.
+    """
+    row_type, kind = T.StructType(rows.schema.fields).simpleString(), dict(cuts.dtypes)[name]
+    seen = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.lit(0).alias("_cut"), F.xxhash64(*rows.columns).alias("_tie"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast(kind).alias("_name"))
+    marks = cuts.where(F.col(cut).isNotNull()).select(F.col(cut).alias("_v"), F.lit(1).alias("_cut"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(row_type).alias("_row"), F.col(name).alias("_name"))
+    placed = placed_by_ranges(seen.unionByName(marks), ["_v", "_cut", "_tie"], ["_v", "_cut", "_tie", "_name"])
+    so_far = W.partitionBy("_part").orderBy("_inside").rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy("_part").orderBy(F.desc("_inside")).rowsBetween(W.unboundedPreceding, 0)
+    is_cut = F.col("_cut") == 1
+    placed = placed.withColumn("_n", F.sum(1 - F.col("_cut")).over(so_far))
+    placed = placed.withColumns({
+        "_since": F.last(F.when(is_cut, F.col("_n")), ignorenulls=True).over(so_far),
+        "_next": F.last(F.when(is_cut, F.struct("_name")), ignorenulls=True).over(ahead),
+    })
+    ranges = placed.groupBy("_part").agg(
+        F.max("_n").alias("_rows"), F.max(F.when(is_cut, F.col("_n"))).alias("_last"),
+        F.min_by(F.when(is_cut, F.struct("_name")), F.when(is_cut, F.col("_inside"))).alias("_first"),
+    )
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    later = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    opened = F.last(F.col("_before") + F.col("_last"), ignorenulls=True).over(earlier)
+    ranges = ranges.select("_part", (F.col("_before") - F.coalesce(opened, F.lit(0))).alias("_carried"), F.last("_first", ignorenulls=True).over(later).alias("_follows"))
+    found = placed.where(~is_cut).join(F.broadcast(ranges), "_part")
+    number = F.col("_n") - F.coalesce(F.col("_since"), -F.col("_carried"))
+    out = found.select("_row.*", F.coalesce("_next", "_follows")["_name"].alias(name), number.alias("number"))
+    without = rows.where(F.col(value).isNull()).select(*rows.columns, F.lit(None).cast(kind).alias(name), F.lit(None).cast("long").alias("number"))
+    return out.unionByName(without)
 
 
 def unused_definitions(symbols: DataFrame) -> DataFrame:

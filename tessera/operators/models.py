@@ -10,7 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tessera.operators.blocks import nearest
 
 
 def title_vectors(df: DataFrame, text_col: str, dims: int = 100, window: int = 5, seed: int = 1) -> DataFrame:
@@ -34,7 +35,7 @@ def grids(features: int, classes: int) -> dict:
     return {
         "decision_tree": (tree, ParamGridBuilder().addGrid(tree.impurity, ["gini", "entropy"]).addGrid(tree.maxDepth, [3, 6]).build()),
         "random_forest": (forest, ParamGridBuilder().addGrid(forest.maxDepth, [5, 8]).addGrid(forest.numTrees, [10, 20]).build()),
-        "mlp": (mlp, ParamGridBuilder().addGrid(mlp.layers, [[features, 16, classes], [features, 32, classes]]).addGrid(mlp.solver, ["l-bfgs"]).build()),
+        "mlp": (mlp, ParamGridBuilder().addGrid(mlp.layers, [[features, 16, classes], [features, 32, classes]]).addGrid(mlp.solver, ["l-bfgs", "gd"]).build()),
         "svm": (svm, ParamGridBuilder().addGrid(svc.regParam, [0.01, 0.1]).build()),
         "naive_bayes": (bayes, ParamGridBuilder().addGrid(bayes.smoothing, [1e-9, 1.0]).build()),
     }
@@ -68,10 +69,7 @@ def accuracies(confusion: DataFrame) -> DataFrame:
 
 def nearest_labels(train: DataFrame, queries: DataFrame, id_col: str, vector: str, label: str, k: int, metric: str = "euclidean") -> DataFrame:
     """(id, predicted): the label most of the k nearest training rows have; ties go to the nearer, then smaller label.
-    The queries are a stated set, compared with all training rows."""
-    gap = F.zip_with("_a", "_b", lambda a, b: F.abs(a.cast("double") - b.cast("double")) if metric == "manhattan" else (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    pairs = train.select(F.col(id_col).alias("_t"), F.col(vector).alias("_b"), F.col(label).alias("_l")).join(queries.select(F.col(id_col), F.col(vector).alias("_a")), F.col(id_col) != F.col("_t"))
-    near = pairs.select(id_col, "_t", "_l", F.round(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x), 6).alias("_d"))
-    best = near.withColumn("_r", F.row_number().over(W.partitionBy(id_col).orderBy("_d", "_t"))).where(F.col("_r") <= k)
-    votes = best.groupBy(id_col, "_l").agg(F.count("*").alias("n"), F.min("_r").alias("r"))
-    return votes.groupBy(id_col).agg(F.max_by("_l", F.struct("n", -F.col("r"))).alias("predicted"))
+    The queries are a stated set, compared with all training rows in blocks."""
+    best = nearest(queries, train, id_col, vector, k, metric, carry=label)
+    votes = best.groupBy("query", label).agg(F.count("*").alias("n"), F.min("rank").alias("r"))
+    return votes.groupBy(F.col("query").alias(id_col)).agg(F.max_by(label, F.struct("n", -F.col("r"))).alias("predicted"))

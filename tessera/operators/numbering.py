@@ -9,14 +9,19 @@ from pyspark.sql import Window as W
 from tessera.sources.scratch import scratch
 
 
-def numbered(df: DataFrame, order: list[Column | str], number: str = "number") -> DataFrame:
-    """``df`` with 1, 2, … in the given order: rows are sorted by ranges and counted per partition, and each
-    partition's numbers begin where the ones before it end. What is broadcast is one row per partition."""
+def placed_by_ranges(df: DataFrame, ranges: list[Column | str], order: list[Column | str]) -> DataFrame:
+    """``df`` sorted by ranges and written once, with its range's number ``_part`` and its place ``_inside`` that range."""
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_inside": inside})
+    placed = df.repartitionByRange(*ranges).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_inside": inside})
     path = scratch(df.sparkSession, "numbered")
     placed.write.parquet(path)
-    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column | str], number: str = "number") -> DataFrame:
+    """``df`` with 1, 2, … in the given order: rows are sorted by ranges and counted per partition, and each
+    partition's numbers begin where the ones before it end. What is broadcast is one row per partition."""
+    placed = placed_by_ranges(df, order, order)
     earlier = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     counts = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(counts), "_part").withColumn(number, F.col("_before") + F.col("_inside") + 1).drop("_part", "_inside", "_before")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tessera.operators.blocks import nearest
 
 
 def sorted_as_text(df: DataFrame, col: str) -> DataFrame:
@@ -45,13 +46,9 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def top_similar(items: DataFrame, id_col: str, vector: str, queries: DataFrame, n: int) -> DataFrame:
-    """(query, other, similarity): each query's n most similar other items of positive similarity. The queries are a stated set that is compared with all items."""
-    from tessera.functions.text import dot
-
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"))
-    pairs = items.select(F.col(id_col).alias("other"), F.col(vector).alias("_v")).join(q, F.col("query") != F.col("other"))
-    near = pairs.select("query", "other", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("similarity")).where("similarity > 0")
-    return near.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "other"))).where(F.col("_r") <= n).drop("_r")
+    """(query, other, similarity): each query's n most similar other items of positive similarity. The queries are a
+    stated set that is compared with all items in blocks."""
+    return nearest(queries, items, id_col, vector, n).where("score > 0").select("query", "other", F.col("score").alias("similarity"))
 
 
 def union_inputs(inputs: dict[str, DataFrame]) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessera.functions.text import dot, l2_normalized
+from tessera.functions.text import l2_normalized
+from tessera.operators.blocks import nearest
 from tessera.operators.windows import islands, rolling_mean
 
 
@@ -19,12 +19,10 @@ def combined(vectors: list[Column], dims: int = 24) -> Column:
 
 def offset_votes(queries: DataFrame, rows: DataFrame, pos: str, vector: str, neighbours: int, least: float, ahead: int) -> DataFrame:
     """(offset, votes): of each query's nearest rows those at least ``ahead`` later and similar enough vote for their offset.
-    The queries are a stated set, compared with all rows."""
-    q = queries.select(F.col(pos).alias("_q"), F.col(vector).alias("_qv"))
-    pairs = rows.select(F.col(pos).alias("_p"), F.col(vector).alias("_v")).join(q, F.col("_q") != F.col("_p"))
-    near = pairs.select("_q", "_p", F.round(dot(F.col("_qv"), F.col("_v")), 6).alias("s"))
-    best = near.withColumn("_r", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("s"), "_p"))).where(F.col("_r") <= neighbours)
-    return best.where((F.col("_p") - F.col("_q") >= ahead) & (F.col("s") >= least)).groupBy((F.col("_p") - F.col("_q")).alias("offset")).agg(F.count("*").alias("votes"))
+    The queries are a stated set, compared with all rows in blocks."""
+    offset = F.col("other") - F.col("query")
+    best = nearest(queries, rows, pos, vector, neighbours)
+    return best.where((offset >= ahead) & (F.col("score") >= least)).groupBy(offset.alias("offset")).agg(F.count("*").alias("votes"))
 
 
 def repeated_segments(series: DataFrame, pos: str, similarity: str, n: int, least: float, gap: int, edge: float) -> DataFrame:

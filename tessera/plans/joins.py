@@ -110,10 +110,10 @@ def j14_log_reconciliation(orders: DataFrame) -> DataFrame:
     return op.reconcile(log, here)
 
 
-@query("""with c as (select event_id as cut, 'v' || event_id as tag, lag(event_id) over (order by event_id) as low from events where event_type = 'signup' and event_id % 97 = 0)
-          select e.event_id, c.tag, row_number() over (partition by c.tag order by e.event_id) as number from events e left join c on (c.low is null or e.event_id > c.low) and e.event_id <= c.cut""", "events")
+@query("""with c as (select event_id as cut, 'v' || event_id as tag from events where event_type = 'signup')
+          select e.event_id, c.tag, row_number() over (partition by c.tag order by e.event_id) as number from events e asof left join c on e.event_id <= c.cut""", "events")
 def j15_interval_assignment(events: DataFrame) -> DataFrame:
-    cuts = events.where("event_type = 'signup' and event_id % 97 = 0").select(F.col("event_id").alias("cut"), F.concat(F.lit("v"), "event_id").alias("tag"))
+    cuts = events.where("event_type = 'signup'").select(F.col("event_id").alias("cut"), F.concat(F.lit("v"), "event_id").alias("tag"))
     return op.assign_intervals(events.select("event_id"), cuts, "event_id", "cut", "tag").select("event_id", "tag", "number")
 
 

@@ -66,4 +66,4 @@ def m7_knn_classifier(embeddings: DataFrame) -> DataFrame:
 @query(None, "embeddings")
 def m8_compare_models(embeddings: DataFrame) -> DataFrame:
     rows, d, c = _rows(embeddings)
-    return op.compared(rows, ["decision_tree", "random_forest", "naive_bayes"], "test", d, c)
+    return op.compared(rows, list(op.grids(d, c)), "test", d, c)

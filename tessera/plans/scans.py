@@ -28,9 +28,8 @@ def s2_read_csv_required_columns(orders: DataFrame) -> DataFrame:
 @query("select l_linenumber as commit_number, l_returnflag || l_linestatus as commit_hash, l_orderkey, l_partkey from lineitem", "lineitem")
 def s3_read_snapshots_with_path_columns(lineitem: DataFrame) -> DataFrame:
     path = scratch(lineitem.sparkSession, "snapshots")
-    rows = lineitem.select(F.concat_ws("-", "l_linenumber", F.concat("l_returnflag", "l_linestatus")).alias("d"), "l_orderkey", "l_partkey")
-    for r in rows.select("d").distinct().collect():  # one directory per snapshot: 7 line numbers by 6 flags at most
-        writers.write_csv(rows.where(F.col("d") == r.d).drop("d"), f"{path}/{r.d}")
+    rows = lineitem.select(F.concat_ws("-", "l_linenumber", F.concat("l_returnflag", "l_linestatus")).alias("commit"), "l_orderkey", "l_partkey")
+    rows.write.partitionBy("commit").option("header", True).csv(path)
     return readers.read_snapshots(lineitem.sparkSession, path, "l_orderkey long, l_partkey long")
 
 
@@ -38,7 +37,7 @@ def s3_read_snapshots_with_path_columns(lineitem: DataFrame) -> DataFrame:
 def s4_read_nested_json(events: DataFrame) -> DataFrame:
     path = scratch(events.sparkSession, "json")
     events.select("event_id", F.from_json("props", "k bigint").alias("issue_data")).write.json(path)
-    read = events.sparkSession.read.schema("event_id long, issue_data struct<k: bigint>").json(path)
+    read = readers.read_nested_json(events.sparkSession, path, "event_id long, issue_data struct<k: bigint>", multi_line=False)
     return read.select("event_id", "issue_data.k")
 
 

@@ -32,22 +32,50 @@ def v3_candidate_offset_votes(embeddings: DataFrame) -> DataFrame:
     return op.offset_votes(u.where("vec_id % 20 = 0"), u, "vec_id", "v", 20, 0.2, 10)
 
 
+#: Offsets that are searched at most, those of most votes first.
+MOST_OFFSETS = 512
+
+
 def _series(embeddings: DataFrame) -> DataFrame:
-    """Similarities of each vector and those 7 and 40 places on, raised where a tenth of the ids says so."""
+    """Similarities of each vector and those the voted offsets further on."""
     u = embeddings.select("vec_id", fx.l2_normalized(F.col("embedding")).alias("v"))
-    pairs = lag_pairs(u, "vec_id", "v", [7, 40])
-    planted = (F.floor(F.col("vec_id") / 12) % 3 == 0) & (F.col("vec_id") % 11 != 5)
-    return pairs.select(F.col("lag").cast("long").alias("offset"), F.col("vec_id").alias("pos"), F.when(planted, 0.97).otherwise(F.abs(fx.dot(F.col("a"), F.col("b")))).alias("similarity"))
+    votes = op.offset_votes(u.where("vec_id % 20 = 0"), u, "vec_id", "v", 20, 0.2, 10)
+    offsets = [r.offset for r in votes.orderBy(F.desc("votes"), "offset").limit(MOST_OFFSETS).collect()]
+    similarity = fx.dot(F.col("a"), F.col("b"))
+    return lag_pairs(u, "vec_id", "v", offsets).select(F.col("lag").cast("long").alias("offset"), F.col("vec_id").alias("pos"), similarity.alias("similarity"))
+
 
+_SEGMENTS = _U.replace("with u as", "with recursive u as") + f""", n as (select a.vec_id as q, b.vec_id as p, round(list_inner_product(a.v, b.v), 6) as s from u a join u b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+    t as (select * from n qualify row_number() over (partition by q order by s desc, p) <= 20),
+    o as (select p - q as "offset", count(*) as votes from t where p - q >= 10 and s >= 0.2 group by 1 order by votes desc, "offset" limit {MOST_OFFSETS}),
+    se as (select o."offset", a.vec_id as pos, list_inner_product(a.v, b.v) as s from o join u a on true join u b on b.vec_id = a.vec_id + o."offset"),
+    m as (select *, count(*) over w as k, avg(s) over w as mean from se window w as (partition by "offset" order by pos rows between current row and 2 following)),
+    f as (select *, case when pos - lag(pos) over (partition by "offset" order by pos) > 3 then 1 else 0 end as fresh from m where k = 3 and mean >= 0.15),
+    i as (select *, sum(fresh) over (partition by "offset" order by pos) as island from f),
+    r as (select "offset", min(pos) as first, max(pos) + 2 as last from i group by "offset", island),
+    e as (select r."offset", r.first, r.last, min(se.pos) as lo, max(se.pos) as hi from r join se on se."offset" = r."offset" and se.pos between r.first and r.last where se.s >= 0.1 group by all),
+    found as (select e."offset", e.lo as first, e.hi as last, round(avg(se.s) * 100, 2) as confidence from e join se on se."offset" = e."offset" and se.pos between e.lo and e.hi group by all)"""
 
-@query(None, "embeddings")
+
+@query(_SEGMENTS + ' select * from found', "embeddings")
 def v4_repeated_segments(embeddings: DataFrame) -> DataFrame:
-    return op.repeated_segments(_series(embeddings), "pos", "similarity", 3, 0.95, 2, 0.9)
+    return op.repeated_segments(_series(embeddings), "pos", "similarity", 3, 0.15, 2, 0.1)
+
+
+def _meet(shift: str) -> str:
+    """SQL: a record x and a kept one overlap by four fifths of the shorter."""
+    at = lambda r, end: f"{r}.{end}" + (f' + {r}."offset"' if shift else "")
+    return f"least({at('x', 'last')}, {at('k', 'last')}) - greatest({at('x', 'first')}, {at('k', 'first')}) >= 0.8 * greatest(1e-9, least(x.last - x.first, k.last - k.first))"
 
 
-@query(None, "embeddings")
+@query(_SEGMENTS + f""", x as (select *, first // 100 as file, row_number() over (partition by first // 100 order by last - first desc, confidence desc, "offset", first) as n from found),
+    g as (select distinct file, cast(0 as bigint) as n, cast([] as struct("offset" bigint, first bigint, last bigint, confidence double)[]) as kept from x
+      union all select g.file, x.n, case when len(list_filter(g.kept, lambda k: (abs(x.first - k.first) <= 1.5 and abs(x.first + x."offset" - k.first - k."offset") <= 1.5) or ({_meet('')} and {_meet('offset')}))) = 0
+        then list_append(g.kept, struct_pack("offset" := x."offset", first := x.first, last := x.last, confidence := x.confidence)) else g.kept end from g join x on x.file = g.file and x.n = g.n + 1),
+    l as (select file, arg_max(kept, n) as kept from g group by 1)
+    select r."offset", r.first, r.last, r.confidence, file from (select file, unnest(kept) as r from l)""", "embeddings")
 def v5_dedupe_overlapping_records(embeddings: DataFrame) -> DataFrame:
-    found = op.repeated_segments(_series(embeddings), "pos", "similarity", 3, 0.95, 2, 0.9)
+    found = op.repeated_segments(_series(embeddings), "pos", "similarity", 3, 0.15, 2, 0.1)
     return op.without_overlaps(found.withColumn("file", F.floor(F.col("first") / 100)), "file")
 
 

@@ -11,11 +11,9 @@ from tessera.sources.scratch import scratch
 from tessera.streaming import incremental as op
 
 
-def _as_files(rows: DataFrame, part) -> str:
-    path = scratch(rows.sparkSession, "arrivals")
-    for n in range(3):
-        rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
-    return path
+def _arrivals(rows: DataFrame) -> list[DataFrame]:
+    """The rows in three arrivals."""
+    return [rows.where(F.col("event_id") % 3 == n) for n in range(3)]
 
 
 def _three_batches() -> str:
@@ -32,8 +30,7 @@ def _three_batches() -> str:
 @query(_three_batches(), "events")
 def t1_incremental_dedupe_any_key(events: DataFrame) -> DataFrame:
     rows = events.select("event_id", F.concat_ws("/", "user_id", F.get_json_object("props", "$.k")).alias("post"), F.concat_ws("-", "user_id", F.floor("value")).alias("url"))
-    source = _as_files(rows, F.col("event_id") % 3)
-    return op.deduplicated_stream(rows.sparkSession, source, rows.schema, scratch(rows.sparkSession, "posts"), ["post", "url"], "event_id", F.col("post").isNotNull())
+    return op.deduplicated_stream(rows.sparkSession, _arrivals(rows), rows.schema, scratch(rows.sparkSession, "posts"), ["post", "url"], "event_id", F.col("post").isNotNull())
 
 
 @query("select event_id from events where event_id > (select max(event_id) from events where event_id % 7 = 0 and event_id < 5000)", "events")
@@ -54,8 +51,7 @@ def t3_resume_state_validation(documents: DataFrame) -> DataFrame:
 @query("select user_id, event_id, lpad(cast(row_number() over (partition by user_id order by ts, event_id) as varchar), cast(greatest(2, length(cast(count(*) over (partition by user_id) as varchar))) as int), '0') as index from events", "events")
 def t4_continuous_reindex(events: DataFrame) -> DataFrame:
     rows = events.select("user_id", "event_id", "ts")
-    source = _as_files(rows, F.col("event_id") % 3)
-    return op.reindexed_stream(rows.sparkSession, source, rows.schema, scratch(rows.sparkSession, "posts"), "user_id", "ts", ["event_id"]).select("user_id", "event_id", "index")
+    return op.reindexed_stream(rows.sparkSession, _arrivals(rows), rows.schema, scratch(rows.sparkSession, "posts"), "user_id", "ts", ["event_id"]).select("user_id", "event_id", "index")
 
 
 @query("select o_custkey from (select distinct o_custkey from orders) where o_custkey not in (select o_custkey from orders where o_orderkey % 2 = 0 group by 1 having count(distinct o_orderstatus) = 3)", "orders")

@@ -22,15 +22,15 @@ def read_csv_required_columns(spark: SparkSession, path: str, required: list[str
 
 
 def read_snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV files in ``{number}-{hash}`` directories, with commit_number and commit_hash from the directory's name."""
+    """CSV files in ``{number}-{hash}`` directories, which ``column=`` may lead, with commit_number and commit_hash from the directory's name."""
     df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return df.withColumns({"commit_number": F.regexp_extract(name, r"^(\d+)-", 1).cast("int"), "commit_hash": F.regexp_extract(name, r"^\d+-(.+)$", 1)})
+    return df.withColumns({"commit_number": F.regexp_extract(name, r"^(?:\w+=)?(\d+)-", 1).cast("int"), "commit_hash": F.regexp_extract(name, r"^(?:\w+=)?\d+-(.+)$", 1)})
 
 
-def read_nested_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents that may span lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_nested_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """JSON documents: one a file, which may span lines, or else one a line."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def nested_issue_titles(issues: DataFrame) -> DataFrame:

@@ -11,13 +11,25 @@ from tessera.operators.windows import chronological_index
 from tessera.sources.scratch import scratch
 
 
-def replay(source: str, schema, run: Callable[[DataFrame, int], None], spark: SparkSession, files: int = 1) -> None:
-    """Runs a batch function over the files of a folder as they were a stream, until all are done."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+#: Parts of a table that a batch rewrites alone.
+BUCKETS = 64
+
+
+def catch_up(source: str, schema, run: Callable[[DataFrame, int], None], spark: SparkSession, progress: str) -> None:
+    """Runs a batch function once over all files that came into a folder since ``progress`` was last written."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def replayed(arrivals: list[DataFrame], schema, run: Callable[[DataFrame, int], None], spark: SparkSession) -> None:
+    """Lets the arrivals come into a folder one after the other, each followed by a run over it."""
+    source, progress = scratch(spark, "arrivals"), scratch(spark, "progress")
+    for arrival in arrivals:
+        arrival.write.mode("append").parquet(source)
+        catch_up(source, schema, run, spark, progress)
+
+
 def new_records(batch: DataFrame, known: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of the batch none of whose keys is known or belongs to an earlier new row of the batch; null keys match nothing."""
     out = batch
@@ -29,8 +41,8 @@ def new_records(batch: DataFrame, known: DataFrame, keys: list[str], order: str)
     return out.select(*batch.columns)
 
 
-def deduplicated_stream(spark: SparkSession, source: str, schema, target: str, keys: list[str], order: str, complete: Column) -> DataFrame:
-    """The target table after the folder's files came in: rows new by every key; only complete records count as known."""
+def deduplicated_stream(spark: SparkSession, arrivals: list[DataFrame], schema, target: str, keys: list[str], order: str, complete: Column) -> DataFrame:
+    """The target table after the arrivals came in: rows new by every key; only complete records count as known."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
     def run(batch: DataFrame, n: int) -> None:
@@ -38,8 +50,8 @@ def deduplicated_stream(spark: SparkSession, source: str, schema, target: str, k
         # A batch that runs again replaces what it wrote before.
         new_records(batch, known, keys, order).write.mode("overwrite").parquet(f"{target}/batch={n}")
 
-    replay(source, schema, run, spark)
-    return spark.read.parquet(target).drop("batch")
+    replayed(arrivals, schema, run, spark)
+    return spark.read.schema(schema).parquet(target).drop("batch")
 
 
 def remaining(rows: DataFrame, progress: DataFrame, key: str) -> DataFrame:
@@ -57,18 +69,22 @@ def state_reason(state: str = "", now: str = "now_") -> Column:
     return out
 
 
-def reindexed_stream(spark: SparkSession, source: str, schema, target: str, group: str, ts: str, ties: list[str]) -> DataFrame:
-    """Each group's chronological index, rebuilt by every batch over all records so far."""
-    last: list[str] = []
+def reindexed_stream(spark: SparkSession, arrivals: list[DataFrame], schema, target: str, group: str, ts: str, ties: list[str]) -> DataFrame:
+    """Each group's chronological index. Records lie in ``BUCKETS`` folders by their group's hash, and an arrival
+    rebuilds the index of the buckets that it touches; a batch that runs again replaces what it wrote before."""
+    bucket = F.pmod(F.xxhash64(group), F.lit(BUCKETS)).cast("int")
+    records = f"{target}/records"
 
     def run(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/records/batch={n}")
-        every = batch.sparkSession.read.schema(schema).parquet(f"{target}/records")
-        chronological_index(every, group, ts, ties).write.mode("overwrite").parquet(f"{target}/index-{n}")
-        last[:] = [f"{target}/index-{n}"]
-
-    replay(source, schema, run, spark)
-    return spark.read.parquet(last[0])
+        batch.withColumns({"_batch": F.lit(n), "_bucket": bucket}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_bucket").parquet(records)
+        every = batch.sparkSession.read.parquet(records)
+        touched = [r[0] for r in every.where(F.col("_batch") == n).select("_bucket").distinct().collect()]  # BUCKETS at most
+        every = every.where(F.col("_bucket").isin(touched)).drop("_batch")
+        index = chronological_index(every, group, ts, ties).repartition("_bucket", group)
+        index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{target}/index")
+
+    replayed(arrivals, schema, run, spark)
+    return spark.read.parquet(f"{target}/index").drop("_bucket")
 
 
 def unfinished(expected: DataFrame, present: DataFrame, unit: str, output: str) -> DataFrame:

@@ -162,3 +162,69 @@ def test_unicode_folding(spark):
     from tessera.functions.folding import folded_title
 
     assert one(spark, folded_title, "Ünï_Straße №4 — ﬁn") == "uni strasse no4 fin" and one(spark, folded_title, None) is None
+
+
+def test_blocks_give_the_nearest_of_all_rows(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import blocks
+
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(blocks, "ROW_BLOCK", 7)
+    v = np.random.default_rng(3).integers(-2, 3, size=(40, 3)).astype(float)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(40, None), (41, [1.0, None, 2.0]), (42, [1.0])], "i int, v array<double>")
+    for metric, score in (("dot", lambda a, b: a @ b), ("euclidean", lambda a, b: -((a - b) ** 2).sum()), ("manhattan", lambda a, b: -np.abs(a - b).sum())):
+        got = {(r.query, r["rank"]): (r.other, r.score) for r in blocks.nearest(rows.where("i % 4 = 0"), rows, "i", "v", 5, metric).collect()}
+        want = {}
+        for q in range(0, 40, 4):
+            best = sorted((-score(v[q], v[o]), o) for o in range(40) if o != q)[:5]
+            want |= {(q, n): (o, -s) for n, (s, o) in enumerate(best, 1)}
+        assert got == want
+    assert blocks.nearest(rows.limit(0), rows, "i", "v", 5).count() == 0
+
+
+def test_intervals_over_many_ranges(spark):
+    import bisect
+
+    values, cuts = [i * 7 % 50 for i in range(200)] + [None], [10, 3, 30, 30, 49]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v int")
+    marks = spark.createDataFrame([(c, f"t{n}") for n, c in enumerate(cuts)] + [(None, "none")], "cut int, tag string")
+    got = joins.assign_intervals(rows, marks, "v", "cut", "tag").collect()
+    name = {3: "t1", 10: "t0", 30: "t2", 49: "t4"}
+    ends = sorted(name)
+    for r in got:
+        at = None if r.v is None else bisect.bisect_left(ends, r.v)
+        assert r.tag == (name[ends[at]] if at is not None and at < len(ends) else None)
+    for tag in {r.tag for r in got if r.v is not None}:
+        numbers = [r.number for r in sorted((r for r in got if r.tag == tag and r.v is not None), key=lambda r: (r.v, r.number))]
+        assert numbers == list(range(1, len(numbers) + 1))
+    assert len(got) == 201 and [r.number for r in got if r.v is None] == [None]
+    assert {r.tag for r in joins.assign_intervals(rows, marks.limit(0), "v", "cut", "tag").collect()} == {None}
+
+
+def test_first_subtitle_by_name_or_episode(spark):
+    movies = spark.createDataFrame([("d", "ab", 1), ("d", "longer name", 2), ("d", "", 9), ("e", "ab", 1), ("d", None, 3)], "dir string, stem string, episode int")
+    subs = spark.createDataFrame([("d", "xx ab yy", 5, 4), ("d", "x", 1, 7), ("d", "a longer name", 8, 3), ("d", "z", 3, 6), ("e", "q", 4, 1), ("d", None, 1, 1)], "dir string, stem string, episode int, pos int")
+    got = {(r.dir, r.movie): r.subtitle for r in joins.name_or_episode(movies, subs, "dir").collect()}
+    assert got == {("d", "ab"): "xx ab yy", ("d", "longer name"): "a longer name", ("d", ""): "a longer name", ("d", None): "z"}
+
+
+def test_json_over_lines_and_snapshot_folders(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "1.json").write_text('{\n "issue_data": {\n  "title": "A"}}')
+    assert readers.nested_issue_titles(readers.read_nested_json(spark, str(tmp_path / "j"), "issue_data struct<title: string>")).first().title == "A"
+    for folder in ("12-ab-c", "commit=3-ff"):
+        (tmp_path / "s" / folder).mkdir(parents=True)
+        (tmp_path / "s" / folder / "f.csv").write_text("k\n1\n")
+    assert sorted((r.commit_number, r.commit_hash) for r in readers.read_snapshots(spark, str(tmp_path / "s"), "k int").collect()) == [(3, "ff"), (12, "ab-c")]
+
+
+def test_texts_are_read_whole_and_by_line(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("one \n\n  zweiü\n".encode() + b"\xff\n")
+    assert [r.line for r in readers.read_text_lines(spark, str(tmp_path)).collect()] == ["one", "zweiü", "�"]
+    assert readers.read_whole_texts(spark, str(tmp_path)).first().text.startswith("one \n\n")
+
+
+def test_reports_without_usable_vectors(spark):
+    rows = spark.createDataFrame([([0.0, 0.0],), (None,), ([1.0],), ([1.0, None],)], "v array<double>")
+    assert aggregates.similarity_interval(rows, "v", 2).first().n_pairs == 0
