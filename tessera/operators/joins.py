@@ -59,18 +59,42 @@ def _ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def _near_titles(titles: DataFrame, block: str, title: str, least: float) -> DataFrame:
+    """(title_a, title_b), both ways: titles of a block that may reach the ratio; no pair that reaches it is missing.
+
+    A ratio of ``least`` leaves at most ``(1 - least) * both lengths`` characters unmatched. Where the shorter title
+    is cut into one piece more than that, a piece stands unchanged in the longer one, moved by no more than that
+    number: the two join on the piece. (Empty titles have one empty piece.)
+    """
+    longest = lambda n: F.floor(n * (2 - least) / least + 1e-9)
+    spare = lambda n: F.floor((1 - least) * (n + longest(n)) + 1e-9).cast("int")
+    cut = lambda df: df.withColumn("_i", F.explode(F.sequence(F.lit(0), spare(F.col("_n"))))).withColumns({
+        "_from": F.floor(F.col("_i") * F.col("_n") / (spare(F.col("_n")) + 1)).cast("int"),
+        "_to": F.floor((F.col("_i") + 1) * F.col("_n") / (spare(F.col("_n")) + 1)).cast("int")})
+    piece = lambda c, at: F.substring(c, at + 1, F.col("_to") - F.col("_from")).alias("_piece")
+    short = cut(titles.select(block, F.col(title).alias("_short"), F.length(title).alias("_n")))
+    short = short.select(block, "_short", "_n", "_i", piece(F.col("_short"), F.col("_from")))
+    size = F.length(title)
+    shorter = F.sequence(F.ceil(size * least / (2 - least) - 1e-9).cast("int"), size)
+    long = cut(titles.select(block, F.col(title).alias("_long"), F.explode(shorter).alias("_n")))
+    long = long.withColumn("_shift", F.explode(F.sequence(-spare(F.col("_n")), spare(F.col("_n"))))).withColumn("_at", F.col("_from") + F.col("_shift"))
+    inside = (F.col("_at") >= 0) & (F.col("_at") + F.col("_to") - F.col("_from") <= F.length("_long"))
+    long = long.where(inside).select(block, "_long", "_n", "_i", piece(F.col("_long"), F.col("_at"))).distinct()
+    pairs = short.join(long, [block, "_n", "_i", "_piece"]).select("_short", "_long").distinct()
+    return pairs.toDF("title_a", "title_b").union(pairs.select("_long", "_short")).distinct()
+
+
 def fuzzy_pairs(rows: DataFrame, block: str, source: str, title: str, least: float = 0.9) -> DataFrame:
     """(block, title_a, source_a, title_b, source_b, ratio) of different sources' titles in a block whose
-    matcher ratio reaches ``least``. The ratio is computed once for each two different titles of a block, where their lengths allow it."""
+    matcher ratio reaches ``least``. The ratio is computed once for each
+    two titles that share a piece."""
     @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     one = rows.select(block, source, title).where(F.col(title).isNotNull()).distinct()
     titles = one.select(block, title).distinct()
-    short, long = F.least(F.length("title_a"), F.length("title_b")), F.length("title_a") + F.length("title_b")
-    near = titles.withColumnRenamed(title, "title_a").join(titles.withColumnRenamed(title, "title_b"), block).where(2 * short >= least * long)
-    near = near.select("title_a", "title_b").distinct().withColumn("ratio", ratio("title_a", "title_b")).where(F.col("ratio") >= least)
+    near = _near_titles(titles, block, title, least).withColumn("ratio", ratio("title_a", "title_b")).where(F.col("ratio") >= least)
     a = one.select(block, F.col(source).alias("source_a"), F.col(title).alias("title_a"))
     b = one.select(block, F.col(source).alias("source_b"), F.col(title).alias("title_b"))
     return a.join(near, "title_a").join(b, [block, "title_b"]).where(F.col("source_a") < F.col("source_b")).select(block, "source_a", "title_a", "source_b", "title_b", "ratio")
@@ -103,9 +127,11 @@ def tiered_match(rows: DataFrame, candidates: DataFrame, id_col: str, tiers: lis
     """(id, hit, tier, status): the candidates of the first tier that has any; more than one makes the match ambiguous."""
     found = None
     for n, (left, right) in enumerate(tiers, 1):
-        keyed = rows.select(F.col(id_col), left.alias("_k")).join(candidates.select(F.col(hit), right.alias("_k")), "_k").select(id_col, hit, F.lit(n).alias("tier"))
+        # Candidates of one key are counted first, so that a frequent key makes no pairs.
+        counted = candidates.select(F.col(hit), right.alias("_k")).groupBy("_k").agg(F.count("*").alias("n"), F.min(hit).alias(hit))
+        keyed = rows.select(F.col(id_col), left.alias("_k")).join(counted, "_k").select(id_col, F.lit(n).alias("tier"), "n", hit)
         found = keyed if found is None else found.unionByName(keyed)
-    best = found.groupBy(id_col, "tier").agg(F.count("*").alias("n"), F.min(hit).alias(hit)).groupBy(id_col).agg(F.min(F.struct("tier", "n", hit)).alias("b"))
+    best = found.groupBy(id_col).agg(F.min(F.struct("tier", "n", hit)).alias("b"))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("b.n") > 1, "ambiguous").otherwise("matched")
     return rows.select(id_col).join(best, id_col, "left").select(id_col, F.when(status == "matched", F.col(f"b.{hit}")).alias(hit), F.col("b.tier").cast("long").alias("tier"), status.alias("status"))
 

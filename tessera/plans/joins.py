@@ -59,17 +59,17 @@ def j8_greedy_group_assembly(part: DataFrame) -> DataFrame:
     return op.assemble_groups(op.fuzzy_pairs(part, "p_size", "p_brand", "p_name", 0.9), "p_size")
 
 
-@query("""with t as (select p.p_partkey, case when exists (select 1 from part q where q.p_partkey % 50 = 7 and q.p_name || '/' || q.p_size = p.p_name || '/' || p.p_size) then 1
-            when exists (select 1 from part q where q.p_partkey % 50 = 7 and upper(q.p_name) = upper(p.p_name) and q.p_size % 10 = p.p_size % 10) then 2
-            when exists (select 1 from part q where q.p_partkey % 50 = 7 and split_part(q.p_name, ' ', 1) = split_part(p.p_name, ' ', 1) and q.p_brand = p.p_brand) then 3 end as tier from part p),
-          m as (select t.p_partkey, t.tier, count(q.p_partkey) as n, min(q.p_partkey) as hit from t join part p on p.p_partkey = t.p_partkey left join part q on q.p_partkey % 50 = 7 and
+@query("""with t as (select p.p_partkey, case when exists (select 1 from part q where q.p_type = 'PROMO' and q.p_name || '/' || q.p_size = p.p_name || '/' || p.p_size) then 1
+            when exists (select 1 from part q where q.p_type = 'PROMO' and upper(q.p_name) = upper(p.p_name) and q.p_size % 10 = p.p_size % 10) then 2
+            when exists (select 1 from part q where q.p_type = 'PROMO' and split_part(q.p_name, ' ', 1) = split_part(p.p_name, ' ', 1) and q.p_brand = p.p_brand) then 3 end as tier from part p),
+          m as (select t.p_partkey, t.tier, count(q.p_partkey) as n, min(q.p_partkey) as hit from t join part p on p.p_partkey = t.p_partkey left join part q on q.p_type = 'PROMO' and
             ((t.tier = 1 and q.p_name || '/' || q.p_size = p.p_name || '/' || p.p_size) or (t.tier = 2 and upper(q.p_name) = upper(p.p_name) and q.p_size % 10 = p.p_size % 10)
              or (t.tier = 3 and split_part(q.p_name, ' ', 1) = split_part(p.p_name, ' ', 1) and q.p_brand = p.p_brand)) group by all)
           select p_partkey, case when n = 1 then hit end as hit, cast(tier as bigint) as tier, case when tier is null then 'missing' when n > 1 then 'ambiguous' else 'matched' end as status from m""", "part")
 def j9_tiered_match_join(part: DataFrame) -> DataFrame:
     name, size = F.col("p_name"), F.col("p_size")
     exact, folded, stem = F.concat_ws("/", name, size), F.concat_ws("/", F.upper(name), size % 10), F.concat_ws("/", F.substring_index(name, " ", 1), "p_brand")
-    candidates = part.where("p_partkey % 50 = 7").withColumn("hit", F.col("p_partkey"))
+    candidates = part.where("p_type = 'PROMO'").withColumn("hit", F.col("p_partkey"))
     return op.tiered_match(part, candidates, "p_partkey", [(exact, exact), (folded, folded), (stem, stem)], "hit")
 
 

@@ -33,9 +33,10 @@ def t1_incremental_dedupe_any_key(events: DataFrame) -> DataFrame:
     return op.deduplicated_stream(rows.sparkSession, _arrivals(rows), rows.schema, scratch(rows.sparkSession, "posts"), ["post", "url"], "event_id", F.col("post").isNotNull())
 
 
-@query("select event_id from events where event_id > (select max(event_id) from events where event_id % 7 = 0 and event_id < 5000)", "events")
+@query("select event_id from events where ts > (select max(ts) from events where ts < (select date_trunc('day', max(ts)) from events))", "events")
 def t2_resume_from_progress(events: DataFrame) -> DataFrame:
-    return op.remaining(events.select("event_id"), events.where("event_id % 7 = 0 and event_id < 5000"), "event_id")
+    today = events.agg(F.date_trunc("day", F.max("ts")).alias("today"))  # one row
+    return op.remaining(events, events.join(F.broadcast(today), F.col("ts") < F.col("today")), "ts").select("event_id")
 
 
 @query("select doc_id, case when doc_id % 5 = 0 then 'other version' when doc_id % 7 = 0 then 'content changed' when doc_id % 3 = 0 then 'finished part changed' else 'valid' end as reason from documents", "documents")

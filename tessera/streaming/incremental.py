@@ -56,8 +56,8 @@ def deduplicated_stream(spark: SparkSession, arrivals: list[DataFrame], schema,
 
 def remaining(rows: DataFrame, progress: DataFrame, key: str) -> DataFrame:
     """Rows after the last recorded one; all of them where nothing is recorded."""
-    last = progress.agg(F.max(key)).first()[0]  # a single number
-    return rows if last is None else rows.where(F.col(key) > last)
+    last = progress.agg(F.max(key).alias("_last"))  # one row
+    return rows.join(F.broadcast(last), F.col("_last").isNull() | (F.col(key) > F.col("_last"))).select(*rows.columns)
 
 
 def state_reason(state: str = "", now: str = "now_") -> Column:

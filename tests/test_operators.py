@@ -228,3 +228,18 @@ def test_texts_are_read_whole_and_by_line(spark, tmp_path):
 def test_reports_without_usable_vectors(spark):
     rows = spark.createDataFrame([([0.0, 0.0],), (None,), ([1.0],), ([1.0, None],)], "v array<double>")
     assert aggregates.similarity_interval(rows, "v", 2).first().n_pairs == 0
+
+
+@pytest.mark.parametrize("least", [0.9, 0.75, 0.6])
+def test_fuzzy_pairs_are_those_of_all_pairs(spark, least):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    titles = ["", "a", "ab"] + ["".join(rng.choice("abü ") for _ in range(rng.randrange(3, 24))) for _ in range(30)]
+    titles += ["".join(c for c in t if rng.random() > 0.06) + rng.choice(["", "b"]) for t in titles[3:]]
+    rows = [(i % 2, rng.choice("xyz"), t) for i, t in enumerate(titles * 2)]
+    got = joins.fuzzy_pairs(spark.createDataFrame(rows, "block int, source string, title string"), "block", "source", "title", least)
+    want = {(b, s, t, s2, t2) for b, s, t in set(rows) for b2, s2, t2 in set(rows) if b == b2 and s < s2 and SequenceMatcher(None, t, t2, autojunk=False).ratio() >= least}
+    found = [(r.block, r.source_a, r.title_a, r.source_b, r.title_b) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)

@@ -50,5 +50,13 @@ def test_query_gives_rows(spark, name):
     assert len(QUERIES[name](spark, DATA).columns) > 1
 
 
+def test_models_judge_every_test_row(spark):
+    got = QUERIES["m8_compare_models"](spark, DATA).toPandas()
+    held = pd.read_parquet(f"{DATA}/embeddings.parquet").query("vec_id % 4 == 0").label.value_counts()
+    assert set(got.model) == {"decision_tree", "random_forest", "mlp", "svm", "naive_bayes"}
+    for _, one in got.groupby("model"):
+        assert one.groupby("label").n.sum().to_dict() == held.to_dict()
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES) and registry.FLAGSHIP in QUERIES
