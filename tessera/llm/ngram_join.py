@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import ascii_words, components, give_back, group_shingles, lower_words, map_blocks, mix64, ragged, set_keys, shingle_hashes, small_batches, text_blocks, word_hashes, written
+from tessera.llm.shared import ascii_words, components, free_names, give_back, group_shingles, lower_words, map_blocks, mix64, ragged, set_keys, shingle_hashes, small_batches, text_blocks, word_hashes, written
 
 #: Counters of the frequency sketch and of one of its blocks: a fixed size, whatever the input.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
@@ -110,7 +110,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> None:
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
         self.classes = self.spark.sparkContext.broadcast(frequency_classes(self.docs, "text", k))
         self.sets = written(self._sets(), "sets")
         first = self._first_pairs(shared := written(self._shared(), "postings"))
@@ -120,7 +120,7 @@ class Join:
         self.links = written(links.unionByName(late), "links")
 
     def _sets(self) -> DataFrame:
-        """(id, n, set, prefix) of every document; the prefix once per set and task."""
+        """(id, key, n, set, prefix) of every document; ``key`` is its text's hash; the prefix once per set and task."""
         k, percent, shared = self.k, self.percent, self.classes
         fields = [T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
 
@@ -144,7 +144,7 @@ class Join:
 
             return work
 
-        return map_blocks(self.docs, "text", ["id"], fields, make)
+        return map_blocks(self.docs, "text", ["id", "key"], fields, make)
 
     def _shared(self) -> DataFrame:
         """Postings (token, set, n, pos) of tokens in the prefix of several sets, with the list's length and pivot."""
@@ -275,13 +275,27 @@ class Join:
         found = map_blocks(self.docs.where("id is null"), "text", ["text"], [T.StructField("set", T.BinaryType())], make)
         return found.join(sets, "set", "left_semi").select("set", "text")
 
+    def _placed(self) -> DataFrame:
+        """(id, key, n, root) of every document; ``root`` names its component and is null for an empty set."""
+        roots = components(self.links).withColumnRenamed("node", "set")
+        return self.sets.select("id", "key", "n", "set").join(roots, "set", "left").select("id", "key", "n", F.coalesce("root", "set").alias("root"))
+
     def groups(self) -> DataFrame:
         """(id, n, component): the smallest id that links reach, over documents of equal sets too."""
-        roots = components(self.links)
-        placed = self.sets.select("id", "n", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        placed = self._placed()
         smallest = written(placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component")), "group-ids")
         return placed.join(smallest, "root", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
+    def decisions(self) -> DataFrame:
+        """(id, key, leaves) of the rows in components of several: the one of smallest id, then smallest text hash, does
+        not leave; a null id comes after all others."""
+        placed = self._placed().where("root is not null").select("root", "id", "key")
+        place = F.struct(F.col("id").isNull().alias("nameless"), "id", "key")
+        firsts = written(placed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("root", "first"), "group-firsts")
+        leaves = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))
+        judged = placed.join(firsts, "root").groupBy("id", "key").agg(F.bool_or(leaves).alias("leaves"), F.count("*").alias("rows"))
+        return written(judged.where("leaves or rows > 1").select("id", "key", "leaves"), "group-decisions")
+
 
 def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents linked where the Jaccard similarity of their
@@ -292,3 +306,18 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     passed over as the smallest one. Other columns are not read.
     """
     return Join(docs, id_col, text_col, k, percent).groups().select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one of each component of ``similarity_groups``: that of the smallest id.
+
+    Of several texts with that id the one of smallest hash stays, of repeated rows any one; a null id comes after all
+    others. Null, empty and blank texts are in no group and stay, however often. All columns pass.
+    """
+    decided = Join(docs, id_col, text_col, k, percent).decisions()
+    own, key, leaves = free_names(docs.columns, *decided.columns)
+    decided = decided.toDF(own, key, leaves)
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(key))
+    # Only first rows that are repeated are put together again.
+    repeated = docs.join(decided.where(~F.col(leaves)), same, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(decided, same, "left_anti").unionByName(repeated)

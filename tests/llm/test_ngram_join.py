@@ -110,3 +110,21 @@ def test_components_of_paths_stars_and_loops(spark):
         groups[r.root].add(r.node)
     assert sorted(map(sorted, groups.values())) == [list(range(201)), list(range(1000, 1300)), [5000]]
     assert components(got.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    near, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(40))
+    lone, nameless = "only here of all the rows there are", " ".join(f"n{i}" for i in range(30))
+    rows = [
+        # The smallest id stands in two equal rows, in one of other case and in an unrelated text of its own.
+        (1, near), (1, near), (1, near.upper()), (1, other), (2, near + " more"), (None, near), (3, other + " more"),
+        (4, lone), (None, nameless), (None, nameless), (None, nameless + " x"), (None, lone + " and not"),
+        (5, ""), (5, ""), (6, None), (None, None), (None, None), (7, "short one"), (7, "short one"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, key string, leaves int")
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each_group(docs).collect()), key=str)
+    assert sum(i == 1 and t.lower() == near for i, t in got) == 1 and sum(i is None and (t or "").startswith(nameless) for i, t in got) == 1
+    rest = [(i, t) for i, t in got if not (t or "").lower().startswith((near, nameless))]
+    want = [(1, other), (4, lone), (None, lone + " and not"), (5, ""), (5, ""), (6, None), (None, None), (None, None), (7, "short one")]
+    assert rest == sorted(want, key=str) and len(got) == len(want) + 2
+    assert ngram_join.one_of_each_group(docs).columns == docs.columns and ngram_join.one_of_each_group(docs.limit(0)).count() == 0
