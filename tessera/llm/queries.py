@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language, line_dedup, media, ngram_join, packing, paragraph_dedup, pii, sql, suffix_dedup, url_filter
+from tessera.llm import decontamination, filter_audit, language, line_dedup, media, ngram_join, packing, paragraph_dedup, pii, quality, spelling, sql, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.sql(), "op3_url_filters": sql.URL_FILTER, "op8_ngram_jaccard": sql.NGRAM_JOIN}
+    return {"op1_line_dedup": line_dedup.sql(), "op3_url_filters": sql.URL_FILTER, "op8_ngram_jaccard": sql.NGRAM_JOIN, "op11_filter_audit": sql.FILTER_AUDIT}

@@ -44,3 +44,25 @@ edges as (select a, b from pairs union select b, a from pairs),
 reach as (select a as node, a as other from edges union select r.node, e.b from reach r join edges e on e.a = r.other),
 groups as (select node, min(other) as component_id from reach group by 1)
 select g.doc_id, len(g.shingles) as n_shingles, coalesce(c.component_id, g.doc_id) as component_id from g left join groups c on c.node = g.doc_id"""
+
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+firsts as (select text, min(doc_id) as first from d group by 1),
+l as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by 1),
+w as (select d.*, coalesce(d.doc_id > f.first, false) as repeats, coalesce(l.good, false) as good, coalesce(l.toxic, false) as toxic,
+    list_filter(string_split_regex(d.text, '[ \t\n\v\f\r]+'), lambda x: x <> '') as words
+  from d join firsts f on f.text = d.text left join l on l.doc_id = d.doc_id),
+m as (select part, good, toxic, case when len(words) < 200 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+    || case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when repeats then 'E' else '' end as fails from w),
+g as (select part, good, toxic, fails, count(*) as n from m group by all),
+f(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e
+  where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+steps as (select filter_order, step, filter_order[step] as own, filter_order[1 : step - 1] as before from orders, range(1, 6) r(step)),
+s as (select g.*, filter_order, cast(step as int) as step, own, contains(fails, own) as hit, length(translate(fails, before, '')) < length(fails) as earlier from g, steps),
+r as (select part, filter_order, step, own, coalesce(sum(n) filter (not hit and not earlier), 0) as kept, coalesce(sum(n) filter (hit and not earlier), 0) as removed,
+  coalesce(sum(n) filter (hit and earlier), 0) as redundant, coalesce(sum(n) filter (fails = own), 0) as unique_fails,
+  coalesce(sum(n) filter (hit and not earlier and good), 0) as good_lost, coalesce(sum(n) filter (hit and not earlier and toxic), 0) as toxic_lost from s group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r"""

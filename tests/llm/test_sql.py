@@ -11,7 +11,7 @@ from .conftest import DATA
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         duck.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = queries.queries()[name](spark, DATA)
     want = duck.sql(queries.oracle_sql()[name])
