@@ -25,7 +25,9 @@ from tessera.llm.shared import free_names, map_blocks, mix64, string_hashes, tex
 #: Edits that a match may have, as a share of the item's words.
 SHARE = 0.2
 #: Symbols in a key; the recall that the repetitions are set for, at the largest distance.
-SAMPLED, RECALL = 3, 0.98
+SAMPLED, RECALL = 3, 0.99
+#: Longer items are looked for by parts of so many words at most and compared whole.
+PART_WORDS = 400
 #: Words of the items that are broadcast at once; a longer benchmark takes several passes.
 BLOCK_WORDS = 1 << 20
 #: ASCII punctuation and control characters part words, and scripts without spaces give one of each character.
@@ -120,20 +122,24 @@ def _repetitions(length: int, share: float, recall: float, sampled: int) -> int:
         items.append(item)
         windows += [text[s : s + length] for s in starts]
         of += [i] * len(starts)
-    turn = walks(length)
-    embedded = [(embed(np.array(items), walk), embed(np.array(windows), walk)) for walk in range(turn)]
-    hit = np.zeros(trials, bool)
-    for r in range(4096):
-        a, b = (sampled_keys(x, length, r, sampled) for x in embedded[r % turn])
-        hit[np.array(of)[a[of] == b]] = True
-        if hit.mean() >= recall:
-            return r + 1
-    raise ValueError("no number of repetitions reaches the recall")
+    turn, of, most = walks(length), np.array(of, np.int64), 64
+    while True:  # one walk is held at a time
+        first = np.full(trials, most)
+        for walk in range(turn):
+            before, after = embed(np.array(items), walk), embed(np.array(windows), walk)
+            for r in range(walk, most, turn):
+                a, b = (sampled_keys(x, length, r, sampled) for x in (before, after))
+                np.minimum.at(first, of[a[of] == b], r)
+        enough = np.sort(first)[int(np.ceil(recall * trials)) - 1]
+        if enough < most:
+            return int(enough) + 1
+        most *= 4
 
 
 def repetitions(length: int, share: float = SHARE, recall: float = RECALL, sampled: int = SAMPLED) -> int:
     """Repetitions that reach ``recall`` for items of ``length`` words, measured on random sequences with the largest
-    allowed distance, at the next of a row of lengths that grow by a fifth; windows lie where an unchanged piece puts them."""
+    allowed distance, at the next of a row of lengths that grow by a fifth; windows lie where an unchanged piece puts them.
+    Items are searched by parts of ``PART_WORDS`` words at most, for which some hundreds are enough."""
     if int(share * length) == 0:
         return 1
     classes = [5]
@@ -163,20 +169,29 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Items:
-    """Searchable items: their words, the pieces that a match must hold, and their keys."""
+    """Searchable items: their words, the pieces that a match must hold, and their keys.
+
+    An item of more than ``PART_WORDS`` words is cut into equal parts: of a match's edits, one part at least has no more than
+    its share. Pieces and keys are those of the parts, and a part that is found names the whole item's place.
+    """
 
     ids: list
     words: list[np.ndarray]
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length: bit table, hashes, offsets, item sizes
-    keys: dict[int, tuple[int, np.ndarray, np.ndarray]]  # by size: repetitions, sorted keys of all of them, their items
+    keys: dict[int, tuple[int, np.ndarray, np.ndarray]]  # by size: repetitions, sorted keys of all of them, their parts
     share: float
+    parts: np.ndarray  # rows (item, words before the part)
 
     @classmethod
     def of(cls, rows: list[tuple], share: float, recall: float) -> Items:
         kept = [(i, w) for i, w in ((i, words(t)) for i, t in rows) if len(w)]
         found: dict[int, set] = defaultdict(set)
         by_size: dict[int, list[int]] = defaultdict(list)
-        for j, (_, w) in enumerate(kept):
+        parts = []
+        for j, (_, whole) in enumerate(kept):
+            cuts = np.linspace(0, len(whole), -(-len(whole) // PART_WORDS) + 1).astype(int).tolist()
+            parts += [(j, a, whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for j, (_, _, w) in enumerate(parts):
             by_size[len(w)].append(j)
             n = int(share * len(w)) + 1
             q = len(w) // n
@@ -191,12 +206,15 @@ class Items:
             pieces[q] = table, g, np.array([e[1] for e in rows_]), np.array([e[2] for e in rows_])
         keys = {}
         for size, members in by_size.items():
-            times = repetitions(size, share, recall)
-            embedded = [embed(np.array([kept[j][1] for j in members]), walk) for walk in range(min(walks(size), times))]
-            all_keys = np.concatenate([sampled_keys(embedded[r % walks(size)], size, r) for r in range(times)])
+            times, turn, all_keys = repetitions(size, share, recall), walks(size), []
+            rows_ = np.array([parts[j][2] for j in members])
+            for walk in range(min(turn, times)):
+                embedded = embed(rows_, walk)
+                all_keys += [sampled_keys(embedded, size, r) for r in range(walk, times, turn)]
+            all_keys = np.concatenate(all_keys)
             order = np.argsort(all_keys, kind="stable")
             keys[size] = times, all_keys[order], np.tile(members, times)[order]
-        return cls([i for i, _ in kept], [w for _, w in kept], pieces, keys, share)
+        return cls([i for i, _ in kept], [w for _, w in kept], pieces, keys, share, np.array([p[:2] for p in parts], np.int64).reshape(-1, 2))
 
     def windows(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct rows (size, text, start) of item-sized windows that hold an item's piece at its place."""
@@ -214,7 +232,7 @@ class Items:
         return np.unique(np.concatenate(out), axis=0)
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct rows (text, item, start) of windows that share a key with the item."""
+        """Distinct rows (text, item, start) of windows that share a key with the item or a part of it; start is the whole item's."""
         out = [np.zeros((0, 3), np.int64)]
         windows = self.windows(hashes, first)
         for at in range(0, len(windows), 4096):
@@ -224,15 +242,17 @@ class Items:
                 place = (first[text] + start)[:, None] + np.arange(size)
                 within = (place >= first[text][:, None]) & (place < first[text + 1][:, None])
                 rows = np.where(within, hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(0))
-                times, known, items = self.keys[size]
-                embedded = [embed(rows, walk) for walk in range(min(walks(size), times))]
-                for r in range(times):
-                    key = sampled_keys(embedded[r % walks(size)], size, r)
-                    low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-                    n = high - low
-                    if n.any():
-                        entry = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-                        out.append(np.stack([np.repeat(text, n), items[entry], np.repeat(start, n)], 1))
+                times, known, found = self.keys[size]
+                for walk in range(min(turn := walks(size), times)):
+                    embedded = embed(rows, walk)
+                    for r in range(walk, times, turn):
+                        key = sampled_keys(embedded, size, r)
+                        low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+                        n = high - low
+                        if n.any():
+                            entry = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+                            item, before = self.parts[found[entry]].T
+                            out.append(np.stack([np.repeat(text, n), item, np.repeat(start, n) - before], 1))
         return np.unique(np.concatenate(out), axis=0)
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> list[list[tuple]]:

@@ -19,8 +19,9 @@ IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 DIGITS = re.compile(r"[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 #: A scheme's authority that names a person: user data before an at-sign.
-USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=:-]{1,256}@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
+USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=:-]++@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
 OBFUSCATED = re.compile(r"\s{0,2}[A-Za-z0-9-]+(?:\s{0,2}[\[(]dot[\])]\s{0,2}[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
 IDENTIFIER = re.compile(r"""["']?(?:\s{1,3}(?:no\.?|number|id))?\s{0,3}[:=#]\s{0,3}["']?([A-Za-z0-9][A-Za-z0-9_/+.-]{4,}[A-Za-z0-9])""")
 IBAN = re.compile(r"[\s:]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
@@ -75,7 +76,7 @@ class Finder:
             if what == "digit":
                 if last >= done["ip"] and last >= done["digits"]:
                     if m := IP.match(text, last):
-                        take("ip", last, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()))
+                        take("ip", last, m.end(), all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.groups()))
                     else:
                         done["digits"] = DIGITS.match(text, last).end()
                 if last >= done["card"] and (m := CARD.match(text, last)):
@@ -92,8 +93,10 @@ class Finder:
                     take("phone", last, m.end(), 8 <= sum(c.isdigit() for c in m[0]) <= 15)
             elif what == "scheme":
                 start = last - 2
-                while start > max(done["address"], last - 22) and text[start - 1].isascii() and text[start - 1].isalpha():
+                while start > done["address"] and text[start - 1] in SCHEME:
                     start -= 1
+                while start < last - 2 and not text[start].isalpha():  # it begins with a letter
+                    start += 1
                 if start < last - 2 and (m := USERINFO.match(text, last + 1)):
                     take("address", start, m.end(), True)
             elif what == "obfuscated":

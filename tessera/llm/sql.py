@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+
+def _resolved(name: str, source: str) -> str:
+    """CTEs up to ``{name}_out`` (a, b): what the links of ``source`` (a, base, link) name, relative to their base."""
+    return rf"""
+{name}_q as (select *, substr(base, strpos(base, '://') + 3) as rest, regexp_extract(base, '^[^:]*:') as scheme, replace(link, '&amp;', '&') as href from ({source}) where contains(base, '://')),
+{name}_d as (select *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+  regexp_extract(href, '^[^?#]*') as own, regexp_extract(href, '^[^?#]*(.*)$', 1) as tail from {name}_q),
+{name}_p as (select *, string_split(substr(case when href like '/%' then own else regexp_extract(case path when '' then '/' else path end, '^.*/') || own end, 2), '/') as parts from {name}_d),
+{name}_w as (select *, list_reduce(list_prepend('', parts), lambda done, x: case x when '..' then regexp_replace(done, '/[^/]*$', '') when '.' then done else done || '/' || x end)
+    || case when parts[-1] in ('.', '..') then '/' else '' end as walked from {name}_p),
+{name}_out as (select a, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') then href
+    when regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|#|$)') then null when href like '//%' then scheme || href
+    when href like '?%' then scheme || '//' || host || path || href else scheme || '//' || host || walked || tail end as b from {name}_w),"""
+
+
 URL_FILTER = r"""
 with recursive u as (
   select distinct url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages where url is not null),
@@ -9,17 +24,15 @@ s as (select url, contains(url, '://') as ok, translate(regexp_extract(rest, '^[
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as query from u),
 c as (select url, 'https://' || host || regexp_replace(path, '/+$', '') || case when kept <> '' then '?' || kept else '' end as target
   from (select *, array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)=')), '&') as kept from s where ok)),
-h as (select url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as canonical,
-  regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1) as refresh from pages where url is not null),
-l as (select url, unnest([canonical, refresh]) as link from h),
-k as (select s.url, s.host, s.path, replace(link, '&amp;', '&') as link from l join s on s.url = l.url where s.ok),
-q as (select *, regexp_extract(link, '^[^?#]*') as own, regexp_extract(link, '^[^?#]*(.*)$', 1) as tail, regexp_extract(url, '^[^:]*:') as scheme from k),
-d as (select *, string_split(substr(case when link like '/%' then own else regexp_extract(case path when '' then '/' else path end, '^.*/') || own end, 2), '/') as parts from q),
-w as (select *, list_reduce(list_prepend('', parts), lambda done, x: case x when '..' then regexp_replace(done, '/[^/]*$', '') when '.' then done else done || '/' || x end)
-    || case when parts[-1] in ('.', '..') then '/' else '' end as walked from d),
-e as (select url as a, target as b from c union select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
-    when regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:|#|$)') then null when link like '//%' then scheme || link
-    when link like '?%' then scheme || '//' || host || path || link else scheme || '//' || host || walked || tail end from w),
+t as (select url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') as link_tag,
+  regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') as meta_tag,
+  regexp_extract(html, '(?is)<base\b[^>]*\bhref\s*=[^>]*>') as base_tag from pages where url is not null),
+h as (select url, regexp_extract(link_tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as canonical,
+  regexp_extract(meta_tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) as refresh, regexp_extract(base_tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as base from t),
+""" + _resolved("b", "select url as a, url as base, base as link from h where canonical <> '' or refresh <> ''") + r"""
+l as (select h.url as a, coalesce(b_out.b, h.url) as base, unnest([canonical, refresh]) as link from h left join (select distinct a, b from b_out where b is not null) b_out on b_out.a = h.url),
+""" + _resolved("k", "select * from l where link <> ''") + r"""
+e as (select url as a, target as b from c union select a, b from k_out),
 both_ways as (select a, b from e where b is not null and a <> b union select b, a from e where b is not null and a <> b),
 reach as (select a as node, a as other from both_ways union select r.node, w.b from reach r join both_ways w on w.a = r.other),
 groups as (select node, min(other) as root from reach group by 1),

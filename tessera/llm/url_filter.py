@@ -63,14 +63,19 @@ def _absolute(link: Column, base: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): each url with its normal form, and with what its page's canonical link and refresh name."""
+    """(a, b): each url with its normal form, and with what its page's first canonical link and first refresh name, their
+    attributes in any order. Links are relative to the page's first ``<base href>``, if it has one."""
     url, html = F.col(url_col), F.col(html_col)
-    tag = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-    canonical = F.regexp_extract(F.regexp_extract(html, tag, 0), r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?refresh[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    named = lambda word, link: F.when(html.rlike(f"(?i){word}"), _absolute(link, url))
-    targets = F.array(canonical_url(url), named("canonical", canonical), named("http-equiv", refresh))
-    return pages.select(url.alias("a"), F.explode(targets).alias("b")).where("b is not null and a <> b").distinct()
+    own = pages.select(url.alias("a"), canonical_url(url).alias("b"))
+    value = lambda tag, name: F.regexp_extract(F.regexp_extract(html, tag, 0), rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1)
+    naming = pages.where(html.rlike("(?i)canonical|http-equiv")).select(
+        url.alias("a"), value(r"(?is)<base\b[^>]*\bhref\s*=[^>]*>", "href").alias("base"),
+        value(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", "href").alias("canonical"),
+        value(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", "url").alias("refresh"),
+    ).where("canonical <> '' or refresh <> ''")
+    based = naming.select("a", F.coalesce(F.when(F.col("base") != "", _absolute(F.col("base"), F.col("a"))), "a").alias("base"), F.explode(F.array("canonical", "refresh")).alias("link"))
+    named = based.where("link <> ''").select("a", _absolute(F.col("link"), F.col("base")).alias("b"))
+    return own.union(named).where("b is not null and a <> b").distinct()
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def test_edited_passages_reach_the_recall(spark):
     assert got <= planted and len(got) >= 0.97 * len(planted)
 
 
-@pytest.mark.parametrize("length", [1, 4, 5, 10, 40, 100, 400, 1000])
+@pytest.mark.parametrize("length", [1, 4, 5, 10, 40, 100, 400, 1000, 2000])
 def test_keys_reach_the_recall_and_part_unrelated_windows(length):
     rng = np.random.default_rng(length)
     vocabulary = ["w%x" % i for i in range(20_000)]
@@ -143,15 +143,16 @@ def test_keys_reach_the_recall_and_part_unrelated_windows(length):
     draw = lambda n: [vocabulary[i] for i in rng.choice(20_000, n, p=share / share.sum())]
     texts = [" ".join(draw(length)) for _ in range(20)]
     items = decontamination.Items.of(list(enumerate(texts)), 0.2, decontamination.RECALL)
-    hit = 0
-    trials = 100 if length < 400 else 40
+    trials, texts_of, bounds = 400, [], [0]
     for i in range(trials):
         part = decontamination.edited(decontamination.words(texts[i % 20]).tolist(), int(0.2 * length), rng)
-        before, after = (decontamination.words(" ".join(draw(length + 20))) for _ in range(2))
-        hashes = np.concatenate([before, np.array(part, np.uint64), after])
-        hit += i % 20 in items.candidates(hashes, np.array([0, len(hashes)]))[:, 1]
+        before, after = (decontamination.words(" ".join(draw(20 + length // 8))) for _ in range(2))
+        texts_of.append(np.concatenate([before, np.array(part, np.uint64), after]))
+        bounds.append(bounds[-1] + len(texts_of[-1]))
+    found = {(t, j) for t, j, _ in items.candidates(np.concatenate(texts_of), np.array(bounds)).tolist()}
+    hit = sum((i, i % 20) in found for i in range(trials))
     assert hit >= 0.95 * trials
-    if length >= 5:
+    if 5 <= length <= decontamination.PART_WORDS:
         times, known, of = items.keys[length]
         rows = np.array([decontamination.words(" ".join(draw(length))) for _ in range(50)])
         walks = [decontamination.embed(rows, walk) for walk in range(decontamination.walks(length))]
@@ -163,6 +164,21 @@ def test_keys_reach_the_recall_and_part_unrelated_windows(length):
         assert met.mean() < 0.1
 
 
+def test_an_item_of_thousands_of_words(spark):
+    import resource
+
+    rng = np.random.default_rng(5)
+    word = lambda n: ["w%x" % i for i in rng.integers(0, 5000, n)]
+    item, before = word(5000), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    part = list(item)
+    for at in rng.choice(5000, 800, replace=False).tolist():
+        part[at] = "other"
+    docs = spark.createDataFrame([(1, " ".join([*word(300), *part, *word(70)])), (2, " ".join(word(6000))), (3, " ".join(item[:2500]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontamination.leaks_by_document(docs, bench).collect()] == [(1, 1, 800)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB of the driver
+
+
 def test_short_items_and_scripts_without_spaces(spark):
     bench = spark.createDataFrame([(1, "three word item"), (2, "\u65e5\u672c\u8a9e\u306e\u9577\u3044\u554f\u984c\u6587"), (3, "Alone")], "item_id long, text string")
     docs = spark.createDataFrame([

@@ -454,3 +454,33 @@ def test_a_block_reaches_aliases_by_relative_links(spark):
         (1, "http://example.com/en/a", '<link rel="canonical" href="../de/a">'), (2, "http://example.com/en/b", '<link rel="canonical" href="c">'), (3, "http://example.com/en/c", ""),
     ], "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_attributes_in_any_order_and_a_base(spark):
+    """Against SQL too, whose tables hold no such page."""
+    import duckdb
+    import pandas as pd
+
+    from tessera.llm import sql
+
+    pages = pd.DataFrame([
+        (1, "http://a.org/x/1", "<META content='0; URL=http://t.net/r' HTTP-EQUIV=refresh>"), (2, "http://a.org/x/2", '<base target=_top><base href="/deep/er/"><link href="../c" rel="canonical">'),
+        (3, "http://a.org/x/3", '<base href="http://other.net/en/"><link rel=canonical href=here>'), (4, "http://a.org/x/4", '<meta http-equiv="refresh" content="5; url=?q=1"><base href="//b.org/p/q">'),
+        (5, "http://a.org/x/5", '<base href="http://other.net/en/">'), (6, "http://a.org/x/6", '<meta http-equiv="x-refresh" content="0; url=http://t.net/"><meta charset=utf-8>'), (7, "no scheme", "<link rel=canonical href=y>"),
+    ], columns=["page_id", "url", "html"])
+    edges = {(r.a, r.b) for r in url_filter.link_edges(spark.createDataFrame(pages)).collect() if r.b != url_filter.LOWER and not r.b.startswith("https://")}
+    assert edges == {("http://a.org/x/1", "http://t.net/r"), ("http://a.org/x/2", "http://a.org/deep/c"), ("http://a.org/x/3", "http://other.net/en/here"), ("http://a.org/x/4", "http://b.org/p/q?q=1")}
+    got = url_filter.filter_urls(spark.createDataFrame(pages)).select("page_id", "host", "path", "rule", "verdict")
+    duck = duckdb.connect()
+    duck.register("pages", pages)
+    want = duck.sql(sql.URL_FILTER)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+
+
+def test_pii_of_long_runs():
+    zeros = "0" * 5000
+    assert [x for x in FIND(f"{zeros}.1.1.1 {zeros}1.{zeros}.2.255") if x[0] == "ip"] == [("ip", 0, 5006), ("ip", 5007, 5007 + 5001 + 1 + 5000 + 6)]
+    assert FIND(f"{zeros}999.1.1.1") == []
+    long = f"x git+ssh://{'u' * 900}:{'p' * 900}@host.org y"
+    assert [(k, s, e) for k, s, e in FIND(long) if k == "address"] == [("address", 2, len(long) - 2)]
