@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
+from tessera.operators import bayes
 from tessera.operators import models as op
 from tessera.operators.ordering import top_similar
 from tessera.plans.registry import query
@@ -52,9 +53,28 @@ def m5_grid_search_svm(embeddings: DataFrame) -> DataFrame:
     return _one("svm")(embeddings)
 
 
-@query(None, "embeddings")
+#: Grid points and folds of Gaussian naive Bayes by moments: what the query does in two passes, in plain SQL.
+_BAYES = """
+with r as (select vec_id, label, cast(vec_id // 4 % 5 as int) as fold, vec_id % 4 = 0 as test, embedding from embeddings),
+x as (select vec_id, label, fold, test, unnest(range(len(embedding))) as i, unnest(embedding)::double as x from r),
+folds as (select unnest([-1, 0, 1, 2, 3, 4]) as held),
+m as (select held, label, i, count(*) as n, sum(x) as s, sum(x * x) as q from x, folds where not test and fold <> held group by all),
+w as (select held, max(v) as v from (select held, i, sum(q) / sum(n) - pow(sum(s) / sum(n), 2) as v from m group by all) group by 1),
+g as (select * from (values (1e-9::double), (1e-2::double), (1.0::double)) a(smoothing), (values ('empirical'), ('uniform')) b(priors)),
+c as (select m.held, label, i, s / n as mean, greatest(q / n - pow(s / n, 2), 0) as v, w.v as largest, n,
+    sum(n) over (partition by m.held, i) as total, count(*) over (partition by m.held, i) as classes from m join w on w.held = m.held),
+asked as (select x.vec_id, x.label, case when test then -1 else fold end as held, i, x from x),
+joint as (select a.vec_id, a.label, a.held, smoothing, priors, c.label as guess,
+    max(ln(case priors when 'empirical' then c.n / c.total else 1 / c.classes end)) - 0.5 * sum(ln(2 * pi() * (c.v + smoothing * largest)) + pow(a.x - mean, 2) / (c.v + smoothing * largest)) as l
+  from asked a join c on c.held = a.held and c.i = a.i, g group by all),
+best as (select vec_id, label, held, smoothing, priors, arg_max(guess, (l, -guess)) as guess from joint group by all)
+select smoothing, priors, cast(held as int) as fold, count(*)::bigint as n, count(*) filter (guess = label)::bigint as hits from best group by all"""
+
+
+@query(_BAYES, "embeddings")
 def m6_grid_search_naive_bayes(embeddings: DataFrame) -> DataFrame:
-    return _one("naive_bayes")(embeddings)
+    rows = embeddings.select("label", "embedding", (F.floor(F.col("vec_id") / 4) % 5).cast("int").alias("fold"), (F.col("vec_id") % 4 == 0).alias("test"))
+    return bayes.grid_search(rows, "label", "embedding", "fold", "test")
 
 
 @query("""with p as (select a.vec_id, b.vec_id as t, b.label, round(list_sum([pow(x[1]::double - x[2]::double, 2) for x in list_zip(a.embedding, b.embedding)]), 6) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),

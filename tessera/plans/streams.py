@@ -9,6 +9,7 @@ from tessera.functions.text import fingerprint
 from tessera.plans.registry import query
 from tessera.sources.scratch import scratch
 from tessera.streaming import incremental as op
+from tessera.streaming import keyed
 
 
 def _arrivals(rows: DataFrame) -> list[DataFrame]:
@@ -30,7 +31,7 @@ def _three_batches() -> str:
 @query(_three_batches(), "events")
 def t1_incremental_dedupe_any_key(events: DataFrame) -> DataFrame:
     rows = events.select("event_id", F.concat_ws("/", "user_id", F.get_json_object("props", "$.k")).alias("post"), F.concat_ws("-", "user_id", F.floor("value")).alias("url"))
-    return op.deduplicated_stream(rows.sparkSession, _arrivals(rows), rows.schema, scratch(rows.sparkSession, "posts"), ["post", "url"], "event_id", F.col("post").isNotNull())
+    return keyed.deduplicated_stream(rows.sparkSession, _arrivals(rows), rows.schema, scratch(rows.sparkSession, "posts"), ["post", "url"], "event_id", F.col("post").isNotNull())
 
 
 @query("select event_id from events where ts > (select max(ts) from events where ts < (select date_trunc('day', max(ts)) from events))", "events")

@@ -1,4 +1,4 @@
-"""Incremental jobs: deduplication over any of two keys, resuming, continuous indexes."""
+"""Incremental jobs: resuming, states, continuous indexes."""
 
 from __future__ import annotations
 
@@ -30,30 +30,6 @@ def replayed(arrivals: list[DataFrame], schema, run: Callable[[DataFrame, int],
         catch_up(source, schema, run, spark, progress)
 
 
-def new_records(batch: DataFrame, known: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of the batch none of whose keys is known or belongs to an earlier new row of the batch; null keys match nothing."""
-    out = batch
-    for key in keys:
-        out = out.join(known.select(key).where(F.col(key).isNotNull()), key, "left_anti")
-    for key in keys:
-        firsts = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
-        out = out.join(firsts, key, "left").where(F.col("_first").isNull() | (F.col("_first") == F.col(order))).drop("_first")
-    return out.select(*batch.columns)
-
-
-def deduplicated_stream(spark: SparkSession, arrivals: list[DataFrame], schema, target: str, keys: list[str], order: str, complete: Column) -> DataFrame:
-    """The target table after the arrivals came in: rows new by every key; only complete records count as known."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/batch=-1")
-
-    def run(batch: DataFrame, n: int) -> None:
-        known = batch.sparkSession.read.schema(schema).parquet(target).where(complete)
-        # A batch that runs again replaces what it wrote before.
-        new_records(batch, known, keys, order).write.mode("overwrite").parquet(f"{target}/batch={n}")
-
-    replayed(arrivals, schema, run, spark)
-    return spark.read.schema(schema).parquet(target).drop("batch")
-
-
 def remaining(rows: DataFrame, progress: DataFrame, key: str) -> DataFrame:
     """Rows after the last recorded one; all of them where nothing is recorded."""
     last = progress.agg(F.max(key).alias("_last"))  # one row

@@ -145,10 +145,35 @@ def test_state_reasons_in_order(spark):
     assert got == ["valid", "other number of blocks", "other version"]
 
 
-def test_new_records_by_any_key(spark):
-    batch = spark.createDataFrame([(1, "a", "u1"), (2, "a", "u2"), (3, "b", "u1"), (4, None, "u9"), (5, None, "u5"), (6, "z", "u6")], "i int, id string, url string")
-    known = spark.createDataFrame([("z", "u7"), ("y", "u9")], "id string, url string")
-    assert sorted(r.i for r in incremental.new_records(batch, known, ["id", "url"], "i").collect()) == [1, 5]
+def test_new_records_by_any_key(spark, tmp_path):
+    """Late, repeated and empty arrivals, null keys; what a key turns down leaves no trace; a batch that runs again changes nothing."""
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import keyed
+
+    schema = spark.createDataFrame([], "i long, id string, url string").schema
+    source, target, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
+    job = keyed.KeyedDeduplication(spark, source, target, schema, ["id", "url"], "i", F.col("id").isNotNull(), progress)
+
+    def arrive(rows):
+        if rows is not None:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        job.run()
+        return sorted(r.i for r in job.table().collect())
+
+    assert arrive([(1, "a", "u"), (2, "a", "v"), (3, "b", "u"), (4, None, "w"), (5, "c", None), (6, None, None)]) == [1, 4, 5, 6]
+    assert arrive(None) == [1, 4, 5, 6] == arrive([])
+    # 7 repeats a url, so that its id b stays free for 8; w is free, since 4 was not complete; c is known.
+    assert arrive([(7, "b", "u"), (8, "b", "x"), (9, "d", "w"), (10, "c", "y"), (8, "b", "x")]) == [1, 4, 5, 6, 8, 9]
+    assert arrive([(0, "b", "z"), (1, "a", "u"), (11, "e", "y")]) == [1, 4, 5, 6, 8, 9, 11]  # late and repeated
+    last = max(int(p.name) for p in (tmp_path / "progress" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "progress" / "commits" / name).unlink(missing_ok=True)
+    assert arrive(None) == [1, 4, 5, 6, 8, 9, 11]  # the batch ran again
+    assert arrive([(12, "e", "zz"), (13, "f", "x"), (14, "f", "zz")]) == [1, 4, 5, 6, 8, 9, 11, 14]
+    shutil.rmtree(target)
 
 
 def test_entry_and_registry(spark):
@@ -243,3 +268,42 @@ def test_fuzzy_pairs_are_those_of_all_pairs(spark, least):
     want = {(b, s, t, s2, t2) for b, s, t in set(rows) for b2, s2, t2 in set(rows) if b == b2 and s < s2 and SequenceMatcher(None, t, t2, autojunk=False).ratio() >= least}
     found = [(r.block, r.source_a, r.title_a, r.source_b, r.title_b) for r in got.collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_naive_bayes_searches_priors_and_smoothing(spark):
+    """Against plain loops: an uneven label, a feature without spread, a class that one fold alone holds, rows that count nowhere."""
+    import math
+    import random
+
+    from tessera.operators import bayes
+
+    rng = random.Random(4)
+    rows = [(i, int(rng.random() < 0.2), i % 3, i % 7 == 0, [rng.gauss(0, 1), rng.gauss(i % 5, 3), 2.0]) for i in range(150)]
+    rows = [(i, y, f, t, [v[0] + y, *v[1:]]) for i, y, f, t, v in rows] + [(200, 9, 0, False, [5.0, 5.0, 2.0]), (201, 9, 0, False, [5.5, 5.0, 2.0])]
+    odd = [(300, 1, 0, False, None), (301, 1, 0, False, [1.0]), (302, None, 0, False, [1.0, 1.0, 1.0]), (303, 1, 0, True, [1.0, None, 1.0])]
+
+    def plain(smoothing, priors, held):
+        kept = [(y, v) for _, y, f, t, v in rows if not t and f != held]
+        spread = lambda xs: sum(x * x for x in xs) / len(xs) - (sum(xs) / len(xs)) ** 2
+        largest = max(spread([v[i] for _, v in kept]) for i in range(3))
+        labels = sorted({y for y, _ in kept})
+        asked = [(y, v) for _, y, f, t, v in rows if (t if held == -1 else not t and f == held)]
+        hits = 0
+        for y, v in asked:
+            scores = {}
+            for c in labels:
+                mine = [w for z, w in kept if z == c]
+                score = math.log(len(mine) / len(kept) if priors == "empirical" else 1 / len(labels))
+                for i in range(3):
+                    values = [w[i] for w in mine]
+                    var = max(spread(values), 0) + smoothing * largest
+                    score -= 0.5 * (math.log(2 * math.pi * var) + (v[i] - sum(values) / len(values)) ** 2 / var)
+                scores[c] = score
+            hits += max(labels, key=lambda c: (scores[c], -c)) == y
+        return (smoothing, priors, held, len(asked), hits)
+
+    table = spark.createDataFrame(rows + odd, "id int, label int, fold int, test boolean, x array<double>")
+    got = {tuple(r) for r in bayes.grid_search(table, "label", "x", "fold", "test", smoothings=(1e-6, 0.1, 10.0)).collect()}
+    want = {plain(s, p, held) for s in (1e-6, 0.1, 10.0) for p in bayes.PRIORS for held in (-1, 0, 1, 2)}
+    assert got == want and len({h for *_, h in want}) > 4  # the grid has an effect
+    assert bayes.grid_search(table.limit(0), "label", "x", "fold", "test").count() == 0
