@@ -74,7 +74,8 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         value(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", "url").alias("refresh"),
     ).where("canonical <> '' or refresh <> ''")
     based = naming.select("a", F.coalesce(F.when(F.col("base") != "", _absolute(F.col("base"), F.col("a"))), "a").alias("base"), F.explode(F.array("canonical", "refresh")).alias("link"))
-    named = based.where("link <> ''").select("a", _absolute(F.col("link"), F.col("base")).alias("b"))
+    based = written(based.where("link <> ''"), "page-links")  # else the base would stand in full at each place of the next expression
+    named = based.select("a", _absolute(F.col("link"), F.col("base")).alias("b"))
     return own.union(named).where("b is not null and a <> b").distinct()
 
 
