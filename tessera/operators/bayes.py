@@ -93,3 +93,23 @@ def grid_search(rows: DataFrame, label: str, features: str, fold: str, test: str
     asked = whole.select(F.when(F.col(test), -1).otherwise(F.col(fold)).cast("int").alias("fold"), F.col(label).cast("long").alias("label"), F.col(features).cast("array<double>").alias("x"))
     found = asked.mapInPandas(judge, "smoothing double, priors string, fold int, n long, hits long")
     return found.groupBy("smoothing", "priors", "fold").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+def best_confusion(rows: DataFrame, label: str, features: str, fold: str, test: str) -> tuple[str, DataFrame]:
+    """(parameters as text, (label, prediction, n) over the test rows) of the grid point with most hits over the folds; of equal ones the first."""
+    points = grid_search(rows, label, features, fold, test).where("fold >= 0").groupBy("smoothing", "priors").agg(F.sum("hits").alias("hits"))
+    best = points.orderBy(F.desc("hits"), "smoothing", "priors").first()  # six rows
+    smoothing, priors = (best.smoothing, best.priors) if best else (SMOOTHINGS[0], PRIORS[0])
+    whole = rows.where(F.col(label).isNotNull() & F.forall(features, lambda x: x.isNotNull()))
+    bayes = Bayes(moments(whole.where(~F.col(test)), label, fold, features).collect())  # folds x classes x features
+    shared = rows.sparkSession.sparkContext.broadcast(bayes)  # the same
+
+    def predict(batches):
+        for part in batches:
+            if len(part):
+                part["prediction"] = shared.value.predicted(np.stack(part["x"].to_numpy()).astype(np.float64), smoothing, priors, None).astype(float)
+                yield part[["label", "prediction"]]
+
+    asked = whole.where(F.col(test)).select(F.col(label).cast("double").alias("label"), F.col(features).cast("array<double>").alias("x"))
+    found = asked.mapInPandas(predict, "label double, prediction double").groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    return f"priors={priors}, smoothing={smoothing}", found

@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 
 from tessera.operators.numbering import numbered, placed_by_ranges
 
+#: Characters of a stem that the key of a prefix join holds at most.
+BEGINNING = 4
+
 
 def changed_only(rows: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys stand in ``changed``."""
@@ -137,11 +140,22 @@ def tiered_match(rows: DataFrame, candidates: DataFrame, id_col: str, tiers: lis
 
 
 def prefix_join(files: DataFrame, sides: DataFrame, directory: str, stem: str, side: str, strict: bool = False) -> DataFrame:
-    """Side files of the same directory whose stem starts with the main one's; strictly: equal, or a prefix before one of ``. -_``."""
-    joined = files.join(sides, directory)
+    """Side files of the same directory whose stem starts with the main one's, case aside; strictly: equal, or a prefix before
+    one of ``. -_``. Null stems match nothing.
+
+    The join's key is the directory with a beginning of the stem. Strictly, a side file has one row for each beginning that
+    ends before such a character, so that all that meet match; else one for each of its first ``BEGINNING`` characters.
+    """
     a, b = F.lower(stem), F.lower(side)
-    fits = F.startswith(b, a)
-    return joined.where(((b == a) | (fits & F.substring(b, F.length(a) + 1, F.lit(1)).isin(".", " ", "-", "_"))) if strict else fits)
+    if strict:
+        ends = F.filter(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(b, i + 1, F.lit(1)).isin(".", " ", "-", "_"))
+        beginnings = F.array_distinct(F.concat(F.array(b), F.when(b != "", F.transform(ends, lambda i: F.left(b, i))).otherwise(F.array()), F.when(F.left(b, F.lit(1)).isin(".", " ", "-", "_"), F.array(F.lit(""))).otherwise(F.array())))
+        key = a
+    else:
+        beginnings = F.array_distinct(F.array(*[F.left(b, F.lit(n)) for n in range(BEGINNING + 1)]))
+        key = F.left(a, F.lit(BEGINNING))
+    joined = files.where(F.col(stem).isNotNull()).withColumn("_beginning", key).join(sides.where(F.col(side).isNotNull()).withColumn("_beginning", F.explode(beginnings)), [directory, "_beginning"])
+    return (joined if strict else joined.where(F.startswith(b, a))).drop("_beginning")
 
 
 def name_or_episode(movies: DataFrame, subtitles: DataFrame, directory: str) -> DataFrame:

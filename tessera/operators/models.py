@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +11,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import bayes
 from tessera.operators.blocks import nearest
 
 
@@ -27,9 +28,9 @@ def feature_rows(df: DataFrame, features: str, label: str) -> DataFrame:
 
 
 def grids(features: int, classes: int) -> dict:
-    """Estimator and parameter grid by name."""
+    """Estimator and parameter grid by name; naive Bayes is searched by ``operators/bayes.py``."""
     tree, forest = DecisionTreeClassifier(seed=1), RandomForestClassifier(seed=1)
-    mlp, bayes = MultilayerPerceptronClassifier(seed=1, maxIter=30), NaiveBayes(modelType="gaussian")
+    mlp = MultilayerPerceptronClassifier(seed=1, maxIter=30)
     svc = LinearSVC(maxIter=10, featuresCol="scaled")
     svm = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), OneVsRest(classifier=svc, featuresCol="scaled")])
     return {
@@ -37,7 +38,6 @@ def grids(features: int, classes: int) -> dict:
         "random_forest": (forest, ParamGridBuilder().addGrid(forest.maxDepth, [5, 8]).addGrid(forest.numTrees, [10, 20]).build()),
         "mlp": (mlp, ParamGridBuilder().addGrid(mlp.layers, [[features, 16, classes], [features, 32, classes]]).addGrid(mlp.solver, ["l-bfgs", "gd"]).build()),
         "svm": (svm, ParamGridBuilder().addGrid(svc.regParam, [0.01, 0.1]).build()),
-        "naive_bayes": (bayes, ParamGridBuilder().addGrid(bayes.smoothing, [1e-9, 1.0]).build()),
     }
 
 
@@ -50,12 +50,17 @@ def searched(train: DataFrame, name: str, features: int, classes: int):
 
 
 def compared(rows: DataFrame, names: list[str], test: str, features: int, classes: int) -> DataFrame:
-    """(model, parameters, label, prediction, n): each best model's confusion counts on the test rows."""
+    """(model, parameters, label, prediction, n): each best model's confusion counts on the test rows. ``rows`` have
+    features, label, the test flag, and for naive Bayes a ``fold``."""
     train, held = rows.where(~F.col(test)).cache(), rows.where(F.col(test))
     out = None
     for name in names:
-        model, parameters = searched(train, name, features, classes)
-        one = model.transform(held).groupBy("label", "prediction").agg(F.count("*").alias("n")).select(F.lit(name).alias("model"), F.lit(parameters).alias("parameters"), "label", "prediction", "n")
+        if name == "naive_bayes":
+            parameters, counts = bayes.best_confusion(rows.withColumn("features", vector_to_array("features")), "label", "features", "fold", test)
+        else:
+            model, parameters = searched(train, name, features, classes)
+            counts = model.transform(held).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+        one = counts.select(F.lit(name).alias("model"), F.lit(parameters).alias("parameters"), "label", "prediction", "n")
         out = one if out is None else out.unionByName(one)
     train.unpersist()
     return out

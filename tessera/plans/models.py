@@ -14,7 +14,7 @@ from tessera.plans.registry import query
 
 def _rows(embeddings: DataFrame) -> tuple[DataFrame, int, int]:
     shape = embeddings.agg(F.max(F.size("embedding")).alias("d"), F.max("label").alias("c")).first()
-    rows = op.feature_rows(embeddings.withColumnRenamed("label", "y"), "embedding", "y").withColumn("test", F.col("vec_id") % 4 == 0)
+    rows = op.feature_rows(embeddings.withColumnRenamed("label", "y"), "embedding", "y").withColumns({"test": F.col("vec_id") % 4 == 0, "fold": (F.floor(F.col("vec_id") / 4) % 5).cast("int")})
     return rows, shape.d, shape.c + 1
 
 
@@ -86,4 +86,4 @@ def m7_knn_classifier(embeddings: DataFrame) -> DataFrame:
 @query(None, "embeddings")
 def m8_compare_models(embeddings: DataFrame) -> DataFrame:
     rows, d, c = _rows(embeddings)
-    return op.compared(rows, list(op.grids(d, c)), "test", d, c)
+    return op.compared(rows, [*op.grids(d, c), "naive_bayes"], "test", d, c)

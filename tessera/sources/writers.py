@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tessera.operators.numbering import numbered
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", columns: list[str] | None = None) -> None:
@@ -27,9 +28,9 @@ def safe_name(name: Column) -> Column:
 
 
 def write_split_by_key(df: DataFrame, path: str, key: str, order: str) -> None:
-    """One directory per key, ``{ordinal}-{key}``, numbered by the key's first row; only the keys are ordered, not the rows."""
+    """One directory per key, ``{ordinal}-{key}``, numbered by the key's first row; only the keys are ordered, by ranges, not the rows."""
     firsts = df.groupBy(key).agg(F.min(order).alias("_first"))
-    ordinal = firsts.withColumn("part", F.concat_ws("-", F.row_number().over(W.orderBy("_first", key)), safe_name(F.col(key)))).drop("_first")
+    ordinal = numbered(firsts, ["_first", key], "_ordinal").select(key, F.concat_ws("-", "_ordinal", safe_name(F.col(key))).alias("part"))
     df.join(ordinal, key).write.mode("overwrite").partitionBy("part").option("header", True).csv(path)
 
 

@@ -307,3 +307,18 @@ def test_naive_bayes_searches_priors_and_smoothing(spark):
     want = {plain(s, p, held) for s in (1e-6, 0.1, 10.0) for p in bayes.PRIORS for held in (-1, 0, 1, 2)}
     assert got == want and len({h for *_, h in want}) > 4  # the grid has an effect
     assert bayes.grid_search(table.limit(0), "label", "x", "fold", "test").count() == 0
+
+
+def test_prefix_join_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    stem = lambda: "".join(rng.choice("aB.-") for _ in range(rng.randrange(7)))
+    mains = [(i, rng.choice("xy"), rng.choice([None, stem(), stem(), stem()])) for i in range(60)]
+    sides = [(i, rng.choice("xyz"), rng.choice([None, stem(), stem(), stem()])) for i in range(120)]
+    a, b = spark.createDataFrame(mains, "i int, dir string, stem string"), spark.createDataFrame(sides, "k int, dir string, side string")
+    pairs = [(i, k, x.lower(), y.lower()) for i, d, x in mains for k, e, y in sides if d == e and x is not None and y is not None]
+    want = {True: [(i, k) for i, k, x, y in pairs if y == x or y.startswith(x) and y[len(x) : len(x) + 1] in tuple(". -_")], False: [(i, k) for i, k, x, y in pairs if y.startswith(x)]}
+    for strict in (True, False):
+        got = joins.prefix_join(a, b, "dir", "stem", "side", strict)
+        assert got.columns == ["dir", "i", "stem", "k", "side"] and sorted((r.i, r.k) for r in got.collect()) == sorted(want[strict]) and want[strict]
