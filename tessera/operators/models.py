@@ -15,6 +15,11 @@ from tessera.operators import bayes
 from tessera.operators.blocks import nearest
 
 
+#: Numbers of neighbours, metrics and the distance that orders each of them.
+NEIGHBOURS, METRICS = (1, 3, 5, 7), ("euclidean", "manhattan", "minkowski")
+DISTANCES = {"euclidean": "euclidean", "manhattan": "manhattan", "minkowski": "euclidean"}
+
+
 def title_vectors(df: DataFrame, text_col: str, dims: int = 100, window: int = 5, seed: int = 1) -> DataFrame:
     """``df`` with ``vector``: the mean word vector of each tokenised lower-case text."""
     words = df.withColumn("_words", F.filter(F.split(F.lower(text_col), r"\W+"), lambda w: w != ""))
@@ -78,3 +83,22 @@ def nearest_labels(train: DataFrame, queries: DataFrame, id_col: str, vector: st
     best = nearest(queries, train, id_col, vector, k, metric, carry=label)
     votes = best.groupBy("query", label).agg(F.count("*").alias("n"), F.min("rank").alias("r"))
     return votes.groupBy(F.col("query").alias(id_col)).agg(F.max_by(label, F.struct("n", -F.col("r"))).alias("predicted"))
+
+
+def neighbour_grid(train: DataFrame, queries: DataFrame, id_col: str, vector: str, label: str, ks=NEIGHBOURS, metrics=METRICS) -> DataFrame:
+    """(metric, k, n, hits): per metric and number of neighbours, the queries that have neighbours and those whose own label wins the vote.
+
+    The nearest ``max(ks)`` rows are found once per distance, for they hold those of every smaller k; minkowski is the one of
+    power 2, whose order is euclidean. Ties go to the nearer, then smaller label. Queries without a label hit nothing.
+    """
+    found = None
+    for distance in dict.fromkeys(DISTANCES[m] for m in metrics):
+        best = nearest(queries, train, id_col, vector, max(ks), distance, carry=label).select("query", "rank", label)
+        best = best.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics if DISTANCES[m] == distance])))
+        found = best if found is None else found.unionByName(best)
+    votes = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
+    votes = votes.groupBy("metric", "k", "query", label).agg(F.count("*").alias("n"), F.min("rank").alias("r"))
+    won = votes.groupBy("metric", "k", "query").agg(F.max_by(label, F.struct("n", -F.col("r"))).alias("_predicted"))
+    own = queries.select(F.col(id_col).alias("query"), F.col(label).alias("_own"))
+    hit = F.coalesce(F.col("_predicted") == F.col("_own"), F.lit(False))
+    return won.join(own, "query").groupBy("metric", "k").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))

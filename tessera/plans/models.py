@@ -77,10 +77,19 @@ def m6_grid_search_naive_bayes(embeddings: DataFrame) -> DataFrame:
     return bayes.grid_search(rows, "label", "embedding", "fold", "test")
 
 
-@query("""with p as (select a.vec_id, b.vec_id as t, b.label, round(list_sum([pow(x[1]::double - x[2]::double, 2) for x in list_zip(a.embedding, b.embedding)]), 6) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
-          r as (select *, row_number() over (partition by vec_id order by d, t) as r from p), v as (select vec_id, label, count(*) as n, min(r) as r from r where r <= 5 group by 1, 2) select vec_id, arg_max(label, (n, -r)) as predicted from v group by 1""", "embeddings")
+_NEIGHBOURS = """
+with p as (select a.vec_id, a.label as own, b.vec_id as t, b.label, round(list_sum([pow(x[1]::double - x[2]::double, 2) for x in list_zip(a.embedding, b.embedding)]), 6) as euclidean,
+    round(list_sum([abs(x[1]::double - x[2]::double) for x in list_zip(a.embedding, b.embedding)]), 6) as manhattan from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+d as (select vec_id, own, t, label, 'euclidean' as metric, euclidean as d from p union all select vec_id, own, t, label, 'minkowski', euclidean from p union all select vec_id, own, t, label, 'manhattan', manhattan from p),
+r as (select *, row_number() over (partition by metric, vec_id order by d, t) as r from d),
+v as (select metric, k, vec_id, own, label, count(*) as n, min(r) as r from r, (values (1), (3), (5), (7)) k(k) where r <= k group by all),
+b as (select metric, k, vec_id, own, arg_max(label, (n, -r)) as predicted from v group by all)
+select metric, k, count(*)::bigint as n, count(*) filter (predicted = own)::bigint as hits from b group by all"""
+
+
+@query(_NEIGHBOURS, "embeddings")
 def m7_knn_classifier(embeddings: DataFrame) -> DataFrame:
-    return op.nearest_labels(embeddings, embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", "label", 5)
+    return op.neighbour_grid(embeddings, embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", "label")
 
 
 @query(None, "embeddings")

@@ -322,3 +322,28 @@ def test_prefix_join_equals_all_pairs(spark):
     for strict in (True, False):
         got = joins.prefix_join(a, b, "dir", "stem", "side", strict)
         assert got.columns == ["dir", "i", "stem", "k", "side"] and sorted((r.i, r.k) for r in got.collect()) == sorted(want[strict]) and want[strict]
+
+
+def test_neighbour_grid_equals_plain_votes(spark):
+    import random
+    from collections import Counter
+
+    from tessera.operators import models
+
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randrange(4)) for _ in range(3)], rng.randrange(3)) for i in range(90)]
+    table = spark.createDataFrame([*rows, (500, None, 1), (501, [1.0], 1), (502, [1.0, None, 2.0], 1)], "id int, v array<double>, y int")
+    got = {tuple(r) for r in models.neighbour_grid(table, table.where("id % 4 = 0"), "id", "v", "y").collect()}
+    want = set()
+    for metric in models.METRICS:
+        power = 1 if metric == "manhattan" else 2
+        for k in models.NEIGHBOURS:
+            hits = 0
+            for i, v, y in rows[::4]:
+                near = sorted((sum(abs(a - b) ** power for a, b in zip(v, w, strict=True)), j, z) for j, w, z in rows if j != i)[:k]
+                count, first = Counter(z for *_, z in near), {}
+                for rank, (_, _, z) in enumerate(near):
+                    first.setdefault(z, rank)
+                hits += min(count, key=lambda z: (-count[z], first[z])) == y
+            want.add((metric, k, 23, hits))
+    assert got == want
