@@ -56,12 +56,14 @@ def searched(train: DataFrame, name: str, features: int, classes: int):
 
 def compared(rows: DataFrame, names: list[str], test: str, features: int, classes: int) -> DataFrame:
     """(model, parameters, label, prediction, n): each best model's confusion counts on the test rows. ``rows`` have
-    features, label, the test flag, and for naive Bayes a ``fold``."""
+    features, label, the test flag, and may have a ``fold`` for naive Bayes; else a hash of the features gives it."""
     train, held = rows.where(~F.col(test)).cache(), rows.where(F.col(test))
     out = None
     for name in names:
         if name == "naive_bayes":
-            parameters, counts = bayes.best_confusion(rows.withColumn("features", vector_to_array("features")), "label", "features", "fold", test)
+            asked = rows.withColumn("features", vector_to_array("features"))
+            asked = asked if "fold" in rows.columns else asked.withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(bayes.FOLDS)).cast("int"))
+            parameters, counts = bayes.best_confusion(asked, "label", "features", "fold", test)
         else:
             model, parameters = searched(train, name, features, classes)
             counts = model.transform(held).groupBy("label", "prediction").agg(F.count("*").alias("n"))
