@@ -48,15 +48,19 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def encode_png(content: bytes) -> bytes:
-    """The image whose samples are ``content``'s payload; its length stands in a text chunk."""
+#: Longest key that the comment of an archive's member holds.
+COMMENT_BYTES = 65_534
+
+
+def encode_png(content: bytes, key: bytes = b"") -> bytes:
+    """The image whose samples are ``content``'s payload; its length stands in a text chunk, and so does a ``key`` if there is one."""
     rows = np.frombuffer(payload_of(content), np.uint8).reshape(-1, WIDTH)
     raw = np.zeros((len(rows), WIDTH + 1), np.uint8)  # each row after its filter type, 0
     raw[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
     return b"".join([
         SIGNATURE, _chunk(b"IHDR", head), _chunk(b"tEXt", b"Length\0" + str(len(content)).encode()),
-        _chunk(b"IDAT", zlib.compress(raw, 6)), _chunk(b"IEND", b""),
+        *([_chunk(b"tEXt", b"Key\0" + key)] if key else []), _chunk(b"IDAT", zlib.compress(raw, 6)), _chunk(b"IEND", b""),
     ])
 
 
@@ -86,6 +90,17 @@ def decode_png(data: bytes) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(raw[:, 1:]), length
 
 
+def key_of(data: bytes) -> str | None:
+    """The key in an image's text chunk."""
+    at = 8
+    while at < len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        if kind == b"tEXt" and data[at + 8 : at + 12] == b"Key\0":
+            return data[at + 12 : at + 8 + size].decode("utf-8", "surrogatepass")
+        at += 12 + size
+    return None
+
+
 def features(samples: np.ndarray) -> str:
     """Mean, deviation, entropy in bits and mean step between neighbours of the samples."""
     counts = np.bincount(samples.ravel(), minlength=256)
@@ -125,8 +140,10 @@ class ArchiveWriter(DataSourceArrowWriter):
                     out = store.open_output_stream(f"{folder}/{name}")
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 member = zipfile.ZipInfo(f"{seen:08d}.png")
-                member.comment = b"" if key is None else b"=" + key.encode("utf-8", "surrogatepass")  # the key, as it is
-                archive.writestr(member, encode_png(content or b""))
+                raw = None if key is None else key.encode("utf-8", "surrogatepass")
+                long = raw is not None and len(raw) > COMMENT_BYTES  # such a key goes into the image
+                member.comment = b"" if raw is None else b"+" if long else b"=" + raw  # the key, as it is
+                archive.writestr(member, encode_png(content or b"", raw if long else b""))
                 seen += 1
                 if out.tell() >= ARCHIVE_BYTES:
                     archive.close()
@@ -188,13 +205,14 @@ class ArchiveReader(DataSourceReader):
         return data
 
     def _row(self, store, path: str, info: zipfile.ZipInfo) -> tuple:
-        key = info.comment[1:].decode("utf-8", "surrogatepass") if info.comment else None
+        key = info.comment[1:].decode("utf-8", "surrogatepass") if info.comment[:1] == b"=" else None
         for left in range(self.retries, -1, -1):
             try:
                 data = self._member(store, path, info)
                 samples, length = decode_png(data)
+                key = key_of(data) if info.comment == b"+" else key
                 return key, length, samples.tobytes(), len(data), hashlib.sha256(data).hexdigest(), features(samples), None
-            except (OSError, ValueError, zlib.error) as e:
+            except (OSError, ValueError, TypeError, struct.error, zlib.error) as e:
                 why = f"{type(e).__name__}: {e}"
                 if left and isinstance(e, OSError):
                     time.sleep(0.05 * (self.retries - left))

@@ -484,3 +484,9 @@ def test_pii_of_long_runs():
     assert FIND(f"{zeros}999.1.1.1") == []
     long = f"x git+ssh://{'u' * 900}:{'p' * 900}@host.org y"
     assert [(k, s, e) for k, s, e in FIND(long) if k == "address"] == [("address", 2, len(long) - 2)]
+
+
+def test_media_of_very_long_ids(spark):
+    ids = ["k" * 65_534, "k" * 65_535, "\u00e9" * 50_000, "", "+"]
+    docs = spark.createDataFrame([(i, f"text {len(i)}") for i in ids], "doc_id string, text string")
+    assert sorted(r.doc_id for r in media.digests(media.media_columns(docs)).collect()) == sorted(ids)
