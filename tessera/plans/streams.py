@@ -9,7 +9,7 @@ from tessera.functions.text import fingerprint
 from tessera.plans.registry import query
 from tessera.sources.scratch import scratch
 from tessera.streaming import incremental as op
-from tessera.streaming import keyed
+from tessera.streaming import keyed, records, reindex
 
 
 def _arrivals(rows: DataFrame) -> list[DataFrame]:
@@ -36,8 +36,21 @@ def t1_incremental_dedupe_any_key(events: DataFrame) -> DataFrame:
 
 @query("select event_id from events where ts > (select max(ts) from events where ts < (select date_trunc('day', max(ts)) from events))", "events")
 def t2_resume_from_progress(events: DataFrame) -> DataFrame:
-    today = events.agg(F.date_trunc("day", F.max("ts")).alias("today"))  # one row
-    return op.remaining(events, events.join(F.broadcast(today), F.col("ts") < F.col("today")), "ts").select("event_id")
+    """A log of all events is read up to today, the job stops and goes on from its checkpoint; the result is what it read then."""
+    spark, timed = events.sparkSession, events.where(F.col("ts").isNotNull())
+    log, progress, target = (scratch(spark, name) for name in ("log", "progress", "recorded"))
+    records.append_log(timed, log, "events-0", ["ts", "event_id"])
+    today = timed.agg(F.date_trunc("day", F.max("ts")).alias("today"))  # one row
+    before = timed.join(F.broadcast(today), F.col("ts") < F.col("today")).count()
+    schema = events.select("event_id").schema
+
+    def record(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    records.resume(spark, log, schema, progress, record, before)
+    records.resume(spark, log, schema, progress, record)
+    recorded = spark.read.schema("event_id long, batch int").parquet(target)
+    return recorded.where(F.col("batch") > 0 if before else F.lit(True)).select("event_id")
 
 
 @query("select doc_id, case when doc_id % 5 = 0 then 'other version' when doc_id % 7 = 0 then 'content changed' when doc_id % 3 = 0 then 'finished part changed' else 'valid' end as reason from documents", "documents")
@@ -53,7 +66,7 @@ def t3_resume_state_validation(documents: DataFrame) -> DataFrame:
 @query("select user_id, event_id, lpad(cast(row_number() over (partition by user_id order by ts, event_id) as varchar), cast(greatest(2, length(cast(count(*) over (partition by user_id) as varchar))) as int), '0') as index from events", "events")
 def t4_continuous_reindex(events: DataFrame) -> DataFrame:
     rows = events.select("user_id", "event_id", "ts")
-    return op.reindexed_stream(rows.sparkSession, _arrivals(rows), rows.schema, scratch(rows.sparkSession, "posts"), "user_id", "ts", ["event_id"]).select("user_id", "event_id", "index")
+    return reindex.reindexed_stream(rows.sparkSession, _arrivals(rows), rows.schema, scratch(rows.sparkSession, "posts"), "user_id", "ts", ["event_id"]).select("user_id", "event_id", "index")
 
 
 @query("select o_custkey from (select distinct o_custkey from orders) where o_custkey not in (select o_custkey from orders where o_orderkey % 2 = 0 group by 1 having count(distinct o_orderstatus) = 3)", "orders")

@@ -1,4 +1,4 @@
-"""Incremental jobs: resuming, states, continuous indexes."""
+"""Incremental jobs: folders replayed as streams, saved states, finished units."""
 
 from __future__ import annotations
 
@@ -7,14 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.windows import chronological_index
 from tessera.sources.scratch import scratch
 
 
-#: Parts of a table that a batch rewrites alone.
-BUCKETS = 64
-
-
 def catch_up(source: str, schema, run: Callable[[DataFrame, int], None], spark: SparkSession, progress: str) -> None:
     """Runs a batch function once over all files that came into a folder since ``progress`` was last written."""
     stream = spark.readStream.schema(schema).parquet(source)
@@ -30,12 +25,6 @@ def replayed(arrivals: list[DataFrame], schema, run: Callable[[DataFrame, int],
         catch_up(source, schema, run, spark, progress)
 
 
-def remaining(rows: DataFrame, progress: DataFrame, key: str) -> DataFrame:
-    """Rows after the last recorded one; all of them where nothing is recorded."""
-    last = progress.agg(F.max(key).alias("_last"))  # one row
-    return rows.join(F.broadcast(last), F.col("_last").isNull() | (F.col(key) > F.col("_last"))).select(*rows.columns)
-
-
 def state_reason(state: str = "", now: str = "now_") -> Column:
     """Why a saved state is not valid, else 'valid': version, target, count and fingerprints in this order."""
     parts = [("version", "other version"), ("target", "other target"), ("blocks", "other number of blocks"), ("content", "content changed"), ("prefix", "finished part changed")]
@@ -45,24 +34,6 @@ def state_reason(state: str = "", now: str = "now_") -> Column:
     return out
 
 
-def reindexed_stream(spark: SparkSession, arrivals: list[DataFrame], schema, target: str, group: str, ts: str, ties: list[str]) -> DataFrame:
-    """Each group's chronological index. Records lie in ``BUCKETS`` folders by their group's hash, and an arrival
-    rebuilds the index of the buckets that it touches; a batch that runs again replaces what it wrote before."""
-    bucket = F.pmod(F.xxhash64(group), F.lit(BUCKETS)).cast("int")
-    records = f"{target}/records"
-
-    def run(batch: DataFrame, n: int) -> None:
-        batch.withColumns({"_batch": F.lit(n), "_bucket": bucket}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_bucket").parquet(records)
-        every = batch.sparkSession.read.parquet(records)
-        touched = [r[0] for r in every.where(F.col("_batch") == n).select("_bucket").distinct().collect()]  # BUCKETS at most
-        every = every.where(F.col("_bucket").isin(touched)).drop("_batch")
-        index = chronological_index(every, group, ts, ties).repartition("_bucket", group)
-        index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{target}/index")
-
-    replayed(arrivals, schema, run, spark)
-    return spark.read.parquet(f"{target}/index").drop("_bucket")
-
-
 def unfinished(expected: DataFrame, present: DataFrame, unit: str, output: str) -> DataFrame:
     """Units of which an expected output is absent; a unit without any output is one of them."""
     return expected.join(present.select(unit, output), [unit, output], "left_anti").select(unit).distinct()

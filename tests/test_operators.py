@@ -347,3 +347,73 @@ def test_neighbour_grid_equals_plain_votes(spark):
                 hits += min(count, key=lambda z: (-count[z], first[z])) == y
             want.add((metric, k, 23, hits))
     assert got == want
+
+
+def test_log_goes_on_behind_the_last_record(spark, tmp_path):
+    """Stops inside a file, failing batches, arrivals between runs, empty arrivals and unfinished ones: each record once."""
+    import json
+
+    from tessera.streaming import records
+
+    log, progress, target = (str(tmp_path / x) for x in ("log", "progress", "out"))
+    schema = spark.createDataFrame([], "i long, s string").schema
+
+    def arrive(name, ids):
+        records.append_log(spark.createDataFrame([(i, f"r{i}") for i in ids], schema), log, name, ["i"])
+
+    def run(limit=None, broken=False):
+        def write(batch, n):
+            batch.write.mode("overwrite").parquet(f"{target}/batch={n}")
+            if broken:
+                raise RuntimeError("stopped")
+
+        records.resume(spark, log, schema, progress, write, limit)
+
+    def written():
+        return sorted((r.i, r.s) for r in spark.read.schema(schema).parquet(target).collect())
+
+    arrive("a-0", range(100))
+    run(37)
+    assert written() == [(i, f"r{i}") for i in range(37)]
+    run(20)  # before the progress: nothing comes back
+    assert len(written()) == 37
+    arrive("a-1", range(100, 150))
+    with pytest.raises(Exception):
+        run(broken=True)
+    arrive("a-2", [])
+    arrive("a-3", range(150, 160))
+    (tmp_path / "log" / "a-4").mkdir()
+    (tmp_path / "log" / "a-4" / "part-0.parquet").write_bytes(next((tmp_path / "log" / "a-3").glob("part-*.parquet")).read_bytes())  # no _SUCCESS
+    run()
+    run()
+    assert written() == [(i, f"r{i}") for i in range(160)]
+    offsets = sorted((tmp_path / "progress" / "offsets").glob("[0-9]*"), key=lambda p: int(p.name))
+    assert json.loads(offsets[0].read_text().splitlines()[-1])["row"] < 100
+
+
+def test_reindex_writes_touched_groups_behind_the_new_rows(spark, tmp_path):
+    """Equal to an index from scratch after each arrival, null times, groups and repeated rows among them; runs hold no more than they must."""
+    from tessera.operators.windows import chronological_index
+    from tessera.streaming.reindex import GroupedIndex
+
+    schema = spark.createDataFrame([], "g string, i long, t long, extra string").schema
+    job = GroupedIndex(spark, str(tmp_path / "index"), schema, "g", "t", ["i"])
+    rows = []
+
+    def arrive(n, new, again=False):
+        rows.extend([] if again else new)
+        job.add(spark.createDataFrame(new, schema), n)
+        got = sorted(map(tuple, job.index().collect()), key=str)
+        want = chronological_index(spark.createDataFrame(rows, schema), "g", "t", ["i"]).collect()
+        assert got == sorted(map(tuple, want), key=str)
+        return spark.read.schema(job.runs).parquet(str(tmp_path / "index" / "runs")).where(f"_batch = {n}").count()
+
+    groups = ["a", "b", None]
+    assert arrive(0, [(g, i, i * 10, "x") for g in groups for i in range(120)]) == 360
+    assert arrive(1, [("a", 200, 5000, "y")]) == 1  # at the end: nothing moves
+    assert arrive(2, [("b", 201, 1175, None)]) == 3  # two records stand behind it
+    assert arrive(2, [("b", 201, 1175, None)], again=True) == 3
+    assert arrive(3, [(None, 202, None, "z"), (None, 203, 5, "z"), ("new", 1, 1, "z")]) == 122
+    assert arrive(4, []) == 0
+    assert arrive(5, [("a", 200, 5000, "y"), ("a", 200, 5000, "y")]) == 2  # repeated rows keep the first's place
+    assert arrive(6, [(None, 204, 5, "z"), ("a", -1, None, "z"), ("b", 0, -1, "w")]) == 244  # 121 + 1 + 122
