@@ -1,5 +1,6 @@
 """Literal expected rows of operators that SQL does not cover, and of corner cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,3 +418,67 @@ def test_reindex_writes_touched_groups_behind_the_new_rows(spark, tmp_path):
     assert arrive(4, []) == 0
     assert arrive(5, [("a", 200, 5000, "y"), ("a", 200, 5000, "y")]) == 2  # repeated rows keep the first's place
     assert arrive(6, [(None, 204, 5, "z"), ("a", -1, None, "z"), ("b", 0, -1, "w")]) == 244  # 121 + 1 + 122
+
+
+def test_segments_over_parts_equal_plain_loops(spark):
+    """Parts of a few rows give what one pass over each offset gives: gaps in the positions, runs over many parts, runs at part ends."""
+    rng = np.random.default_rng(4)
+    series = []
+    for offset in range(4):
+        at = np.flatnonzero(rng.random(400) < (0.98 if offset else 0.8))
+        level = np.repeat(rng.choice([0.2, 0.7, 0.9], 40, p=[0.3, 0.3, 0.4]), 10)
+        series += [(offset, int(p), float(np.round(level[p] + rng.normal(0, 0.1), 4))) for p in at]
+    series += [(9, p, 0.9) for p in range(150)]
+
+    def plain(n, least, gap, edge):
+        found = []
+        for offset in sorted({s[0] for s in series}):
+            rows = sorted(s[1:] for s in series if s[0] == offset)
+            strong = [rows[i][0] for i in range(len(rows) - n + 1) if sum(r[1] for r in rows[i : i + n]) / n >= least]
+            runs = []
+            for p in strong:
+                if runs and p - runs[-1][1] <= gap + 1:
+                    runs[-1][1] = p
+                else:
+                    runs.append([p, p])
+            for first, last in runs:
+                held = [r for r in rows if first <= r[0] <= last + n - 1]
+                good = [r[0] for r in held if r[1] >= edge]
+                if good:
+                    values = [r[1] for r in held if good[0] <= r[0] <= good[-1]]
+                    found.append((offset, good[0], good[-1], 100 * sum(values) / len(values)))
+        return found
+
+    df = spark.createDataFrame(series, "offset long, pos long, similarity double").repartition(3)
+    for stretch, block in ((7, 5), (50, 64), (10_000, 256)):
+        got = sorted(map(tuple, sequences.repeated_segments(df, "pos", "similarity", 4, 0.65, 3, 0.8, stretch, block).collect()))
+        want = plain(4, 0.65, 3, 0.8)
+        assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) > 20
+        assert all(abs(g[3] - w[3]) < 0.0051 for g, w in zip(got, want))
+
+
+def test_overlaps_in_rounds_equal_one_by_one(spark):
+    """The greedy choice in rounds, with ties, repeated records, records without length, null keys, long chains and a limit."""
+    rng = np.random.default_rng(8)
+    records = [(k, int(rng.integers(20, 26)), f, f + int(rng.integers(0, 40) ** 2 // 40), float(rng.integers(1, 4))) for k in (1, 2, None) for f in map(int, rng.integers(0, 90, 70))]
+    records += records[:5] + [(3, 5, i, i + 1000 - i, 1.0) for i in range(0, 400, 2)]
+
+    def plain(rows, most):
+        kept = []
+        for r in sorted(rows, key=lambda r: (r[2] - r[3], -r[4], r[1], r[2])):
+            hit = False
+            for q in kept:
+                short = max(1e-9, min(r[3] - r[2], q[3] - q[2]))
+                near = abs(r[2] - q[2]) <= 1.5 and abs(r[2] + r[1] - q[2] - q[1]) <= 1.5
+                both = all(min(r[3] + a, q[3] + b) - max(r[2] + a, q[2] + b) >= 0.8 * short for a, b in ((0, 0), (r[1], q[1])))
+                hit = hit or near or both
+            if not hit and (most is None or len(kept) < most):
+                kept.append(r)
+        return kept
+
+    df = spark.createDataFrame(records, "file long, offset long, first long, last long, confidence double").repartition(3)
+    for most in (None, 6):
+        got = sorted(map(tuple, sequences.without_overlaps(df, "file", most).collect()), key=str)
+        want = [r for k in (1, 2, 3, None) for r in plain([x for x in records if x[0] == k], most)]
+        assert got == sorted(want, key=str)
+    assert sequences.without_overlaps(df.limit(0), "file").count() == 0
