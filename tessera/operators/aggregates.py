@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.numbering import numbered_within
+
 
 def money(c: Column) -> Column:
     """Exact sums of amounts with cents."""
@@ -17,8 +19,13 @@ def money(c: Column) -> Column:
 
 
 def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
-    """(key, n, members) of keys that occur more than once."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(member)).alias("members")).where("n > 1")
+    """(key, n, representative) of keys that occur more than once, with their smallest member."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.min(member).alias("representative")).where("n > 1")
+
+
+def duplicate_members(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(keys, place, member): the members of keys that occur more than once, numbered in order; a row each, whatever the key's size."""
+    return numbered_within(df.select(*keys, member), keys, [member]).where("n > 1").select(*keys, "place", member)
 
 
 def repeated_directories(df: DataFrame, url: str) -> DataFrame:
@@ -57,8 +64,8 @@ def metric_statistics(df: DataFrame, keys: list[str], metric: str, order: str, c
 
 
 def change_history(df: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """(key, history, changes): the ordered values, kept together with their commit."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("history"), F.count("*").alias("changes"))
+    """(key, place, order, values, changes): the ordered values of a key, a row each, kept together with their commit, and their number."""
+    return numbered_within(df.select(key, order, *values), [key], [order, *values], total="changes")
 
 
 def linear_trend(df: DataFrame, key: str, order: list[str], metric: str) -> DataFrame:
@@ -150,7 +157,8 @@ def empty_directories(directories: DataFrame, files: DataFrame, key: str, size:
 
 
 def sorted_values(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("items"))
+    """(key, place, value, n): the distinct values of a key in order, a row each, and their number; nulls are no values."""
+    return numbered_within(df.where(F.col(value).isNotNull()).select(key, value).distinct(), [key], [value])
 
 
 def command_batches(df: DataFrame, key: str, value: str, prefix: str, size: int = 50) -> DataFrame:

@@ -25,3 +25,21 @@ def numbered(df: DataFrame, order: list[Column | str], number: str = "number") -
     earlier = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     counts = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(counts), "_part").withColumn(number, F.col("_before") + F.col("_inside") + 1).drop("_part", "_inside", "_before")
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], number: str = "place", total: str = "n") -> DataFrame:
+    """``df`` with each row's number 1, 2, … in the given order among the rows of its keys (null is a key) and with their number.
+
+    Rows are sorted by ranges of keys and order, so that a key of any size is spread; what is joined to a range's rows is one row
+    for each key that it holds.
+    """
+    placed = placed_by_ranges(df, [*keys, *order], [*keys, *order])
+    inside = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_of")).agg(F.min("_inside").alias("_lowest"), F.count("*").alias("_rows"))
+    key = W.partitionBy(*[f"_k{i}" for i in range(len(keys))])  # a row for each range that holds the key
+    earlier = F.sum("_rows").over(key.orderBy("_of").rowsBetween(W.unboundedPreceding, -1))
+    starts = inside.select(*inside.columns, F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_rows").over(key).alias("_total"))
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = placed.join(starts, same).withColumns({number: F.col("_before") + F.col("_inside") - F.col("_lowest") + 1, total: F.col("_total")})
+    return out.select(*df.columns, number, total)

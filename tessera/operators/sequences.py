@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.text import l2_normalized
+from tessera.operators.aggregates import duplicate_members
 from tessera.operators.blocks import nearest
 from tessera.operators.numbering import numbered
 from tessera.operators.windows import islands, rolling_mean
@@ -157,6 +158,15 @@ def best_lag(series: DataFrame, a: str, b: str, pos: str, lags: int) -> DataFram
     return sums.agg(F.max_by(F.struct("lag", "c"), F.struct(F.round(F.abs("c"), 6), -F.col("lag"))).alias("b")).select(F.col("b.lag").alias("lag"), F.round("b.c", 4).alias("correlation"))
 
 
+def _by_content(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(id_col, F.octet_length(text_col).alias("size"), F.md5(text_col).alias("digest"))
+
+
 def equal_content(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(size, digest, n, first, ids) of contents that several rows have."""
-    return df.groupBy(F.octet_length(text_col).alias("size"), F.md5(text_col).alias("digest")).agg(F.count("*").alias("n"), F.min(id_col).alias("first"), F.sort_array(F.collect_list(id_col)).alias("ids")).where("n > 1")
+    """(size, digest, n, first) of contents that several rows have."""
+    return _by_content(df, id_col, text_col).groupBy("size", "digest").agg(F.count("*").alias("n"), F.min(id_col).alias("first")).where("n > 1")
+
+
+def equal_members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(size, digest, place, id): the rows of contents that several rows have, numbered by id."""
+    return duplicate_members(_by_content(df, id_col, text_col), ["size", "digest"], id_col)

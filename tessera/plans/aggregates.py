@@ -22,9 +22,14 @@ def a1_bill_summary(orders: DataFrame) -> DataFrame:
     )
 
 
-@query("select p_name, count(*) as n, array_to_string(list_sort(list(p_partkey)), ',') as members from part group by 1 having count(*) > 1", "part")
+@query("select p_name, count(*) as n, min(p_partkey) as representative from part group by 1 having count(*) > 1", "part")
 def a2_duplicate_groups(part: DataFrame) -> DataFrame:
-    return op.duplicate_groups(part, "p_name", "p_partkey").withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    return op.duplicate_groups(part, "p_name", "p_partkey")
+
+
+@query("select p_name, row_number() over (partition by p_name order by p_partkey) as place, p_partkey from part qualify count(*) over (partition by p_name) > 1", "part")
+def a2_duplicate_members(part: DataFrame) -> DataFrame:
+    return op.duplicate_members(part, ["p_name"], "p_partkey")
 
 
 @query("select array_to_string(list_slice(string_split(url, '/'), 3, len(string_split(url, '/')) - 1), '/') as directory, count(*) as n from pages group by 1 having count(*) > 1", "pages")
@@ -63,10 +68,9 @@ def a7_metric_statistics(lineitem: DataFrame) -> DataFrame:
     return out
 
 
-@query("select user_id, string_agg(event_id || ':' || event_type, ',' order by event_id) as history, count(*) as changes from events group by 1", "events")
+@query("select user_id, row_number() over (partition by user_id order by event_id) as place, event_id, event_type, count(*) over (partition by user_id) as changes from events", "events")
 def a8_change_history(events: DataFrame) -> DataFrame:
-    out = op.change_history(events, "user_id", "event_id", ["event_type"])
-    return out.withColumn("history", F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["event_id"], h["event_type"])), ","))
+    return op.change_history(events, "user_id", "event_id", ["event_type"])
 
 
 @query("select user_id, n, round(slope, 4) + 0.0 as slope, round(intercept, 4) as intercept from (select user_id, count(*) as n, regr_slope(value, x) as slope, regr_intercept(value, x) as intercept from (select user_id, value, row_number() over (partition by user_id order by event_id) - 1 as x from events) group by 1) where n >= 2", "events")
@@ -119,9 +123,9 @@ def a17_empty_directories(customer: DataFrame, orders: DataFrame) -> DataFrame:
     return op.empty_directories(customer, files, "c_custkey", "size")
 
 
-@query("select c_nationkey, array_to_string(list_sort(list(distinct c_mktsegment)), ',') as items from customer group by 1", "customer")
+@query("select c_nationkey, row_number() over (partition by c_nationkey order by c_mktsegment) as place, c_mktsegment, count(*) over (partition by c_nationkey) as n from (select distinct c_nationkey, c_mktsegment from customer where c_mktsegment is not null)", "customer")
 def a18_distinct_sorted_per_group(customer: DataFrame) -> DataFrame:
-    return op.sorted_values(customer, "c_nationkey", "c_mktsegment").withColumn("items", F.array_join("items", ","))
+    return op.sorted_values(customer, "c_nationkey", "c_mktsegment")
 
 
 @query("select o_orderpriority, cast((rn - 1) // 50 as bigint) as batch, '!addlicense a/' || string_agg(o_orderkey, ', a/' order by o_orderkey) as command from (select o_orderpriority, o_orderkey, row_number() over (partition by o_orderpriority order by o_orderkey) as rn from orders) group by 1, 2", "orders")

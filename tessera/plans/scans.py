@@ -93,9 +93,11 @@ def k1_write_csv(customer: DataFrame) -> DataFrame:
 def k2_write_json_report(orders: DataFrame) -> DataFrame:
     path = scratch(orders.sparkSession, "report")
     counted = orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
-    writers.write_json_report(writers.report_structs(counted, ["o_orderpriority"], ["n", "first"], ["o_orderstatus"]), path)
-    read = orders.sparkSession.read.schema("o_orderpriority string, items array<struct<o_orderstatus: string, n: bigint, first: bigint>>").json(path)
-    return read.select("o_orderpriority", F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"), F.array_min(F.transform("items", lambda x: x["first"])).alias("first_order"))
+    writers.write_json_report(counted, path, ["o_orderpriority"], ["n", "first"], ["o_orderstatus"])
+    items = orders.sparkSession.read.schema("o_orderpriority string, place bigint, item struct<o_orderstatus: string, n: bigint, first: bigint>").json(f"{path}/items")
+    summary = orders.sparkSession.read.schema("o_orderpriority string, summary struct<n: bigint>").json(f"{path}/summary")
+    read = items.groupBy("o_orderpriority").agg(F.sum("item.n").alias("n"), F.min("item.first").alias("first_order"), F.count("*").alias("_items"))
+    return read.join(summary.where("summary.n is not null"), "o_orderpriority").where("_items = summary.n").select("o_orderpriority", "n", "first_order")
 
 
 @query("with f as (select event_type, min(event_id) as first from events group by 1) select e.event_id, row_number_ || '-' || e.event_type as part from events e join (select event_type, row_number() over (order by first, event_type) as row_number_ from f) using (event_type)", "events")

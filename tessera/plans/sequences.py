@@ -95,6 +95,11 @@ def v7_best_lag_correlation(events: DataFrame) -> DataFrame:
     return op.best_lag(counted, "a", "b", "hour", 6)
 
 
-@query("select strlen(text) as size, md5(text) as digest, count(*) as n, min(doc_id) as first, string_agg(doc_id, ',' order by doc_id) as ids from documents group by 1, 2 having count(*) > 1", "documents")
+@query("select strlen(text) as size, md5(text) as digest, count(*) as n, min(doc_id) as first from documents group by 1, 2 having count(*) > 1", "documents")
 def v8_content_equality(documents: DataFrame) -> DataFrame:
-    return op.equal_content(documents, "doc_id", "text").withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
+    return op.equal_content(documents, "doc_id", "text")
+
+
+@query("select strlen(text) as size, md5(text) as digest, row_number() over (partition by strlen(text), md5(text) order by doc_id) as place, doc_id from documents qualify count(*) over (partition by strlen(text), md5(text)) > 1", "documents")
+def v8_equal_members(documents: DataFrame) -> DataFrame:
+    return op.equal_members(documents, "doc_id", "text")

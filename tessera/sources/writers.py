@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.numbering import numbered
+from tessera.operators.numbering import numbered, numbered_within
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", columns: list[str] | None = None) -> None:
@@ -13,14 +13,14 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", columns: list[str] | Non
     (df.select(*columns) if columns else df).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-def report_structs(df: DataFrame, group: list[str], items: list[str], order: list[str]) -> DataFrame:
-    """One nested row per group: its keys, a summary (number of items) and the items in a fixed order."""
-    item = F.struct(*order, *[c for c in items if c not in order])
-    return df.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("items")).withColumn("summary", F.struct(F.size("items").alias("n")))
-
-
-def write_json_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json_report(df: DataFrame, path: str, group: list[str], items: list[str], order: list[str]) -> None:
+    """Two folders of JSON lines: ``summary`` with a group's keys and its number of items, and ``items`` with the keys, the item's place in
+    the group and the item. A group of any size is spread over files, which stand in the order of groups and places."""
+    placed = numbered_within(df.select(*dict.fromkeys([*group, *order, *items])), group, order, "place", "n_items")
+    item = F.struct(*order, *[c for c in items if c not in order]).alias("item")
+    placed.select(*group, "place", item).repartitionByRange(*group, "place").sortWithinPartitions(*group, "place").write.mode("overwrite").json(f"{path}/items")
+    summary = placed.where("place = 1").select(*group, F.struct(F.col("n_items").alias("n")).alias("summary"))
+    summary.repartitionByRange(*group).sortWithinPartitions(*group).write.mode("overwrite").json(f"{path}/summary")
 
 
 def safe_name(name: Column) -> Column:

@@ -482,3 +482,27 @@ def test_overlaps_in_rounds_equal_one_by_one(spark):
         want = [r for k in (1, 2, 3, None) for r in plain([x for x in records if x[0] == k], most)]
         assert got == sorted(want, key=str)
     assert sequences.without_overlaps(df.limit(0), "file").count() == 0
+
+
+def test_places_within_keys_over_many_ranges(spark):
+    """A key over many ranges, null keys and values, repeated rows and empty tables; the report's two folders hold every item."""
+    from tessera.operators.numbering import numbered_within
+
+    rows = [("hot", int(i) % 700, "x") for i in np.random.default_rng(2).permutation(900)] + [("a", None, "n"), ("a", 5, None), (None, 2, "n"), (None, 1, "n"), ("z", 1, "q")]
+    df = spark.createDataFrame(rows, "k string, v long, extra string").repartition(5)
+    got = numbered_within(df, ["k"], ["v"]).collect()
+    for key in ("hot", "a", None, "z"):
+        mine = sorted((r.place, r.v) for r in got if r.k == key) if key != "a" else [(r.place, r.v) for r in sorted((r for r in got if r.k == "a"), key=lambda r: r.place)]
+        values = sorted((v for k, v, _ in rows if k == key), key=lambda v: (v is not None, v))
+        assert mine == list(enumerate(values, 1)) and all(r.n == len(values) for r in got if r.k == key)
+    assert len({r.k for r in got}) == 4 and numbered_within(df.limit(0), ["k"], ["v"]).count() == 0
+    members = aggregates.duplicate_members(df, ["k"], "v").collect()
+    assert len(members) == len(rows) - 1 and {(r.k, r.n, r.representative) for r in aggregates.duplicate_groups(df, "k", "v").collect()} == {("hot", 900, 0), ("a", 2, 5), (None, 2, 1)}
+
+
+def test_report_of_two_folders(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, "y"), ("a", 1, "x"), ("b", 1, None), (None, 7, "z")], "g string, i long, t string")
+    writers.write_json_report(df, str(tmp_path), ["g"], ["t"], ["i"])
+    items = spark.read.schema("g string, place long, item struct<i: long, t: string>").json(str(tmp_path / "items")).collect()
+    assert sorted(((r.g or "", r.place, r["item"].i, r["item"].t) for r in items), key=str) == [("", 1, 7, "z"), ("a", 1, 1, "x"), ("b", 1, 1, None), ("b", 2, 2, "y")]
+    assert {(r.g, r.summary.n) for r in spark.read.schema("g string, summary struct<n: long>").json(str(tmp_path / "summary")).collect()} == {(None, 1), ("a", 1), ("b", 2)}
