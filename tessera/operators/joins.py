@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessera.operators.numbering import numbered, placed_by_ranges
+from tessera.operators.numbering import numbered, numbered_within, placed_by_ranges
+from tessera.sources.scratch import scratch
 
 #: Characters of a stem that the key of a prefix join holds at most.
 BEGINNING = 4
@@ -104,26 +106,48 @@ def fuzzy_pairs(rows: DataFrame, block: str, source: str, title: str, least: flo
 
 
 def assemble_groups(pairs: DataFrame, block: str) -> DataFrame:
-    """(block, group, source, title): pairs merged from the most similar down into groups that hold each source once."""
-    kind = dict(pairs.dtypes)[block]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ratio", "source_a", "source_b", "title_a", "title_b"], ascending=[False, True, True, True, True])
-        group: dict[tuple, dict] = {}
-        for a, b in zip(zip(rows.source_a, rows.title_a, strict=True), zip(rows.source_b, rows.title_b, strict=True), strict=True):
-            x, y = group.setdefault(a, {a[0]: a}), group.setdefault(b, {b[0]: b})
-            if x is not y and not x.keys() & y.keys():
-                x.update(y)
-                for member in y.values():
-                    group[member] = x
-        out, seen = [], {}
-        for member, g in group.items():
-            if len(g) > 1:
-                n = seen.setdefault(id(g), len(seen))
-                out.append((rows[block].iloc[0], n, *member))
-        return pd.DataFrame(out, columns=[block, "group", "source", "title"])
-
-    return pairs.groupBy(block).applyInPandas(run, f"{block} {kind}, group long, source string, title string")
+    """(block, group, source, title): pairs merged from the most similar down, ties by sources and titles, into groups that hold each
+    source once; groups are numbered from 0 in a block, by their smallest member.
+
+    In rounds: pairs whose groups share a source leave; a pair that comes first at both of its groups merges them. What comes before it
+    elsewhere can't touch its groups, so that the groups are those of taking the pairs one by one. Each round writes its pairs and the
+    groups that they touch; a group's members, one a source at most, stand in one row until the end.
+    """
+    spark = pairs.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    end = lambda side: pairs.select(F.col(block).alias("_block"), F.col(f"source_{side}").alias("source"), F.col(f"title_{side}").alias("title"))
+    members = written(numbered(end("a").union(end("b")).distinct(), ["_block", "source", "title"], "_id"), "members")
+    edges = numbered(pairs, [F.desc("ratio"), "source_a", "source_b", "title_a", "title_b"], "_rank")
+    for side, name in (("a", "x"), ("b", "y")):
+        one = members.select("_block", F.col("source").alias(f"source_{side}"), F.col("title").alias(f"title_{side}"), F.col("_id").alias(name))
+        same = [edges[c].eqNullSafe(one[d]) for c, d in ((block, "_block"), (f"source_{side}", f"source_{side}"), (f"title_{side}", f"title_{side}"))]
+        edges = edges.join(one.select("_block", f"source_{side}", f"title_{side}", name), same[0] & same[1] & same[2]).select(edges["*"], name)
+    edges = written(edges.select("_rank", "x", "y"), "edges")
+    groups = members.select(F.col("_id").alias("g"), F.array(F.struct(F.col("_id").alias("id"), "source")).alias("held"))
+    done = []
+    while True:
+        sources = lambda name: groups.select(F.col("g").alias(name), F.col("held.source").alias(f"_{name}"))
+        live = edges.join(sources("x"), "x").join(sources("y"), "y").where((F.col("x") != F.col("y")) & ~F.arrays_overlap("_x", "_y"))
+        live = written(live.groupBy("x", "y").agg(F.min("_rank").alias("_rank")), "edges")
+        touched = live.select(F.explode(F.array("x", "y")).alias("g"), "_rank").groupBy("g").agg(F.min("_rank").alias("_best"))
+        done.append(written(groups.join(touched, "g", "left_anti").where(F.size("held") > 1), "groups"))
+        if live.isEmpty():
+            break
+        best = lambda name: touched.select(F.col("g").alias(name), F.col("_best").alias("_rank"))
+        moves = written(live.join(best("x"), ["x", "_rank"]).join(best("y"), ["y", "_rank"]).select("x", "y"), "moves")
+        to = lambda name: moves.select(F.col("y").alias(name), F.col("x").alias(f"_{name}"))
+        merged = groups.join(touched.select("g"), "g", "left_semi").join(to("g"), "g", "left").groupBy(F.coalesce("_g", "g").alias("g"))
+        groups = written(merged.agg(F.flatten(F.collect_list("held")).alias("held")), "groups")
+        x, y = F.coalesce("_x", "x"), F.coalesce("_y", "y")
+        edges = live.join(to("x"), "x", "left").join(to("y"), "y", "left").select("_rank", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    found = reduce(DataFrame.unionByName, done).select(F.array_min("held.id").alias("_first"), F.explode("held.id").alias("_id")).join(members, "_id")
+    heads = numbered_within(found.where("_first = _id").select("_block", "_first"), ["_block"], ["_first"], "group").select("_first", (F.col("group") - 1).alias("group"))
+    return found.join(heads, "_first").select(F.col("_block").alias(block), "group", "source", "title")
 
 
 def tiered_match(rows: DataFrame, candidates: DataFrame, id_col: str, tiers: list[tuple[Column, Column]], hit: str) -> DataFrame:

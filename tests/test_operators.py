@@ -506,3 +506,32 @@ def test_report_of_two_folders(spark, tmp_path):
     items = spark.read.schema("g string, place long, item struct<i: long, t: string>").json(str(tmp_path / "items")).collect()
     assert sorted(((r.g or "", r.place, r["item"].i, r["item"].t) for r in items), key=str) == [("", 1, 7, "z"), ("a", 1, 1, "x"), ("b", 1, 1, None), ("b", 2, 2, "y")]
     assert {(r.g, r.summary.n) for r in spark.read.schema("g string, summary struct<n: long>").json(str(tmp_path / "summary")).collect()} == {(None, 1), ("a", 1), ("b", 2)}
+
+
+def test_groups_in_rounds_equal_one_by_one(spark):
+    """Ties, repeated pairs, many sources, chains, null blocks and no pairs at all."""
+    rng = np.random.default_rng(6)
+    rows = set()
+    for b in (1, 2, None):
+        for _ in range(90):
+            i, j = sorted(rng.choice(6, 2, replace=False))
+            rows.add((b, f"s{i}", f"t{rng.integers(5)}", f"s{j}", f"t{rng.integers(5)}", float(rng.choice([0.9, 0.95, 1.0]))))
+    rows = list(rows) + list(rows)[:4] + [(3, f"c{i:02}", "t", f"c{i + 1:02}", "t", 0.9 + i / 1000) for i in range(9)]
+
+    def plain(pairs):
+        group = {}
+        for _, sa, ta, sb, tb, _ in sorted(pairs, key=lambda p: (-p[5], p[1], p[3], p[2], p[4])):
+            a, b = group.setdefault((sa, ta), {(sa, ta)}), group.setdefault((sb, tb), {(sb, tb)})
+            if a is not b and not {s for s, _ in a} & {s for s, _ in b}:
+                a |= b
+                group.update(dict.fromkeys(b, a))
+        return {frozenset(g) for g in group.values() if len(g) > 1}
+
+    df = spark.createDataFrame(rows, "block long, source_a string, title_a string, source_b string, title_b string, ratio double").repartition(3)
+    got = {}
+    for r in joins.assemble_groups(df, "block").collect():
+        got.setdefault(r.block, {}).setdefault(r.group, set()).add((r.source, r.title))
+    for b in (1, 2, 3, None):
+        assert {frozenset(g) for g in got[b].values()} == plain([r for r in rows if r[0] == b])
+        assert sorted(got[b]) == list(range(len(got[b])))
+    assert joins.assemble_groups(df.limit(0), "block").count() == 0
