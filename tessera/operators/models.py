@@ -7,7 +7,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, Multila
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +19,13 @@ from tessera.operators.blocks import nearest
 NEIGHBOURS, METRICS = (1, 3, 5, 7), ("euclidean", "manhattan", "minkowski")
 DISTANCES = {"euclidean": "euclidean", "manhattan": "manhattan", "minkowski": "euclidean"}
 
+#: Grid points that are fitted at the same time.
+PARALLEL = 4
+
 
 def title_vectors(df: DataFrame, text_col: str, dims: int = 100, window: int = 5, seed: int = 1) -> DataFrame:
-    """``df`` with ``vector``: the mean word vector of each tokenised lower-case text."""
-    words = df.withColumn("_words", F.filter(F.split(F.lower(text_col), r"\W+"), lambda w: w != ""))
+    """``df`` with ``vector``: the mean word vector of each tokenised lower-case text; null as empty, which has zeros."""
+    words = df.withColumn("_words", F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\W+"), lambda w: w != ""))
     model = Word2Vec(vectorSize=dims, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="_words", outputCol="_v").fit(words)
     return model.transform(words).withColumn("vector", vector_to_array("_v")).drop("_words", "_v")
 
@@ -40,32 +43,42 @@ def grids(features: int, classes: int) -> dict:
     svm = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), OneVsRest(classifier=svc, featuresCol="scaled")])
     return {
         "decision_tree": (tree, ParamGridBuilder().addGrid(tree.impurity, ["gini", "entropy"]).addGrid(tree.maxDepth, [3, 6]).build()),
-        "random_forest": (forest, ParamGridBuilder().addGrid(forest.maxDepth, [5, 8]).addGrid(forest.numTrees, [10, 20]).build()),
+        "random_forest": (forest, ParamGridBuilder().addGrid(forest.maxDepth, [5, 10, 30]).addGrid(forest.numTrees, [10, 20]).build()),
         "mlp": (mlp, ParamGridBuilder().addGrid(mlp.layers, [[features, 16, classes], [features, 32, classes]]).addGrid(mlp.solver, ["l-bfgs", "gd"]).build()),
         "svm": (svm, ParamGridBuilder().addGrid(svc.regParam, [0.01, 0.1]).build()),
     }
 
 
 def searched(train: DataFrame, name: str, features: int, classes: int):
-    """(best model, its parameters as text) of a grid search."""
+    """(best model, its parameters as text, (parameters, accuracy) by grid point): each grid point's mean accuracy over the ``fold``s that
+    ``train`` has, two at least; the first of equally good ones wins."""
     estimator, grid = grids(features, classes)[name]
-    search = TrainValidationSplit(estimator=estimator, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), trainRatio=0.75, seed=1).fit(train)
-    best = max(range(len(grid)), key=lambda i: search.validationMetrics[i])
-    return search.bestModel, ", ".join(sorted(f"{p.name}={v}" for p, v in grid[best].items()))
+    folds = sorted(r.fold for r in train.select("fold").distinct().collect())  # bayes.FOLDS at most
+    if len(folds) < 2:
+        raise ValueError("a search needs rows in two folds")
+    numbers = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col("fold")).cast("int") - 1
+    search = CrossValidator(
+        estimator=estimator, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
+        numFolds=len(folds), foldCol="_fold", parallelism=PARALLEL,
+    ).fit(train.withColumn("_fold", numbers))
+    texts = [", ".join(sorted(f"{p.name}={v}" for p, v in point.items())) for point in grid]
+    best = max(range(len(grid)), key=lambda i: search.avgMetrics[i])
+    return search.bestModel, texts[best], list(zip(texts, search.avgMetrics, strict=True))
 
 
 def compared(rows: DataFrame, names: list[str], test: str, features: int, classes: int) -> DataFrame:
     """(model, parameters, label, prediction, n): each best model's confusion counts on the test rows. ``rows`` have
-    features, label, the test flag, and may have a ``fold`` for naive Bayes; else a hash of the features gives it."""
+    features, label, the test flag, and may have a ``fold``; else a hash of the features gives it."""
+    if "fold" not in rows.columns:
+        rows = rows.withColumn("fold", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(bayes.FOLDS)).cast("int"))
     train, held = rows.where(~F.col(test)).cache(), rows.where(F.col(test))
     out = None
     for name in names:
         if name == "naive_bayes":
             asked = rows.withColumn("features", vector_to_array("features"))
-            asked = asked if "fold" in rows.columns else asked.withColumn("fold", F.pmod(F.xxhash64("features"), F.lit(bayes.FOLDS)).cast("int"))
             parameters, counts = bayes.best_confusion(asked, "label", "features", "fold", test)
         else:
-            model, parameters = searched(train, name, features, classes)
+            model, parameters, _ = searched(train, name, features, classes)
             counts = model.transform(held).groupBy("label", "prediction").agg(F.count("*").alias("n"))
         one = counts.select(F.lit(name).alias("model"), F.lit(parameters).alias("parameters"), "label", "prediction", "n")
         out = one if out is None else out.unionByName(one)

@@ -535,3 +535,36 @@ def test_groups_in_rounds_equal_one_by_one(spark):
         assert {frozenset(g) for g in got[b].values()} == plain([r for r in rows if r[0] == b])
         assert sorted(got[b]) == list(range(len(got[b])))
     assert joins.assemble_groups(df.limit(0), "block").count() == 0
+
+
+@pytest.mark.parametrize("name", ["decision_tree", "svm"])
+def test_searches_by_folds_equal_plain_loops(spark, name):
+    """Each grid point's accuracy is the mean over the folds of models fitted on the others; folds need not be numbered densely."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        label = int(rng.integers(3))
+        rows.append((i, [float(label + rng.normal(0, 0.8)), float(rng.normal(0, 1)), float(label == 1) + float(rng.normal(0, 0.6))], label, int(rng.choice([0, 2, 7]))))
+    df = models.feature_rows(spark.createDataFrame(rows, "i int, f array<double>, y int, fold int").coalesce(1), "f", "y").cache()
+    _, best, points = models.searched(df, name, 3, 3)
+    estimator, grid = models.grids(3, 3)[name]
+    want = []
+    for point in grid:
+        hits = []
+        for fold in (0, 2, 7):
+            model = estimator.fit(df.where(F.col("fold") != fold), point)
+            hits.append(model.transform(df.where(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+        want.append(sum(hits) / 3)
+    assert [round(p[1], 9) for p in points] == [round(w, 9) for w in want] and len({p[0] for p in points}) == len(grid)
+    assert best == points[int(np.argmax([p[1] for p in points]))][0] and max(want) > 0.5
+    with pytest.raises(ValueError):
+        models.searched(df.where("fold = 2"), name, 3, 3)
+    df.unpersist()
+
+
+def test_title_vectors_are_means_of_words(spark):
+    texts = ["fox", "Dog!", "fox dog", "DOG fox fox", "", None]
+    got = {r.t: r.vector for r in models.title_vectors(spark.createDataFrame([(t,) for t in texts], "t string"), "t", dims=6).collect()}
+    fox, dog = np.array(got["fox"]), np.array(got["Dog!"])
+    assert np.allclose(got["fox dog"], (fox + dog) / 2, atol=1e-6) and np.allclose(got["DOG fox fox"], (2 * fox + dog) / 3, atol=1e-6)
+    assert not np.any(got[""]) and np.any(fox)
