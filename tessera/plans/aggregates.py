@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as op
-from tessera.operators import filters
+from tessera.operators import filters, sketches
 from tessera.operators import windows as win
 from tessera.plans.registry import query
 
@@ -100,6 +100,24 @@ def a13_pairwise_similarity_ci(embeddings: DataFrame) -> DataFrame:
     return op.similarity_interval(embeddings, "embedding", 64).select("n_pairs", F.round("mean", 4).alias("mean"), (F.round("low", 3) + F.lit(0.0)).alias("low"), F.round("high", 3).alias("high"))
 
 
+#: All pairs of texts in plain SQL: what the query does without pairs.
+_TEXT_PAIRS = f"""
+with k as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{sketches.TERM}')) as term from documents),
+t as (select doc_id, term, count(*) as tf from k group by all), d as (select term, count(*) as df from t group by 1), s as (select count(*) as n from documents),
+w as (select doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from t join d using (term), s),
+u as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as u from w),
+p as (select a.doc_id, b.doc_id as other, sum(a.u * b.u) as c from u a join u b on a.term = b.term and a.doc_id < b.doc_id group by all),
+m as (select n * (n - 1) // 2 as n_pairs, (select sum(c) from p) / n_pairs as mean, (select sum(c * c) from p) as q from s),
+h as (select n_pairs, mean, 1.96 * sqrt((q - n_pairs * mean * mean) / (n_pairs - 1)) / sqrt(n_pairs) as half from m)
+select cast(n_pairs as bigint) as n_pairs, round(mean, 4) as mean, round(mean - half, 3) as low, round(mean + half, 3) as high from h"""
+
+
+@query(_TEXT_PAIRS, "documents")
+def a13_text_similarity_ci(documents: DataFrame) -> DataFrame:
+    found = sketches.text_similarity(documents, "text")
+    return found.select("n_pairs", F.round("mean", 4).alias("mean"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+
+
 @query("select quality, count(*) filter (where doc_id % 4 <> 0) as train, count(*) filter (where doc_id % 4 = 0) as test, count(*) filter (where doc_id % 4 <> 0) = count(*) filter (where doc_id % 4 = 0) as equal from labels group by 1", "labels")
 def a14_class_balance(labels: DataFrame) -> DataFrame:
     return op.class_balance(labels.withColumn("split", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train")), "quality", "split")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tables as tx
 from tessera.functions import text as fx
-from tessera.operators import aggregates, filters, joins, models, sequences, windows
+from tessera.operators import aggregates, filters, joins, models, sequences, sketches, windows
 from tessera.sources import readers, writers
 from tessera.streaming import incremental
 
@@ -97,6 +97,47 @@ def test_pair_free_interval_equals_all_pairs(spark):
     assert aggregates.similarity_interval(spark.createDataFrame([([1.0, 0.0],)], "v array<double>"), "v", 2).first().high == 0.0
 
 
+def plain_cosines(texts):
+    """Cosines of all pairs of TF-IDF vectors, by dictionaries."""
+    import itertools
+    import re
+    from collections import Counter
+
+    counts = [Counter(re.findall(r"\w\w+", (t or "").lower())) for t in texts]
+    held = Counter(w for c in counts for w in c)
+    vectors = [{w: n * (np.log((1 + len(texts)) / (1 + held[w])) + 1) for w, n in c.items()} for c in counts]
+    length = [sum(x * x for x in v.values()) ** 0.5 for v in vectors]
+    return np.array([sum(x * b.get(w, 0) for w, x in a.items()) / (i * j or 1) for (a, i), (b, j) in itertools.combinations(zip(vectors, length, strict=True), 2)])
+
+
+def test_text_similarity_equals_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join("w%d" % i for i in rng.zipf(1.4, rng.integers(1, 80)) if i < 10**6) for _ in range(150)]
+    texts += [None, "", "!", "Ça va, ÇA_VA 42", texts[0], texts[0].upper(), "x y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    want, r = plain_cosines(texts), sketches.text_similarity(df, "t").first()
+    assert r.n_pairs == len(want) and abs(r["mean"] - want.mean()) < 1e-9
+    assert abs(r.deviation / want.std(ddof=1) - 1) < 0.03
+    assert abs((r.high - r.low) / 2 - 1.96 * r.deviation / len(want) ** 0.5) < 1e-5
+
+
+def test_text_similarity_of_few_and_equal_texts(spark):
+    of = lambda *texts: sketches.text_similarity(spark.createDataFrame([(t,) for t in texts], "t string"), "t").first()
+    assert tuple(of()) == tuple(of("one text")) == (0, 0, 0, 0, 0)
+    assert tuple(of(None, "", "?")) == (3, 0, 0, 0, 0)
+    same = of(*["the same text"] * 20)
+    assert same.n_pairs == 190 and abs(same["mean"] - 1) < 1e-9 and same.deviation < 1e-6
+
+
+def test_tensor_sketches_keep_powers_of_products():
+    """Without bias: the mean over sketches of several seeds nears the exact power."""
+    x = np.random.default_rng(3).normal(size=(6, 9))
+    for degree in (1, 2, 3):
+        got = np.mean([(s := sketches.tensor_sketch(x, degree, 512, 10 * seed)) @ s.T for seed in range(30)], axis=0)
+        scale = np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))) ** degree
+        assert np.abs(got - (x @ x.T) ** degree).max() < 0.05 * scale.max()
+
+
 def test_intervals_are_clamped(spark):
     rows = [("a", i, v) for i, v in enumerate([1, 5, 3, 9, 8, 8, 2, 4, 7])]
     got = windows.paired_intervals(spark.createDataFrame(rows, "k string, i int, v int"), "k", "i", "v").collect()
