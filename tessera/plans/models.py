@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import bayes
+from tessera.operators import bayes, kernels
 from tessera.operators import models as op
 from tessera.operators.ordering import top_similar
 from tessera.plans.registry import query
@@ -53,6 +53,12 @@ def m5_grid_search_svm(embeddings: DataFrame) -> DataFrame:
     return _one("svm")(embeddings)
 
 
+@query(None, "embeddings")
+def m5_grid_search_kernel_svm(embeddings: DataFrame) -> DataFrame:
+    rows = embeddings.select("label", "embedding", (F.floor(F.col("vec_id") / 4) % 5).cast("int").alias("fold"), (F.col("vec_id") % 4 == 0).alias("test"))
+    return kernels.grid_search(rows, "label", "embedding", "fold", "test")
+
+
 #: Grid points and folds of Gaussian naive Bayes by moments: what the query does in two passes, in plain SQL.
 _BAYES = """
 with r as (select vec_id, label, cast(vec_id // 4 % 5 as int) as fold, vec_id % 4 = 0 as test, embedding from embeddings),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tables as tx
 from tessera.functions import text as fx
-from tessera.operators import aggregates, filters, joins, models, sequences, sketches, windows
+from tessera.operators import aggregates, filters, joins, kernels, models, sequences, sketches, windows
 from tessera.sources import readers, writers
 from tessera.streaming import incremental
 
@@ -609,3 +609,53 @@ def test_title_vectors_are_means_of_words(spark):
     fox, dog = np.array(got["fox"]), np.array(got["Dog!"])
     assert np.allclose(got["fox dog"], (fox + dog) / 2, atol=1e-6) and np.allclose(got["DOG fox fox"], (2 * fox + dog) / 3, atol=1e-6)
     assert not np.any(got[""]) and np.any(fox)
+
+
+def test_kernel_features_near_the_kernels():
+    x = np.random.default_rng(2).normal(size=(40, 8))
+    products, gaps = x @ x.T, ((x[:, None] - x[None]) ** 2).sum(2)
+    exact = {"linear": products, "rbf": np.exp(-0.1 * gaps), "poly": (0.1 * products) ** 3}
+    for kernel, want in exact.items():
+        z = kernels.features(x, kernel, 0.1, 4096)
+        assert np.abs(z @ z.T - want).max() < 0.15 * np.abs(want).max(), kernel
+    z = kernels.features(x, "rbf", 0.1)
+    assert np.sqrt(((z @ z.T - exact["rbf"]) ** 2).mean()) < 0.09
+
+
+def plain_machine(x, y, asked, kernel, gamma, c, size):
+    """Labels by the dual form: one linear system over the training rows a class, its kernel from the features."""
+    mean, deviation = x.mean(0), x.std(0)
+    deviation[deviation == 0] = 1
+    z, q = (kernels.features((a - mean) / deviation, kernel, gamma or 1.0, size) for a in (x, asked))
+    system = np.block([[np.zeros((1, 1)), np.ones((1, len(x)))], [np.ones((len(x), 1)), z @ z.T + np.eye(len(x)) / c]])
+    labels = np.unique(y)
+    scores = []
+    for one in labels:
+        solution = np.linalg.solve(system, np.concatenate([[0], np.where(y == one, 1.0, -1.0)]))
+        scores.append(q @ z.T @ solution[1:] + solution[0])
+    return labels[np.argmax(scores, 0)]
+
+
+def test_kernel_machines_by_folds_equal_the_dual_form(spark):
+    rng = np.random.default_rng(8)
+    x = np.hstack([rng.normal(size=(160, 3)), np.ones((160, 1))])
+    y = (x[:, 0] ** 2 + x[:, 1] ** 2 > 1.5).astype(int) * 4 + (x[:, 2] > 1)  # a ring: no line parts it
+    fold = rng.choice([0, 3, 4], 160)
+    test = rng.random(160) < 0.25
+    rows = [(v.tolist(), int(a), int(f), bool(t)) for v, a, f, t in zip(x, y, fold, test, strict=True)]
+    odd = [(None, 1, 0, False), ([1.0, None, 0.0, 1.0], 1, 0, False), ([1.0], 1, 3, False), ([1.0, 1.0, 1.0, 1.0], None, 3, False)]
+    df = spark.createDataFrame(rows + odd, "v array<double>, y int, fold int, test boolean").repartition(3)
+    got = kernels.grid_search(df, "y", "v", "fold", "test", gammas=(0.1, 1.0), cs=(0.1, 10.0), size=64).cache()
+    found = {(r.kernel, r.gamma, r.c, r.fold): (r.n, r.hits) for r in got.collect()}
+    assert len(found) == (2 + 4 + 4) * 4
+    for (kernel, gamma, c, h), (n, hits) in found.items():
+        taught, asked = (~test & (fold != h), ~test & (fold == h)) if h >= 0 else (~test, test)
+        want = plain_machine(x[taught], y[taught], x[asked], kernel, gamma, c, 64) == y[asked]
+        assert (n, hits) == (len(want), want.sum()), (kernel, gamma, c, h)
+    best = kernels.best_point(got).first()
+    means = {k: np.mean([found[(*k, f)][1] / found[(*k, f)][0] for f in (0, 3, 4)]) for k in {k[:3] for k in found}}
+    assert abs(best.accuracy - max(means.values())) < 1e-9 and best.kernel != "linear"
+    n, hits = found[best.kernel, best.gamma, best.c, -1]
+    assert abs(best.test_accuracy - hits / n) < 1e-9
+    assert kernels.grid_search(df.limit(0), "y", "v", "fold", "test").count() == 0
+    assert kernels.grid_search(df.where("fold = 3 and not test"), "y", "v", "fold", "test").count() == 0
