@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import bayes, kernels
+from tessera.operators import bayes, kernels, trees
 from tessera.operators import models as op
 from tessera.operators.ordering import top_similar
 from tessera.plans.registry import query
@@ -38,6 +38,12 @@ def m2_grid_search_decision_tree(embeddings: DataFrame) -> DataFrame:
     return _one("decision_tree")(embeddings)
 
 
+@query(None, "embeddings")
+def m2_grid_search_random_splits(embeddings: DataFrame) -> DataFrame:
+    rows = embeddings.select("label", "embedding", (F.floor(F.col("vec_id") / 4) % 5).cast("int").alias("fold"), (F.col("vec_id") % 4 == 0).alias("test"))
+    return trees.grid_search(rows, "label", "embedding", "fold", "test")
+
+
 @query(None, "embeddings")
 def m3_grid_search_random_forest(embeddings: DataFrame) -> DataFrame:
     return _one("random_forest")(embeddings)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tables as tx
 from tessera.functions import text as fx
-from tessera.operators import aggregates, filters, joins, kernels, models, sequences, sketches, windows
+from tessera.operators import aggregates, filters, joins, kernels, models, sequences, sketches, trees, windows
 from tessera.sources import readers, writers
 from tessera.streaming import incremental
 
@@ -659,3 +659,40 @@ def test_kernel_machines_by_folds_equal_the_dual_form(spark):
     assert abs(best.test_accuracy - hits / n) < 1e-9
     assert kernels.grid_search(df.limit(0), "y", "v", "fold", "test").count() == 0
     assert kernels.grid_search(df.where("fold = 3 and not test"), "y", "v", "fold", "test").count() == 0
+
+
+def plain_tree(x, y, asked, criterion, depth, seed, node=1):
+    """Labels of the asked rows by a tree that is grown row by row."""
+    def cost(part):
+        share = np.array([np.mean(part == c) for c in np.unique(part)])
+        return len(part) * (1 - (share**2).sum() if criterion == "gini" else -(share * np.log2(share)).sum()) if len(part) else 0.0
+
+    values, counts = np.unique(y, return_counts=True)
+    if depth == 0 or len(values) == 1 or (x.min(0) == x.max(0)).all():
+        return np.full(len(asked), values[np.argmax(counts)])
+    cut = trees.thresholds(node, x.min(0), x.max(0), seed)
+    costs = [round(cost(y[x[:, j] <= cut[j]]) + cost(y[x[:, j] > cut[j]]), 9) if x[:, j].min() < x[:, j].max() else np.inf for j in range(x.shape[1])]
+    j = int(np.argmin(costs))
+    out = np.zeros(len(asked), int)
+    for side, (a, b) in enumerate([(x[:, j] <= cut[j], asked[:, j] <= cut[j]), (x[:, j] > cut[j], asked[:, j] > cut[j])]):
+        out[b] = plain_tree(x[a], y[a], asked[b], criterion, depth - 1, seed, 2 * node + side)
+    return out
+
+
+def test_random_splits_equal_a_plain_tree(spark):
+    rng = np.random.default_rng(21)
+    x = np.hstack([rng.normal(size=(150, 2)).round(1), np.ones((150, 1)), rng.integers(0, 3, (150, 1))])
+    y = (x[:, 0] > 0).astype(int) * 7 + (x[:, 3] == 1) + (rng.random(150) < 0.1)
+    fold, test = rng.choice([0, 2, 5], 150), rng.random(150) < 0.2
+    rows = [(v.tolist(), int(a), int(f), bool(t)) for v, a, f, t in zip(x, y, fold, test, strict=True)]
+    odd = [(None, 1, 0, False), ([1.0, None, 0.0, 1.0], 1, 0, False), ([1.0], 1, 2, False), ([1.0] * 4, None, 2, False), ([1.0] * 4, 1, None, False)]
+    df = spark.createDataFrame(rows + odd, "v array<double>, y int, fold int, test boolean").repartition(3)
+    found = {(r.criterion, r.depth, r.fold): (r.n, r.hits) for r in trees.grid_search(df, "y", "v", "fold", "test", depths=(1, 3, 6)).collect()}
+    assert len(found) == 2 * 3 * 4
+    for (criterion, depth, h), (n, hits) in found.items():
+        taught, asked = (~test & (fold != h), ~test & (fold == h)) if h >= 0 else (~test, test)
+        want = plain_tree(x[taught], y[taught], x[asked], criterion, depth, 1) == y[asked]
+        assert (n, hits) == (len(want), want.sum()), (criterion, depth, h)
+    assert max(hits / n for n, hits in found.values()) > 0.6
+    assert trees.grid_search(df.limit(0), "y", "v", "fold", "test").count() == 0
+    assert trees.grid_search(df.where("fold = 2 and not test"), "y", "v", "fold", "test").count() == 0
