@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 #: Queries and rows that meet in one task at a time.
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 
+#: Rows that cells are made around, where an index is asked for.
+PIVOTS = 32
+
 
 def _scores(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     """Query by row, larger is nearer, rounded half up to six places."""
@@ -24,12 +27,59 @@ def _scores(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return np.sign(s) * np.floor(np.abs(s) * 1e6 + 0.5) / 1e6
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, n: int, metric: str = "dot", carry: str | None = None) -> DataFrame:
+def _distances(x: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    """Row by pivot, unrounded."""
+    if metric == "manhattan":
+        return np.stack([np.abs(x - p).sum(1) for p in pivots], 1)
+    return np.sqrt(np.stack([((x - p) ** 2).sum(1) for p in pivots], 1))
+
+
+def _celled(q: DataFrame, r: DataFrame, n: int, metric: str, number: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_cell``: a query's is that of its nearest pivot, a row is in each cell where it may be near enough.
+
+    A cell's queries lie within u of its pivot. So their n nearest rows of another id lie within the bound that the n + 1 rows give whose way
+    over their own pivot and this one is shortest; by the triangle inequality a row farther from the pivot than u and that bound is not
+    among them. What reaches the driver is a number a cell and n + 1 numbers a pivot. Vectors of another length than the pivots' meet in cell -1.
+    """
+    drawn = r.orderBy(F.xxhash64("_r", "_v"), "_r").limit(number).select("_v").collect()
+    if not drawn:
+        return q.withColumn("_cell", F.lit(-1)), r.withColumn("_cell", F.lit(-1))
+    size = len(drawn[0][0])
+    pivots = np.array([d[0] for d in drawn if len(d[0]) == size])
+
+    @F.pandas_udf("array<double>")
+    def away(v: pd.Series) -> pd.Series:
+        return pd.Series(list(_distances(np.stack(v.to_numpy()), pivots, metric)) if len(v) else [], dtype=object)
+
+    fits = F.col("_size") == size
+    placed = lambda df: df.where(fits).withColumn("_d", away("_v")).withColumn("_own", F.array_position("_d", F.array_min("_d")).cast("int") - 1)
+    asked, held = placed(q), placed(r)
+    radius = {x["_own"]: x.u for x in asked.groupBy("_own").agg(F.max(F.array_min("_d")).alias("u")).collect()}
+    order = W.partitionBy("_own").orderBy("_near")  # Spark keeps n + 1 rows of each part before it sorts a cell
+    near = held.select("_own", F.array_min("_d").alias("_near")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n + 1).collect()
+    between = _distances(pivots, pivots, metric)
+    reach = {}
+    for cell, u in radius.items():
+        ways = sorted(u + between[x["_own"], cell] + x["_near"] for x in near)
+        # rows as far as the last one to six places are ties
+        bound = ways[n] if len(ways) > n else np.inf
+        reach[cell] = u + (bound + 2e-6 if metric == "manhattan" else (bound * bound + 2e-6) ** 0.5) * (1 + 1e-9)
+    limits = F.array(*[F.lit(float(reach.get(i, -1.0))) for i in range(len(pivots))])
+    inside = F.filter(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda i: F.get("_d", i) <= F.get(limits, i))
+    rest = lambda df: df.where(~fits).withColumn("_cell", F.lit(-1))
+    return (
+        asked.withColumn("_cell", F.col("_own")).drop("_d", "_own").unionByName(rest(q)),
+        held.withColumn("_cell", F.explode(inside)).drop("_d", "_own").unionByName(rest(r)),
+    )
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, n: int, metric: str = "dot", carry: str | None = None, pivots: int = 0) -> DataFrame:
     """(query, other, score, rank, carry where given): each query's ``n`` nearest rows of another id, the nearest first,
     equally near ones by id. ``metric``: dot, euclidean (squared) or manhattan; distances are negated.
 
     Every block of queries meets every block of rows in one cogroup and leaves ``n`` rows a query, so that neither
     side is broadcast or gathered. Vectors that are null, hold a null or have another length meet nothing.
+    With ``pivots`` (distances only) queries meet only the rows of their cell of a metric index; the result is the same.
     """
     def prepared(df: DataFrame, columns: list) -> DataFrame:
         whole = F.col(vector).isNotNull() & F.forall(F.col(vector), lambda x: x.isNotNull())
@@ -39,6 +89,10 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, n: in
     q = prepared(queries, [F.col(id_col).alias("_q")])
     r = prepared(rows, [F.col(id_col).alias("_r"), (F.col(carry) if carry else F.lit(None).cast("int")).alias("_c")])
     q_blocks, r_blocks = -(-max(1, q.count()) // QUERY_BLOCK), -(-max(1, r.count()) // ROW_BLOCK)
+    if pivots and metric != "dot":
+        q, r = _celled(q, r, n, metric, pivots)
+    else:
+        q, r = q.withColumn("_cell", F.lit(-1)), r.withColumn("_cell", F.lit(-1))
     place = lambda key, n: F.pmod(F.xxhash64(key, "_v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.withColumn("_qb", place("_q", q_blocks)).withColumn("_rb", every(r_blocks))
@@ -60,7 +114,7 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, n: in
 
     schema = f"query {kind}, other {kind}, score double, _c {dict(r.dtypes)['_c']}"
     empty = pd.DataFrame(columns=["query", "other", "score", "_c"])
-    keys = ["_qb", "_rb", "_size"]
+    keys = ["_cell", "_qb", "_rb", "_size"]
     found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(best, schema)
     found = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "other"))).where(F.col("rank") <= n)
     return found.withColumnRenamed("_c", carry) if carry else found.drop("_c")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import bayes
-from tessera.operators.blocks import nearest
+from tessera.operators.blocks import PIVOTS, nearest
 
 
 #: Numbers of neighbours, metrics and the distance that orders each of them.
@@ -108,7 +108,7 @@ def neighbour_grid(train: DataFrame, queries: DataFrame, id_col: str, vector: st
     """
     found = None
     for distance in dict.fromkeys(DISTANCES[m] for m in metrics):
-        best = nearest(queries, train, id_col, vector, max(ks), distance, carry=label).select("query", "rank", label)
+        best = nearest(queries, train, id_col, vector, max(ks), distance, carry=label, pivots=PIVOTS).select("query", "rank", label)
         best = best.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics if DISTANCES[m] == distance])))
         found = best if found is None else found.unionByName(best)
     votes = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))

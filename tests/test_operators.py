@@ -250,6 +250,26 @@ def test_blocks_give_the_nearest_of_all_rows(spark, monkeypatch):
     assert blocks.nearest(rows.limit(0), rows, "i", "v", 5).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_metric_index_loses_no_neighbour(spark, metric):
+    """Over clusters, ties, repeated ids and vectors and other lengths; cells hold a small part of all distances."""
+    from tessera.operators import blocks
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 40, (8, 3))
+    rows = [(i, (centres[i % 8] + rng.integers(-2, 3, 3)).round(1).tolist()) for i in range(400)]
+    rows += [(7, rows[7][1]), (401, rows[7][1]), (402, [1.0, 2.0]), (403, [1.0, 2.5]), (404, None), (405, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "i int, v array<double>").repartition(3)
+    asked = df.where("i % 5 = 0 or i > 400")
+    both = [sorted(map(tuple, blocks.nearest(asked, df, "i", "v", 4, metric, pivots=p).collect())) for p in (0, 16)]
+    assert both[0] == both[1] and len(both[0]) > 300
+    side = lambda d, name: d.where("v is not null and forall(v, x -> x is not null)").select(F.col("i").alias(name), F.col("v").alias("_v"), F.size("v").alias("_size"))
+    q, r = blocks._celled(side(asked, "_q"), side(df, "_r"), 4, metric, 16)
+    meet = q.groupBy("_cell").agg(F.count("*").alias("n")).join(r.groupBy("_cell").agg(F.count("*").alias("m")), "_cell").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    assert meet < 0.5 * side(asked, "_q").count() * side(df, "_r").count()
+    assert blocks.nearest(asked, df.limit(0), "i", "v", 4, metric, pivots=16).count() == 0 == blocks.nearest(asked.limit(0), df, "i", "v", 4, metric, pivots=16).count()
+
+
 def test_intervals_over_many_ranges(spark):
     import bisect
 
