@@ -12,15 +12,30 @@ from pyspark.sql import Window as W
 
 from tessera.operators.numbering import numbered_within
 
+#: Numbers whose holders are put in order together.
+STRETCH = 65_536
+
 
 def money(c: Column) -> Column:
     """Exact sums of amounts with cents."""
     return c.cast("decimal(18,2)")
 
 
+def with_members(df: DataFrame, keys: list[str], member: str, first: str, members: str) -> DataFrame:
+    """(keys, n, first, members) of keys that occur more than once: their smallest member and all of them in order, comma-joined.
+
+    Members are whole numbers. Each stretch of STRETCH numbers is sorted and joined by itself, so that a key's list of any length is
+    put together from texts; what stands in one row is the list itself.
+    """
+    part = df.groupBy(*keys, F.floor(F.col(member) / STRETCH).alias("_part")).agg(F.count("*").alias("_n"), F.min(member).alias("_first"), F.sort_array(F.collect_list(member)).alias("_l"))
+    texts = part.withColumn("_l", F.array_join(F.transform("_l", lambda x: x.cast("string")), ","))
+    whole = texts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_first").alias(first), F.sort_array(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("_part", "_l")))).alias("_l")).where("n > 1")
+    return whole.select(*keys, "n", first, F.array_join(F.col("_l._l"), ",").alias(members))
+
+
 def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
-    """(key, n, representative) of keys that occur more than once, with their smallest member."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.min(member).alias("representative")).where("n > 1")
+    """(key, n, representative, members) of keys that occur more than once."""
+    return with_members(df, [key], member, "representative", "members")
 
 
 def duplicate_members(df: DataFrame, keys: list[str], member: str) -> DataFrame:

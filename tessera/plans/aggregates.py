@@ -22,7 +22,7 @@ def a1_bill_summary(orders: DataFrame) -> DataFrame:
     )
 
 
-@query("select p_name, count(*) as n, min(p_partkey) as representative from part group by 1 having count(*) > 1", "part")
+@query("select p_name, count(*) as n, min(p_partkey) as representative, array_to_string(list_sort(list(p_partkey)), ',') as members from part group by 1 having count(*) > 1", "part")
 def a2_duplicate_groups(part: DataFrame) -> DataFrame:
     return op.duplicate_groups(part, "p_name", "p_partkey")
 

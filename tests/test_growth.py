@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import sequences
+from tessera.operators import aggregates, sequences
 
 
 def test_a_norm_is_computed_once_a_vector(spark):
@@ -14,3 +14,13 @@ def test_a_norm_is_computed_once_a_vector(spark):
     sums = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
     assert sums(l2_normalized(F.col("v"))) == 1 and sums(sequences.combined([F.col("v"), F.col("v")])) == 3
     assert [r.c for r in df.select(l2_normalized(F.col("v")).alias("c")).collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+
+
+def test_groups_name_all_their_members(spark, monkeypatch):
+    """Over many stretches, with negative and repeated members, null keys and keys of one row."""
+    monkeypatch.setattr(aggregates, "STRETCH", 7)
+    rows = [("a", int(i)) for i in np.random.default_rng(1).integers(-60, 60, 90)] + [(None, 5), (None, -3), ("one", 1)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(4)
+    got = {r.k: (r.n, r.representative, r.members) for r in aggregates.duplicate_groups(df, "k", "v").collect()}
+    values = sorted(v for k, v in rows if k == "a")
+    assert got == {"a": (90, values[0], ",".join(map(str, values))), None: (2, -3, "-3,5")}
