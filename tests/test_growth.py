@@ -24,3 +24,10 @@ def test_groups_name_all_their_members(spark, monkeypatch):
     got = {r.k: (r.n, r.representative, r.members) for r in aggregates.duplicate_groups(df, "k", "v").collect()}
     values = sorted(v for k, v in rows if k == "a")
     assert got == {"a": (90, values[0], ",".join(map(str, values))), None: (2, -3, "-3,5")}
+
+
+def test_equal_contents_name_all_their_rows(spark):
+    rows = [(5, "x"), (70_000, "x"), (-2, "x"), (1, ""), (2, ""), (3, "y"), (8, "é")]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(3)
+    got = sorted((r.size, r.n, r["first"], r.ids) for r in sequences.equal_content(df, "i", "t").collect())
+    assert got == [(0, 2, 1, "1,2"), (1, 3, -2, "-2,5,70000")]
