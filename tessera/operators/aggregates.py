@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 
 from tessera.operators.numbering import numbered_within
 
+#: Rows dealt to a task where their number follows the table.
+TASK_ROWS = 250_000
+
 #: Numbers whose holders are put in order together.
 STRETCH = 65_536
 
@@ -205,9 +208,11 @@ def subset_aggregates(df: DataFrame, columns: list[str], value: str) -> DataFram
 
 
 def agreeing_sources(df: DataFrame, key: str, value: str, source: str) -> DataFrame:
-    """(key, value, sources, report): the value that most sources share, at least two; ties go to the first source."""
-    groups = df.groupBy(key, value).agg(F.count_distinct(source).alias("sources"), F.min(source).alias("_s"))
-    best = groups.groupBy(key).agg(F.min(F.struct((-F.col("sources")).alias("n"), "_s", value, "sources")).alias("b"), F.count("*").alias("_k"))
+    """(key, value, sources, report): the value that most sources share, at least two; ties go to the first source.
+    The number of tasks follows the rows, each of which is dealt before anything is gathered: what a task holds stays the same."""
+    tasks = -(-max(1, df.count()) // TASK_ROWS)
+    groups = df.select(key, value, source).repartition(tasks, key, value).groupBy(key, value).agg(F.count_distinct(source).alias("sources"), F.min(source).alias("_s"))
+    best = groups.repartition(tasks, key).groupBy(key).agg(F.min(F.struct((-F.col("sources")).alias("n"), "_s", value, "sources")).alias("b"), F.count("*").alias("_k"))
     some = F.col("b.sources") >= 2
     return best.select(key, F.when(some, F.col(f"b.{value}")).alias(value), F.col("b.sources").alias("sources"), F.when(F.col("_k") == 1, "same").otherwise("different").alias("report"))
 

@@ -31,3 +31,12 @@ def test_equal_contents_name_all_their_rows(spark):
     df = spark.createDataFrame(rows, "i long, t string").repartition(3)
     got = sorted((r.size, r.n, r["first"], r.ids) for r in sequences.equal_content(df, "i", "t").collect())
     assert got == [(0, 2, 1, "1,2"), (1, 3, -2, "-2,5,70000")]
+
+
+def test_tasks_of_agreeing_sources_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "TASK_ROWS", 50)
+    rows = [(i % 7, i % 3, i % 11) for i in range(600)] + [(7, 1, 1), (8, None, 2), (8, None, 3), (None, 4, None)]
+    found = aggregates.agreeing_sources(spark.createDataFrame(rows, "k long, v long, s long"), "k", "v", "s")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(", 13") == 2  # tasks of both shuffles
+    got = {r.k: (r.v, r.sources, r.report) for r in found.collect()}
+    assert got == {k: (0, 11, "different") for k in range(7)} | {7: (None, 1, "same"), 8: (None, 2, "same"), None: (None, 0, "same")}
