@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import aggregates, sequences
+from tessera.operators import aggregates, blocks, sequences
 
 
 def test_a_norm_is_computed_once_a_vector(spark):
@@ -40,3 +40,24 @@ def test_tasks_of_agreeing_sources_follow_the_rows(spark, monkeypatch):
     assert found._jdf.queryExecution().optimizedPlan().toString().count(", 13") == 2  # tasks of both shuffles
     got = {r.k: (r.v, r.sources, r.report) for r in found.collect()}
     assert got == {k: (0, 11, "different") for k in range(7)} | {7: (None, 1, "same"), 8: (None, 2, "same"), None: (None, 0, "same")}
+
+
+@pytest.mark.parametrize("metric", ["dot", "euclidean", "manhattan"])
+def test_rows_are_sent_once_a_block_of_queries(spark, monkeypatch, metric):
+    """Tiles give what all pairs give, with ties and repeated ids; an index that leaves nothing out multiplies no rows."""
+    monkeypatch.setattr(blocks, "QUERY_TILE", 5), monkeypatch.setattr(blocks, "ROW_TILE", 7)
+    rng = np.random.default_rng(3)
+    x, y, a, b = rng.integers(-1, 2, (23, 3)).astype(float), rng.integers(-1, 2, (40, 3)).astype(float), np.arange(23), rng.integers(0, 35, 40)
+    got = {}
+    for owner, at, score in blocks._nearest(x, y, a, b, 4, metric):
+        for o, i, s in zip(owner, at, score):
+            got.setdefault(int(o), []).append((-float(s), int(b[i])))
+    s = blocks._scores(x, y, metric)
+    assert got == {i: sorted((-float(s[i, j]), int(b[j])) for j in range(40) if b[j] != i)[:4] for i in range(23)}
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 16).tolist()) for i in range(300)], "i int, v array<double>")
+    sent = []
+    place = blocks._pairs
+    monkeypatch.setattr(blocks, "_pairs", lambda q, r: (sent.append((q.count(), r.count())), place(q, r))[1])
+    found = blocks.nearest(df.where("i % 10 = 0"), df, "i", "v", 3, metric, pivots=8)
+    read = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 90 and (metric == "dot" or sent[0][1] > 600) and "filter(" not in read  # the cells' rows are not exploded
