@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import aggregates, blocks, sequences
+from tessera.operators import aggregates, blocks, models, sequences
 
 
 def test_a_norm_is_computed_once_a_vector(spark):
@@ -61,3 +61,14 @@ def test_rows_are_sent_once_a_block_of_queries(spark, monkeypatch, metric):
     found = blocks.nearest(df.where("i % 10 = 0"), df, "i", "v", 3, metric, pivots=8)
     read = found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 90 and (metric == "dot" or sent[0][1] > 600) and "filter(" not in read  # the cells' rows are not exploded
+
+
+def test_word_vectors_are_learnt_in_parts(spark, monkeypatch):
+    """The number of tasks follows the words; all words get vectors."""
+    monkeypatch.setattr(models, "PART_WORDS", 100)
+    asked = []
+    plain = models.Word2Vec
+    monkeypatch.setattr(models, "Word2Vec", lambda **k: (asked.append(k["numPartitions"]), plain(**k))[1])
+    df = spark.createDataFrame([(f"w{i % 9} x{i % 5} common",) for i in range(120)] + [(None,)], "t string")
+    got = models.title_vectors(df, "t", dims=4)
+    assert asked == [4] and got.where("exists(vector, x -> x <> 0)").count() == 120
