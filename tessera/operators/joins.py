@@ -281,6 +281,6 @@ def position_pairs(a: DataFrame, b: DataFrame, pos: str, value: str, compare: Ca
 
 
 def lag_pairs(rows: DataFrame, pos: str, value: str, lags: list[int]) -> DataFrame:
-    """(lag, pos, a, b) of the values at pos and pos + lag."""
+    """(lag, pos, a, b) of the values at pos and pos + lag. The rows of all lags are never broadcast: Spark counts them as one row each."""
     shifted = rows.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).select("lag", (F.col(pos) - F.col("lag")).alias(pos), F.col(value).alias("b"))
-    return rows.select(pos, F.col(value).alias("a")).join(shifted, pos).select("lag", pos, "a", "b")
+    return rows.select(pos, F.col(value).alias("a")).join(shifted.hint("merge"), pos).select("lag", pos, "a", "b")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import aggregates, blocks, models, sequences
+from tessera.operators import aggregates, blocks, joins, models, sequences
 
 
 def test_a_norm_is_computed_once_a_vector(spark):
@@ -72,3 +72,27 @@ def test_word_vectors_are_learnt_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(f"w{i % 9} x{i % 5} common",) for i in range(120)] + [(None,)], "t string")
     got = models.title_vectors(df, "t", dims=4)
     assert asked == [4] and got.where("exists(vector, x -> x <> 0)").count() == 120
+
+
+def test_vectors_meet_those_some_lags_on_without_a_broadcast(spark, monkeypatch):
+    """Lags of any sign over many blocks, slices and gaps, with repeated positions, null ones, null and uneven vectors, equal sums made in pairs; what is exploded is never broadcast."""
+    monkeypatch.setattr(blocks, "LAGS", 3)
+    rng = np.random.default_rng(5)
+    rows = [(int(p), rng.normal(0, 1, 4).tolist()) for p in rng.integers(-40, 90, 110)] + [(3, None), (None, [1.0] * 4), (7, [1.0, None, 2.0, 0.5]), (8, [1.0, 2.0]), (500, [0.5] * 4), (513, [2.0] * 4)]
+    df = spark.createDataFrame(rows, "p long, v array<double>").repartition(3)
+    lags = [1, 2, 5, 13, 40, -4, 0, 13]
+    want = []
+    for p, a in rows:
+        for q, b in rows:
+            for lag in set(lags):
+                if p is not None and q is not None and q - p == lag:
+                    total = None
+                    if a is not None and b is not None and len(a) == len(b) and None not in a + b:
+                        total = 0.0
+                        for x, y in zip(a, b):
+                            total += x * y
+                    want.append((lag, p, total))
+    for block in (None, 7, 64):
+        assert sorted(map(tuple, blocks.lag_products(df.select(F.col("p").alias("p"), F.transform("v", lambda x: x).alias("v")), "p", "v", lags, block).collect()), key=str) == sorted(want, key=str)
+    assert blocks.lag_products(df, "p", "v", []).count() == blocks.lag_products(df.limit(0), "p", "v", lags).count() == 0
+    assert "BroadcastHashJoin" not in joins.lag_pairs(df, "p", "v", list(range(1, 100)))._jdf.queryExecution().executedPlan().toString()
