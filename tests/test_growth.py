@@ -96,3 +96,10 @@ def test_vectors_meet_those_some_lags_on_without_a_broadcast(spark, monkeypatch)
         assert sorted(map(tuple, blocks.lag_products(df.select(F.col("p").alias("p"), F.transform("v", lambda x: x).alias("v")), "p", "v", lags, block).collect()), key=str) == sorted(want, key=str)
     assert blocks.lag_products(df, "p", "v", []).count() == blocks.lag_products(df.limit(0), "p", "v", lags).count() == 0
     assert "BroadcastHashJoin" not in joins.lag_pairs(df, "p", "v", list(range(1, 100)))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_records_are_not_broadcast(spark):
+    """Spark counts a record of many cells once."""
+    records = spark.createDataFrame([(1, 5, i, i + 40, 1.0) for i in range(50)], "file long, offset long, first long, last long, confidence double")
+    pairs = sequences._rivals(records.withColumn("_rank", F.col("first")), "file", 1.5, 0.8)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.count() > 0
