@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import aggregates, blocks, joins, models, sequences
+from tessera.operators import aggregates, blocks, forests, joins, models, sequences
 
 
 def test_a_norm_is_computed_once_a_vector(spark):
@@ -103,3 +103,63 @@ def test_cells_of_records_are_not_broadcast(spark):
     records = spark.createDataFrame([(1, 5, i, i + 40, 1.0) for i in range(50)], "file long, offset long, first long, last long, confidence double")
     pairs = sequences._rivals(records.withColumn("_rank", F.col("first")), "file", 1.5, 0.8)
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.count() > 0
+
+
+def test_forests_equal_trees_grown_node_by_node(spark, monkeypatch):
+    """Every grid point and fold against a plain recursion over the same bins, bootstrap numbers and drawn features, whatever the part grown from histograms; null and short rows are left out."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 12, (160, 5)).astype(float)
+    y = (x[:, 0] > 5).astype(int) + (x[:, 1] > 7) + (rng.random(160) < 0.2)
+    rows = [(i, float(v), r.tolist(), i % 4 == 0, i // 4 % 3) for i, (v, r) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows + [(900, 1.0, None, False, 1), (901, 1.0, [1.0], False, 1), (902, None, [1.0] * 5, False, 1), (903, 1.0, [1.0, None, 1.0, 1.0, 1.0], True, 1)], "i int, y double, v array<double>, test boolean, f int").coalesce(1)
+    depths, numbers, seen, got = (0, 2, 9), (2, 3), [], []
+    for local in (10**6, 20, 1):
+        monkeypatch.setattr(forests, "LOCAL", local)
+        got.append({tuple(r) for r in forests.judged(df, "y", "v", "f", "test", depths, numbers).collect()})
+    assert got[0] == got[1] == got[2]
+    limits = [np.unique([sorted(x[[not r[3] for r in rows], j])[int(np.ceil(k / 32 * 120)) - 1] for k in range(1, 32)]) for j in range(5)]
+    bins = np.stack([np.searchsorted(q, x[:, j]) for j, q in enumerate(limits)], 1)
+    ids = [r.i for r in df.where("y is not null and v is not null and forall(v, e -> e is not null)").where("size(v) = 5").withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect()]
+    assert ids == list(range(160))
+    draws = spark.range(160).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("g")).withColumn("d", F.pmod(F.xxhash64("id", "g", F.lit(1)), F.lit(2**40)) / F.lit(float(2**40))).collect()
+    cdf = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(9)])
+    times = {(r.id, r.g): int((r.d >= cdf).sum()) for r in draws}
+
+    def share(tree, node, depth, limit, mine, row):
+        """The shares that ``row`` finds below a node of bootstrap rows (with repetitions)."""
+        counts = np.bincount(y[mine], minlength=4)
+        if depth == limit or (counts > 0).sum() < 2:
+            return counts / counts.sum()
+        best = (1e-6, None, None)
+        for j in forests.drawn_features(np.array([tree]), np.array([node]), 5)[0]:
+            for cut in range(32):
+                a, b = [i for i in mine if bins[i, j] <= cut], [i for i in mine if bins[i, j] > cut]
+                if a and b:
+                    square = lambda part: (np.bincount(y[part], minlength=4) ** 2).sum() / len(part)
+                    gain = round(square(a) + square(b) - square(mine), 9)
+                    if gain > best[0]:
+                        best = gain, j, cut
+        _, j, cut = best
+        if j is None:
+            return counts / counts.sum()
+        side = bins[row, j] > cut
+        return share(tree, 2 * node + side, depth + 1, limit, [i for i in mine if (bins[i, j] > cut) == side], row)
+
+    want = {}
+    for k, fold in enumerate((-1, 0, 1, 2)):
+        asked = [r[0] for r in rows if (r[3] if fold < 0 else not r[3] and r[4] == fold)]
+        taught = [r[0] for r in rows if not r[3] and (fold < 0 or r[4] != fold)]
+        for depth in depths:
+            for row in asked[::3]:
+                p = [share(3 * k + t, 1, 0, depth, [i for i in taught for _ in range(times[i, 3 * k + t])], row) for t in range(3)]
+                for n in numbers:
+                    seen.append((fold, depth, n, float(y[row]), float(np.sum(p[:n], axis=0).round(6).argmax())))
+    for key in set(seen):
+        want[key] = seen.count(key)
+    found = {g[:5]: g[5] for g in got[0]}
+    assert all(found.get(key, 0) >= n for key, n in want.items()) and len(want) > 40
+    assert sum(found.values()) == 160 * 6
+    hits = sum(n for k, n in found.items() if k[0] == -1 and k[1] == 9 and k[2] == 3 and k[3] == k[4])
+    assert hits >= 22  # of 40
+    with pytest.raises(ValueError):
+        forests.judged(df.where("f = 1"), "y", "v", "f", "test", depths, numbers)
