@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import aggregates, blocks, forests, joins, models, sequences
+from tessera.operators import aggregates, blocks, forests, joins, models, sequences, sketches
 
 
 def test_a_norm_is_computed_once_a_vector(spark):
@@ -163,3 +163,18 @@ def test_forests_equal_trees_grown_node_by_node(spark, monkeypatch):
     assert hits >= 22  # of 40
     with pytest.raises(ValueError):
         forests.judged(df.where("f = 1"), "y", "v", "f", "test", depths, numbers)
+
+
+def test_texts_meet_their_terms_by_blocks(spark, monkeypatch):
+    """Blocks of a few terms give what one block gives; terms are not sent once a text."""
+    monkeypatch.setattr(sketches, "BLOCK_TERMS", 300)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.5, 60) if i < 500) for _ in range(200)] + [None, "", "one more"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    rows, terms = sketches.term_blocks(df, "t")
+    n = rows.select("block").distinct().count()
+    assert rows.count() == 201 and 5 < n < 60 and terms.count() < 0.6 * rows.select(F.explode("terms")).count()
+    assert terms.agg(F.sum("n")).first()[0] == rows.select(F.explode("terms")).count() == sum(len({w for w in (t or "").split() if len(w) > 1}) for t in texts)
+    small = sketches.text_similarity(df, "t").first()
+    monkeypatch.setattr(sketches, "BLOCK_TERMS", 10**6)
+    assert np.allclose(small, sketches.text_similarity(df, "t").first(), rtol=1e-9)
