@@ -49,7 +49,7 @@ def tensor_sketch(x: np.ndarray, degree: int, size: int, seed: int = 0) -> np.nd
 def term_blocks(df: DataFrame, text: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(block, terms, tf): each text's different terms, as hashes, and their numbers; (block, term, n): the texts of a block that hold a term. Both written once.
 
-    A block is neighbouring texts of some ``most`` terms: what terms share is joined to a block's different terms, some twentieth of all. Texts without a term have no row.
+    A block is neighbouring texts of some ``most`` terms: what texts share is joined to a block's different terms, not to each text's. Texts without a term have no row.
     Terms are lower-case and named by 64 bits.
     """
     most, spark = most or BLOCK_TERMS, df.sparkSession
