@@ -325,7 +325,8 @@ def near_words(words: DataFrame, word_col: str = "word") -> DataFrame:
     standing = _listed(words, index, False).withColumnsRenamed({"word": "near", "odd": "odd_near"})
     may_be = F.bit_count(F.col("odd").bitwiseXOR(F.col("odd_near"))) <= 2
     different = (F.length("word") < F.length("near")) | (F.col("word") < F.col("near"))
-    pairs = asking.join(standing, "key").where(may_be & different & one_edit(F.col("word"), F.col("near"))).select("word", "near").distinct()
+    # Spark takes the lists for as large as the words that they are made of, and would broadcast them.
+    pairs = asking.join(standing.hint("merge"), "key").where(may_be & different & one_edit(F.col("word"), F.col("near"))).select("word", "near").distinct()
     pairs = written(pairs, "near-words")
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
@@ -338,7 +339,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     way = written(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         step = way.select(F.col("word").alias("root"), F.col("root").alias("up"))
-        longer = way.join(step, "root", "left")
+        longer = way.join(step.hint("merge"), "root", "left")
         if longer.where(F.col("up").isNotNull()).isEmpty():
             return way
         way = written(longer.select("word", F.coalesce("up", "root").alias("root")), "forms")
@@ -349,16 +350,17 @@ def group_variants(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
     smallest by code point, if that n is at least ``ratio`` times the word's own; its root is where the forms lead.
 
     Words without a near one have n_near 0 and are their own root. Words that come twice count once, with their largest n.
+    No table of words is broadcast: in memory it is many times its files.
     """
     counts = written(counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.max("n").alias("n")), "words")
-    near = near_words(counts).join(counts.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
+    near = near_words(counts).join(counts.select(F.col("word").alias("near"), F.col("n").alias("m")).hint("merge"), "near")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("order"), F.col("near").alias("form"))).alias("best"))
-    judged = counts.join(best, "word", "left").withColumn("good", F.coalesce(-F.col("best.order") >= ratio * F.col("n"), F.lit(False)))
+    judged = counts.join(best.hint("merge"), "word", "left").withColumn("good", F.coalesce(-F.col("best.order") >= ratio * F.col("n"), F.lit(False)))
     kept = lambda c: F.when(F.col("good"), c)
     judged = judged.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), kept(F.col("best.form")).alias("form"), kept(-F.col("best.order")).alias("form_n"))
     judged = written(judged, "judged")
     roots = _roots(judged.where(F.col("form").isNotNull()))
-    return judged.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -296,3 +296,15 @@ def test_spelling_of_odd_rows(spark, odd_documents, no_documents):
     assert spelling.spelling_groups(no_documents).count() == 0
     long = spark.createDataFrame([(1, "z" * 100_000 + " " + ("z" * 100_000 + "\u00e9 ") * 3, "en", "a", 1), (2, ("z" * 100_000 + " ") * 3, "en", "a", 1)], DOCS)
     assert {(len(r.word), r.n, r.n_near) for r in spelling.spelling_groups(long).collect()} == {(100_000, 4, 1), (100_001, 3, 1)}
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Neither the lists of a word, which Spark counts as one row, nor what hangs on words."""
+    plans, plain = [], spelling.written
+    shown = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "written", lambda df, name: (shown(df), plain(df, name))[1])
+    words = [("wording", 9), ("wordings", 3), ("wordingss", 1), ("another", 5)]
+    found = spelling.group_variants(spark.createDataFrame(words, "word string, n long"))
+    shown(found)
+    assert sum("Join" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
+    assert {(r.word, r.root) for r in found.collect()} == {("wording", "wording"), ("wordings", "wording"), ("wordingss", "wording"), ("another", "another")}
