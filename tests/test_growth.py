@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import l2_normalized
-from tessera.operators import aggregates, blocks, forests, joins, models, sequences, sketches
+from tessera.operators import aggregates, blocks, embeddings, forests, joins, models, sequences, sketches
 
 
 def test_a_norm_is_computed_once_a_vector(spark):
@@ -178,3 +178,58 @@ def test_texts_meet_their_terms_by_blocks(spark, monkeypatch):
     small = sketches.text_similarity(df, "t").first()
     monkeypatch.setattr(sketches, "BLOCK_TERMS", 10**6)
     assert np.allclose(small, sketches.text_similarity(df, "t").first(), rtol=1e-9)
+
+
+def test_word_vectors_are_the_mean_of_their_parts(spark, monkeypatch):
+    """Against parts learnt here, one by one; the same rows give the same vectors however they are dealt, none passes the driver."""
+    monkeypatch.setattr(models, "PART_WORDS", 150), monkeypatch.setattr(embeddings, "SLICE", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 24, 6))) for i in range(150)] + [(900, None), (901, "-- !"), (902, "w3")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = [{r.i: r.vector for r in models.title_vectors(df.repartition(n), "t", dims=8).collect()} for n in (1, 5)]
+    assert got[0] == got[1] and got[0][900] == got[0][901] == [0.0] * 8
+    assert "pyspark" not in models.Word2Vec.__module__
+    words = df.withColumn("_words", F.transform(F.filter(F.split(F.coalesce("t", F.lit("")), r"\W+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    parts, total, n = {}, {}, {}
+    for r in words.withColumn("at", F.xxhash64("i", "t", "_words")).orderBy("at").collect():
+        parts.setdefault(r.at % 7, []).append(r._words)
+    assert len(parts) == 7  # 901 words
+    for part, titles in parts.items():
+        known, tokens = np.unique(np.array(sum(titles, []), np.int64), return_inverse=True)
+        start = embeddings.first_vectors(known, 8, 2, 1 / 8), embeddings.first_vectors(known, 8, 3, 2 * (3 / 8) ** 0.5)
+        found = embeddings.skip_grams(tokens, np.repeat(np.arange(len(titles)), [len(t) for t in titles]), *start, 5, np.random.default_rng([1, part]))
+        for w, v, k in zip(known.tolist(), found, np.bincount(tokens)):
+            total[w], n[w] = total.get(w, 0) + v * float(k), n.get(w, 0) + k
+    for r in words.collect():
+        want = np.mean([total[w] / n[w] for w in r._words], 0) if r._words else np.zeros(8)
+        assert np.allclose(got[0][r.i], want, atol=1e-5)
+    assert models.title_vectors(df.limit(0), "t", dims=8).count() == 0
+
+
+@pytest.mark.parametrize("words, n", [(2, 3), (2, 5000), (40, 20_000)])
+def test_steps_of_frequent_words_stay_bounded(words, n):
+    """And words of the same titles end up near: every second title has the upper half of the words."""
+    half = words // 2
+    tokens = np.random.default_rng(0).integers(0, max(1, half), n) + half * (np.arange(n) // 9 % 2)
+    start = [embeddings.first_vectors(np.arange(words), 16, i, w) for i, w in ((2, 1 / 16), (3, 0.9))]
+    found = embeddings.skip_grams(tokens, np.arange(n) // 9, *start, 5, np.random.default_rng(1))
+    assert np.isfinite(found).all() and np.abs(found).max() < 10
+    if words > 2:
+        unit = found / np.linalg.norm(found, axis=1, keepdims=True)
+        assert ((unit @ unit.T - 2 * np.eye(words)).argmax(1) // half == np.arange(words) // half).all()
+
+
+@pytest.mark.parametrize("kind", range(6))
+def test_products_in_single_precision_first_lose_nothing(monkeypatch, kind):
+    """Scores closer than single precision tells, copies, large, tiny and missing numbers: what all exact scores give."""
+    monkeypatch.setattr(blocks, "QUERY_TILE", 5), monkeypatch.setattr(blocks, "ROW_TILE", 11)
+    rng = np.random.default_rng(kind)
+    x, y, a, b = rng.normal(size=(23, 6)), rng.normal(size=(120, 6)), rng.integers(0, 30, 23), rng.integers(0, 60, 120)
+    x, y = [(x, y), (np.round(x), np.round(y)), (x * 1e6, np.repeat(y[:12], 10, axis=0)), (x * 1e-9, y * 1e3), (1 + x * 1e-7, 1 + y * 1e-7), (x * 1e20, y * 1e20)][kind]
+    dense, s, got = [], blocks._scores(x, y, "dot"), {}
+    monkeypatch.setattr(blocks, "_scores", lambda q, r, m, plain=blocks._scores: (dense.append(len(r)), plain(q, r, m))[1])
+    for owner, at, score in blocks._nearest(x, y, a, b, 4, "dot"):
+        for o, i, v in zip(owner, at, score):
+            got.setdefault(int(o), []).append((-float(v), int(b[i])))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted((-float(s[i, j]), int(b[j])) for j in range(120) if b[j] != a[i])[:4] for i in range(23)}
+    assert kind != 0 or len(dense) < 50  # of 55 tiles; small as they are
